@@ -160,7 +160,7 @@ def sql(docs: str = "documents") -> str:
     return rf"""
 WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM {docs}),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
-w AS (SELECT *, [5.0, 2.0, 1.0]::DOUBLE[][(sid % 3 + 1)::INT] AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+w AS (SELECT *, list_extract([5.0, 2.0, 1.0]::DOUBLE[], CAST(sid % 3 + 1 AS BIGINT)) AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
 o AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS weights
   FROM w WINDOW b AS (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT *, rest / weights * weight >= cap AS capped FROM o),
