@@ -135,8 +135,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLO
     wanted = [tuple(r) for r in goals.orderBy("sid").select("sid", "source_size", "target").collect() if r["source_size"]]
     slots = schedule(docs.sparkSession, wanted, block)
     cut = segments(line, block)
-    words = F.least(F.col("end"), F.col("take")) - F.col("start")
-    mixed = cut.join(slots, ["sid", "block"], "left").withColumn("words", F.greatest(F.coalesce(words, F.lit(0)), F.lit(0)))
+    words = F.least(F.col("end"), F.coalesce("take", F.lit(0))) - F.col("start")
+    mixed = cut.join(slots, ["sid", "block"], "left").withColumn("words", F.coalesce(F.greatest(words, F.lit(0)), F.lit(0)))
     return line, mixed
 
 
