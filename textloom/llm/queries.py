@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, quality_rules
+from . import chat_format, decontaminate, mixing, quality_rules, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_decontaminate": decontaminate.query,
         "op4_mixing": mixing.query,
+        "op5_url_filter": url_filter.query,
         "op6_chat_format": chat_format.query,
         "op9_quality_rules": quality_rules.query,
     }
@@ -15,6 +17,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontaminate": decontaminate.SQL,
         "op4_mixing": mixing.sql(),
         "op6_chat_format": chat_format.SQL,
         "op9_quality_rules": quality_rules.SQL,
