@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, mixing, quality_rules, url_filter
+from . import chat_format, decontaminate, language_id, mixing, quality_model, quality_rules, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language_id.query,
         "op2_decontaminate": decontaminate.query,
         "op4_mixing": mixing.query,
         "op5_url_filter": url_filter.query,
         "op6_chat_format": chat_format.query,
         "op9_quality_rules": quality_rules.query,
+        "op10_quality_model": quality_model.query,
     }
 
 
