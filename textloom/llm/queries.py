@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, mixing, quality_model, quality_rules, url_filter
+from . import chat_format, decontaminate, language_id, mixing, pii, quality_model, quality_rules, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.query,
         "op2_decontaminate": decontaminate.query,
+        "op3_pii": pii.query,
         "op4_mixing": mixing.query,
         "op5_url_filter": url_filter.query,
         "op6_chat_format": chat_format.query,
