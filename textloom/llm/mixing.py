@@ -31,7 +31,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Tokens in a block.
 BLOCK = 128
 #: Rows of a source, and slots, that are numbered together.
-RUN_ROWS, RUN_SLOTS = 20_000, 1 << 14
+RUN_ROWS, RUN_SLOTS = 2_000, 1 << 12
 #: Fractional part of the golden ratio.
 GOLDEN = (math.sqrt(5) - 1) / 2
 
