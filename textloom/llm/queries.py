@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, mixing, pii, quality_model, quality_rules, url_filter
+from . import chat_format, decontaminate, language_id, mixing, near_dup, pii, quality_model, quality_rules, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_mixing": mixing.query,
         "op5_url_filter": url_filter.query,
         "op6_chat_format": chat_format.query,
+        "op7_near_dup": near_dup.query,
         "op9_quality_rules": quality_rules.query,
         "op10_quality_model": quality_model.query,
     }
@@ -23,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontaminate": decontaminate.SQL,
         "op4_mixing": mixing.sql(),
         "op6_chat_format": chat_format.SQL,
+        "op7_near_dup": near_dup.sql(),
         "op9_quality_rules": quality_rules.SQL,
     }
