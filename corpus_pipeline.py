@@ -1,11 +1,74 @@
-"""Corpus pipeline (stages follow)."""
+"""A corpus pipeline of five stages over ``documents``.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of ``documents``. Empty tables pass through; extra columns are kept up to the
+last stage; repeated rows are near duplicates of each other, so that one of them stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import decontaminate, mixing, near_dup, pii, quality_model
+from textloom.llm.common import text_key, without
+from textloom.session import stored
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    forest = quality_model.train(docs, labels)
+    return quality_model.score(docs, forest).where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest id, and of rows that repeat it one."""
+    marked = stored(near_dup.kept(docs), "kept")
+    rows = without(docs, marked.where(~F.col("kept")).select("doc_id"), F.col("doc_id"))
+    twice = stored(marked.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return rows
+    again = rows.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return without(rows, twice, F.col("doc_id")).unionByName(again)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of any benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    found = decontaminate.contamination(docs.select("doc_id", "text"), items)
+    return without(docs, stored(found.where("contaminated").select("key"), "contaminated"), text_key())
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind; ``n_chars`` follows the text."""
+    rows = pii.redact(docs, pii.trained(pii.snippets(docs)))
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        rows = rows.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes, repeats counted."""
+    return mixing.taken(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", benchmark),
+    ("personal data", personal_data),
+    ("source mix", mix),
+]
+
+#: Trees and a neural tagger decide here; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

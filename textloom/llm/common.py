@@ -38,3 +38,18 @@ def hinted(small: DataFrame, rows: int, limit: int) -> DataFrame:
 def text_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Tells rows apart when doc_id repeats or is null; equal rows share it."""
     return F.xxhash64(F.col(doc_id), F.col(text))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: Column, buckets: int = 1 << 18) -> DataFrame:
+    """``rows`` without those whose ``key`` is among the longs of ``gone`` (one column).
+
+    Only rows that share one of at most ``buckets`` hash buckets with ``gone`` are shuffled.
+    A null key is never gone.
+    """
+    gone = gone.toDF("_gone").where("_gone IS NOT NULL").distinct()
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
+    near = F.broadcast(gone.select(bucket("_gone").alias("_b")).distinct())
+    keyed = rows.withColumn("_key", key).withColumn("_b", bucket("_key"))
+    far = keyed.join(near, "_b", "left_anti").select(*rows.columns)
+    rest = keyed.join(near, "_b", "left_semi").join(gone, F.col("_key") == F.col("_gone"), "left_anti").select(*rows.columns)
+    return far.unionByName(rest)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, mixing, near_dup, pii, quality_model, quality_rules, url_filter
+from . import chat_format, decontaminate, language_id, mixing, near_dup, pii, quality_model, quality_rules, repeats, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_url_filter": url_filter.query,
         "op6_chat_format": chat_format.query,
         "op7_near_dup": near_dup.query,
+        "op8_repeats": repeats.query,
         "op9_quality_rules": quality_rules.query,
         "op10_quality_model": quality_model.query,
     }
