@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class Splitter:
 
 #: Word patterns.
 _WORD = r"\w+(?:[-_]\w+)*|\S"
-_WEB = r"(?:https?://[^\s]+|www\.[^\s]+)|[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}|@[a-z0-9_]+|\w+(?:[-_]\w+)*|\S"
+_WEB = r"(?:https?://\S+|www\.\S+)|[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}|@[a-z0-9_]+|\w+(?:[-_]\w+)*|\S"
 ASCII = Splitter("ascii", _WORD)
 UNICODE = Splitter("unicode", _WORD, "(?U)")
 WEB = Splitter("web", _WEB, "(?iU)")
@@ -64,7 +65,7 @@ def preset(config: dict, task: str) -> Preset:
     return Preset(UNICODE) if str(config.get("architecture", "")).startswith("gliner-") else DEFAULT
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(ArrayType(IntegerType()))
 def running_sums(lengths: pa.Array) -> pa.Array:
     """Inclusive running sums within each list."""
     lengths = lengths.combine_chunks() if isinstance(lengths, pa.ChunkedArray) else lengths

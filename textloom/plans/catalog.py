@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import ner
+
+PARTS = (ner,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for part in PARTS for k, v in part.queries().items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: v for part in PARTS for k, v in part.oracle_sql().items()}
