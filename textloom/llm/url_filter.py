@@ -68,7 +68,7 @@ def symbols(url: Column) -> Column:
 
 
 def grams(rows: DataFrame, url: str = "url") -> DataFrame:
-    """One row per symbol: ``g``, the number of the ORDER symbols that end there; its remainders are the shorter n-grams."""
+    """One row per symbol: ``g``, the number of the ORDER symbols that end there (its remainders are the shorter n-grams), and ``_one``, how many symbols the URL has."""
     rows = rows.withColumn("_s", symbols(F.col(url)))
     at = F.sequence(F.lit(ORDER - 1), F.size("_s") - 1)
 
@@ -78,7 +78,8 @@ def grams(rows: DataFrame, url: str = "url") -> DataFrame:
             out = out * SIZE + F.get("_s", i - k)
         return out
 
-    return rows.withColumn("_g", F.transform(at, number)).drop("_s").withColumn("g", F.explode("_g")).drop("_g")
+    # never empty; the outer form keeps the optimizer from computing the array twice for a filter on its size
+    return rows.withColumn("_g", F.transform(at, number)).drop("_s").withColumn("_one", F.size("_g")).withColumn("g", F.explode_outer("_g")).drop("_g")
 
 
 def model(ruled: DataFrame) -> DataFrame:
@@ -112,13 +113,13 @@ def model(ruled: DataFrame) -> DataFrame:
 def scored(rows: DataFrame, ratios: DataFrame) -> DataFrame:
     """``rows`` (url and what must be kept with it) with ``score``, the mean ratio per symbol. A model's size is bounded by its alphabet."""
     keep = rows.columns
-    out = grams(rows.withColumn("_n", F.lit(1)))
+    out = grams(rows)
     for k in range(1, ORDER + 1):
         part = F.broadcast(ratios.where(F.col("order") == k).select(F.col("g").alias(f"_g{k}"), F.col("ratio").alias(f"_r{k}")))
         out = out.withColumn(f"_g{k}", F.col("g") % SIZE**k).join(part, f"_g{k}", "left")
     ratio = F.coalesce(*(F.col(f"_r{k}") for k in range(ORDER, 0, -1)), F.lit(0.0))
     # repeated rows fall into one group and are told out again
-    per = out.groupBy(*keep).agg(F.avg(ratio).alias("score"), F.count("*").alias("_all"), F.max(F.size(symbols(F.col("url"))) - (ORDER - 1)).alias("_one"))
+    per = out.groupBy(*keep).agg(F.avg(ratio).alias("score"), F.count("*").alias("_all"), F.max("_one").alias("_one"))
     copies = F.sequence(F.lit(1), (F.col("_all") / F.col("_one")).cast("int"))
     return per.withColumn("_copy", F.explode(copies)).select(*keep, "score")
 
