@@ -106,7 +106,8 @@ def not_abstained(spans: Column, nulls: Column, threshold: float = 0.5) -> Colum
 
 def exploded(rows: DataFrame, keys: list[str], column: str = "cands") -> DataFrame:
     """One row per span: ``keys..., type, text, confidence, start, end``; confidence is a float at the edge only."""
-    flat = rows.select(*keys, F.explode(column).alias("_c"))
+    # the outer form keeps the optimizer from computing the array twice for a filter on its size
+    flat = rows.select(*keys, F.explode_outer(column).alias("_c")).where(F.col("_c").isNotNull())
     return flat.select(*keys, F.col("_c.label").alias("type"), F.col("_c.text").alias("text"), F.col("_c.p").alias("confidence"), F.col("_c.start").alias("start"), F.col("_c.end").alias("end"))
 
 
