@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,11 +194,16 @@ def _units(ends: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
         yield unit
 
 
-FOUND = "kind int, part long, h long, doc_id long, key long, packed long"
+FOUND = "kind int, part long, h long, doc_id long, key long, asked array<long>"
+_FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values))
 
 
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: the only or first row of a hash in its batch; 1: rows of hashes that the batch holds twice."""
+    """kind 0: one row for each hash in a batch; 1: one row for each text with those anchors whose hash the batch holds twice."""
     for batch in batches:
         ids, keys = batch.column("doc_id"), batch.column("key").to_numpy(zero_copy_only=False)
         texts = batch.column("bytes")
@@ -216,17 +222,19 @@ def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         h, text, packed = (np.concatenate(x) for x in zip(*got, strict=True))
         _, first, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        one = [np.zeros(len(first), np.int32), h[first], h[first]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, one), ids.take(pa.array(text[first])), pa.array(keys[text[first]]), _lists(packed[first], np.ones(len(first), np.int64))], _FOUND_NAMES)
         twice = np.flatnonzero(count[back] > 1)
-        rows = np.concatenate([first, twice])
-        kind = np.repeat(np.array([0, 1], np.int32), [len(first), len(twice)])
-        part = np.where(kind == 0, h[rows], packed[rows] * 0x9E3779B1 + keys[text[rows]] // 2)
-        columns = [pa.array(kind), pa.array(part), pa.array(h[rows]), ids.take(pa.array(text[rows])), pa.array(keys[text[rows]]), pa.array(packed[rows])]
-        yield pa.RecordBatch.from_arrays(columns, ["kind", "part", "h", "doc_id", "key", "packed"])
+        if len(twice):
+            twice = twice[np.argsort(text[twice], kind="stable")]
+            own, sizes = np.unique(text[twice], return_counts=True)
+            one = [np.ones(len(own), np.int32), keys[own], np.zeros(len(own), np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, one), ids.take(pa.array(own)), pa.array(keys[own]), _lists(packed[twice], sizes)], _FOUND_NAMES)
 
 
 def only_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by kind and h: those of kind 1, and those whose h comes twice. Holds one row back, never a run."""
-    names = ["doc_id", "key", "packed"]
+    names = ["doc_id", "key", "asked"]
     held, held_shared = None, False
     for batch in batches:
         if not batch.num_rows:
@@ -255,7 +263,7 @@ def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: a piece of text around a shared anchor, once per batch; 1: ranges of further equal pieces, which are repeats."""
     for batch in batches:
         best: dict[bytes, tuple] = {}
-        ranges = []
+        ranges: dict[tuple, list] = {}
         for doc_id, key, data, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "bytes", "asked")), strict=True):
             for packed in asked:
                 start, back, more = packed >> 14, packed >> 7 & 127, packed & 127
@@ -266,19 +274,30 @@ def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if mine[0] < other[0]:
                         best[piece], mine = mine, other
                     if mine[0] != best[piece][0]:
-                        ranges.append((mine[0], len(piece)))
+                        ranges.setdefault(mine[0][:3], []).append((mine[0][3], mine[0][3] + len(piece)))
         rows = [(0, g := zlib.crc32(p[back : back + GRAM]), g, d if has else None, k, s, s + len(p), p) for p, ((has, d, k, s), back) in best.items()]
-        rows += [(1, k ^ s, 0, d if has else None, k, s, s + n, None) for (has, d, k, s), n in ranges]
+        rows += [(1, k ^ s, 0, d if has else None, k, s, z, None) for (has, d, k), own in ranges.items() for s, z in _merged(own)]
         if rows:
             kinds = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], _CUT_NAMES)
 
 
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that touch or overlap, as one."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
 RANGES = "doc_id long, key long, start long, end long"
 
 
 def _repeats(rows: list[tuple]) -> list[tuple]:
-    """Ranges of ``rows`` (doc_id, key, start, bytes) whose windows also start earlier in the corpus."""
+    """Ranges of ``rows`` (doc_id, key, start, bytes, gram) whose windows also start earlier in the corpus."""
     rows.sort(key=lambda r: _order(*r[:3]))
     out, seen, pieces = [], {}, []
     for r in rows:
@@ -287,6 +306,11 @@ def _repeats(rows: list[tuple]) -> list[tuple]:
             pieces.append(r)
         elif first[:3] != r[:3]:
             out.append((*r[:3], r[2] + len(r[3])))
+    # equal windows have equal grams, and no two windows of one piece are equal at one anchor
+    grams = Counter(r[4] for r in pieces)
+    pieces = [r for r in pieces if grams[r[4]] > 1]
+    if not pieces:
+        return out
     data = b"".join(r[3] for r in pieces)
     n = np.array([len(r[3]) - LENGTH + 1 for r in pieces])
     begin = np.cumsum([0] + [len(r[3]) for r in pieces[:-1]])
@@ -329,12 +353,12 @@ def find_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = batch.filter(pa.array(kind == 1))
         if known.num_rows:
             yield known.select(names)
-        for g, *r in zip(*(batch.filter(pa.array(kind == 0)).column(c).to_pylist() for c in ("g", "doc_id", "key", "start", "bytes")), strict=True):
-            if g != run and len(rows) >= PIECES:  # a gram's pieces stay together
+        for r in zip(*(batch.filter(pa.array(kind == 0)).column(c).to_pylist() for c in ("doc_id", "key", "start", "bytes", "g")), strict=True):
+            if r[4] != run and len(rows) >= PIECES:  # a gram's pieces stay together
                 yield from done(_repeats(rows))
                 rows = []
-            run = g
-            rows.append(tuple(r))
+            run = r[4]
+            rows.append(r)
     if rows:
         yield from done(_repeats(rows))
 
@@ -346,8 +370,8 @@ def _bucket() -> Column:
 def repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, key, start, end``: byte ranges of repeats; they may overlap. ``docs`` has doc_id, key and bytes."""
     found = docs.where(F.length("bytes") >= LENGTH).mapInArrow(find_anchors, FOUND)
-    shared = stored(found.repartition("part").sortWithinPartitions("kind", "h").mapInArrow(only_shared, "doc_id long, key long, packed long"), "shared")
-    asked = shared.groupBy("doc_id", "key").agg(F.collect_set("packed").alias("asked"))
+    shared = stored(found.repartition("part").sortWithinPartitions("kind", "h").mapInArrow(only_shared, "doc_id long, key long, asked array<long>"), "shared")
+    asked = shared.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("asked"))).alias("asked"))
     near = F.broadcast(shared.select(_bucket().alias("_b")).distinct())  # BUCKETS rows at most
     pieces = _with(docs.withColumn("_b", _bucket()).join(near, "_b", "left_semi"), asked, "asked", "inner").select("doc_id", "key", "bytes", "asked").mapInArrow(cut_pieces, CUT)
     return pieces.repartition("part").sortWithinPartitions("kind", "g").mapInArrow(find_repeats, RANGES)
