@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ner
+from . import ner, tasks
 
-PARTS = (ner,)
+PARTS = (ner, tasks)
 
 
 def queries() -> dict:

@@ -119,12 +119,12 @@ LEFT JOIN gr g ON g.conv_id = c.conv_id AND g.turn = c.turn AND g.label = l.name
 def ner_documents(spark, sf_dir):
     """Whole documents, however long: the greedy choice in linear time."""
     rows = T.with_words(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = S.greedy_many(S.candidates(rows, ("person", "location"), HASH, 0.97, 3))
+    rows = S.greedy_many(S.candidates(rows, ("person", "location"), HASH, 0.99, 3))
     out = S.exploded(rows, ["doc_id"])
     return out.groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum("start").cast("long").alias("start_sum"), F.round(F.max("confidence"), 6).alias("best"))
 
 
-NER_DOCUMENTS = f"""{_cands_sql(("person", "location"), 3, 0.97, "documents", "doc_id")},{_greedy_sql("doc_id")}
+NER_DOCUMENTS = f"""{_cands_sql(("person", "location"), 3, 0.99, "documents", "doc_id")},{_greedy_sql("doc_id")}
 SELECT doc_id, label AS type, count(*) AS n, sum(start_)::BIGINT AS start_sum, round(max(p), 6) AS best FROM gr GROUP BY ALL"""
 
 
