@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ner, tasks
+from . import analytics, ner, tasks
 
-PARTS = (ner, tasks)
+PARTS = (ner, tasks, analytics)
 
 
 def queries() -> dict:
