@@ -6,12 +6,13 @@ row from there on. Inverted lists of retained values then propose pairs:
 
 * two sets similar enough share at least ``least_shared`` retained values (a bound that is
   exact for sets that a sketch holds whole, and 4.7 standard deviations wide else), so a
-  class with fewer values on any list is out, and of the others only the rarest values,
-  as many as the bound leaves open, are looked up;
+  class with fewer values on any list is out, and of the others only the rarest values are
+  looked up, so many that a similar pair has ``TOGETHER`` of them in common;
 * round 1 tests each class against the first class of its lists with which it overlaps
-  most; round 2 all pairs that are still apart on short lists, and against another member
-  on long ones; round 3 all pairs that are still apart on long lists. Pairs already
-  connected are never formed, so a long list of copies costs its length, not its square.
+  most; round 2 all pairs that are still apart and overlap enough on short lists, and each
+  class against another leader of long ones; round 3 all pairs that are still apart on long
+  lists. Pairs already connected are never formed, so a long list of copies costs its
+  length, not its square.
 
 A union sketch estimates each pair's similarity; those that could pass are verified on the
 full sets. Links are joined into components by alternating large and small stars.
@@ -38,7 +39,9 @@ from .decontaminate import lowered
 K, SHINGLE, PERCENT = 64, 5, 80
 #: Members up to which all pairs of a list that are apart are tested at once.
 SHORT = 64
-#: Rows of the table that cuts down the second reading of the texts.
+#: Values of the looked-at part of two sketches that must agree.
+TOGETHER = 4
+#: Rows of the tables that cut down what is joined, and further readings of the texts.
 BUCKETS = 1 << 18
 
 
@@ -84,25 +87,42 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough, as edges (u, v); sketches are compared first."""
-    sides = [sets.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab"]
+def _among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``rows`` that share a hash bucket with ``ids`` (one column): a superset, from a table of at most BUCKETS rows."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    near = F.broadcast(ids.toDF("_id").select(bucket("_id").alias("_b")).distinct())
+    return rows.withColumn("_b", bucket(column)).join(near, "_b", "left_semi").drop("_b")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar enough, as edges (u, v).
+
+    Union sketches decide first; only classes of pairs that pass have their full sets made,
+    from another reading of the texts.
+    """
+    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    either = lambda p: p.select("a").unionByName(p.select(F.col("b").alias("a"))).distinct()
+    sketches = _among(classes, either(pairs), "node")
+    sides = [sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab"]
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     p = percent / 100
     low = F.size(union) * p - 4.7 * F.sqrt(F.size(union) * F.lit(p * (1 - p)))
-    close = stored(pairs.select("a", "b").distinct().join(sides[0], "a").join(sides[1], "b").where(common >= low).select("a", "b"), "pairs")
+    close = stored(pairs.join(sides[0], "a").join(sides[1], "b").where(common >= low).select("a", "b"), "close")
+    wanted = stored(classes.select("node", "first_id").join(either(close).withColumnRenamed("a", "node"), "node", "left_semi"), "wanted")
+    again = shingle_set(_among(texts, wanted.select("first_id"), "doc_id"), k).select("doc_id", F.xxhash64("set").alias("node"), "set")
+    match = wanted.select(F.col("node").alias("_node"), F.col("first_id").alias("_id"))
+    again = again.join(match, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = stored(again.dropDuplicates(["node"]).select("node", "set"), "sets")
     full = [sets.select(F.col("node").alias(x), F.col("set").alias(f"f{x}")) for x in "ab"]
-    both = F.size(F.array_intersect("fa", "fb"))
-    out = close.join(full[0], "a").join(full[1], "b").withColumn("_c", both)
+    out = close.join(full[0], "a").join(full[1], "b").withColumn("_c", F.size(F.array_intersect("fa", "fb")))
     return out.where(100 * F.col("_c") >= percent * (F.size("fa") + F.size("fb") - F.col("_c"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, key, n_shingles, component_id`` per row of ``docs`` (doc_id, text)."""
     texts = docs.select("doc_id", "text")
-    named = lambda rows: rows.withColumns({"n": F.size("set"), "node": F.xxhash64("set"), "node2": F.xxhash64(F.lit(1), "set")})
-    rows = named(shingle_set(texts, k))
+    rows = shingle_set(texts, k).withColumns({"n": F.size("set"), "node": F.xxhash64("set"), "node2": F.xxhash64(F.lit(1), "set")})
     # a 64-bit name per set; the second hash keeps classes apart that would share a name
     rows = stored(rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"), "node2", F.slice("set", 1, K).alias("sketch")), "sketches")
     some = rows.where("n > 0")
@@ -112,55 +132,55 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     counted = values.groupBy("value").agg(F.count("*").alias("on_list")).where("on_list > 1")
     listed = values.join(counted, "value")
     own = W.partitionBy("node")
-    listed = listed.withColumn("shared", F.count("*").over(own)).withColumn("open", F.col("shared") - least_shared(F.col("n"), percent) + 1)
-    listed = listed.where("open > 0").withColumn("rank", F.row_number().over(own.orderBy("on_list", "value"))).where("rank <= open")
-    lists = stored(listed.select("value", "node", "n"), "lists")
+    least = least_shared(F.col("n"), percent)
+    listed = listed.withColumn("shared", F.count("*").over(own)).withColumn("m", F.least(least, F.lit(TOGETHER)))
+    listed = listed.withColumn("open", F.col("shared") - least + F.col("m")).where(F.col("shared") >= least)
+    listed = listed.withColumn("rank", F.row_number().over(own.orderBy("on_list", "value"))).where("rank <= open")
+    lists = stored(listed.select("value", "node", "n", "m"), "lists")
 
-    # the full sets of classes on lists, from a second reading of the texts
-    wanted = classes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "first_id")
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    near = F.broadcast(wanted.select(bucket("first_id").alias("_b")).distinct())  # BUCKETS rows at most
-    again = named(shingle_set(texts.withColumn("_b", bucket("doc_id")).join(near, "_b", "left_semi"), k)).select("doc_id", "node", "set")
-    match = wanted.select(F.col("node").alias("_node"), F.col("first_id").alias("_id"))
-    again = again.join(match, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = stored(again.dropDuplicates(["node"]).select("node", F.slice("set", 1, K).alias("sketch"), "set"), "sets")
+    verified = lambda pairs: stored(_verified(pairs, classes, texts, k, percent), "links")
+    as_edges = lambda comps: comps.select(F.col("node").alias("u"), F.col("comp").alias("v"))
+
+    def placed(comps: DataFrame) -> DataFrame:
+        return stored(lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
 
-    def placed(comps: DataFrame | None) -> DataFrame:
-        if comps is None:
-            return lists.withColumn("comp", F.col("node"))
-        return lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    def led(at: DataFrame, order: Column) -> DataFrame:
+        """Each class and the leader of its lists with which it overlaps most, if that is enough."""
+        lead = at.groupBy("value").agg(F.min_by("node", order).alias("b"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi")
+        tests = at.join(lead.select("value", "b"), "value").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("_c"), F.max("m").alias("m"))
+        best = F.row_number().over(W.partitionBy("a").orderBy(F.desc("_c"), "b"))
+        return tests.where("_c >= m").withColumn("_r", best).where("_r = 1").select("a", "b")
 
     # round 1
-    first = lists.groupBy("value").agg(F.min("node").alias("b"), F.first("n").alias("_n"), F.count("*").alias("_c")).where("_c > 1").drop("_n", "_c")
-    overlap = lists.join(first, "value").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("_c"))
-    best = F.row_number().over(W.partitionBy("a").orderBy(F.desc("_c"), "b"))
-    edges = stored(_verified(overlap.withColumn("_r", best).where("_r = 1").select("a", "b"), sets, percent), "links")
-    comps = components(edges)
+    at = lists.withColumn("comp", F.col("node"))
+    comps = components(verified(led(at, F.col("node"))))
 
     # round 2
-    at = stored(placed(comps), "placed")
-    apart = at.groupBy("value").agg(F.count("*").alias("size"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min_by("node", F.xxhash64("node", "value")).alias("lead")).where("_lo <> _hi").drop("_lo", "_hi")
-    open_lists = at.join(apart, "value")
-    short, long = open_lists.where(F.col("size") <= SHORT), open_lists.where(F.col("size") > SHORT)
-    left, right = (short.select("value", *(F.col(c).alias(x + c) for c in ("node", "n", "comp"))) for x in "ab")
-    pairs = left.join(right, "value").where((F.col("anode") < F.col("bnode")) & (F.col("acomp") != F.col("bcomp")) & similar_sizes(F.col("an"), F.col("bn"), percent)).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
-    leads = at.select("value", F.col("node").alias("lead"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))
-    tests = long.join(leads, ["value", "lead"]).where((F.col("comp") != F.col("_comp")) & similar_sizes(F.col("n"), F.col("_n"), percent))
-    more = stored(_verified(pairs.unionByName(tests.select(F.col("node").alias("a"), F.col("lead").alias("b"))), sets, percent), "links")
-    edges = edges.unionByName(more)
-    comps = components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more))
+    at = placed(comps)
+    sizes = at.groupBy("value").agg(F.count("*").alias("size"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("value", "size")
+    short = at.join(sizes.where(F.col("size") <= SHORT), "value")
+    left, right = (short.select("value", *(F.col(c).alias(x + c) for c in ("node", "n", "m", "comp"))) for x in "ab")
+    apart = left.join(right, "value").where((F.col("anode") < F.col("bnode")) & (F.col("acomp") != F.col("bcomp")) & similar_sizes(F.col("an"), F.col("bn"), percent))
+    met = stored(apart.groupBy(F.col("anode").alias("a"), F.col("bnode").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("am", "bm")).alias("m")), "met")
+    leads = led(at.join(sizes.where(F.col("size") > SHORT), "value").drop("size"), F.xxhash64("node"))
+    more = verified(met.where("c >= m").select("a", "b").unionByName(leads))
+    comps = components(as_edges(comps).unionByName(more))
 
     # round 3
-    at = stored(placed(comps), "placed")
+    at = placed(comps)
     parts = at.groupBy("value", "comp").agg(F.count("*").alias("_c"))
-    lists_of = parts.groupBy("value").agg(F.sum("_c").alias("_all"), F.max_by("comp", F.struct("_c", "comp")).alias("most"), F.count("*").alias("_parts"))
-    lists_of = lists_of.where((F.col("_all") > SHORT) & (F.col("_parts") > 1)).select("value", "most")
-    there = at.join(lists_of, "value")
-    rest = there.where("comp <> most").select("value", F.col("node").alias("a"), F.col("n").alias("an"), F.col("comp").alias("acomp"))
-    tests = rest.join(there.select("value", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bcomp")), "value")
-    last = stored(_verified(tests.where((F.col("acomp") != F.col("bcomp")) & similar_sizes(F.col("an"), F.col("bn"), percent)).select("a", "b"), sets, percent), "links")
+    long = parts.groupBy("value").agg(F.sum("_c").alias("_all"), F.max_by("comp", F.struct("_c", "comp")).alias("most"), F.count("*").alias("_parts"))
+    there = at.join(long.where((F.col("_all") > SHORT) & (F.col("_parts") > 1)).select("value", "most"), "value")
+    rest = there.where("comp <> most").select("value", *(F.col(c).alias("a" + c) for c in ("node", "n", "m", "comp")))
+    tests = rest.join(there.select("value", *(F.col(c).alias("b" + c) for c in ("node", "n", "m", "comp", "most"))), "value")
+    # a pair of two classes apart from the most frequent one comes up from either side
+    tests = tests.where((F.col("acomp") != F.col("bcomp")) & similar_sizes(F.col("an"), F.col("bn"), percent) & ((F.col("bcomp") == F.col("bmost")) | (F.col("anode") < F.col("bnode"))))
+    pair = [F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")]
+    tests = tests.groupBy(*pair).agg(F.count("*").alias("_c"), F.min(F.least("am", "bm")).alias("_m"))
+    tests = tests.join(met.select("a", "b", "c"), ["a", "b"], "left").where(F.col("_c") + F.coalesce("c", F.lit(0)) >= F.col("_m"))
+    last = verified(tests)
     if not last.isEmpty():
-        comps = components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(last))
+        comps = components(as_edges(comps).unionByName(last))
 
     # names: the smallest doc_id of each component
     named_classes = classes.join(comps, "node", "left").select("node", "node2", "n", "first_id", F.coalesce("comp", "node").alias("comp"))
