@@ -132,5 +132,5 @@ def test_rules_find_entities_and_widths(spark):
     rows = T.with_words(spark.createDataFrame([(1, "mail a@b.de in 2024"), (2, None)], "doc_id int, text string"), T.Preset(T.WEB))
     out = S.candidates(rows, ["email", "year"], rules, 0.5, 2).withColumn("cands", S.greedy(F.col("cands")))
     assert sorted((r.doc_id, r.type, r.text, r.start) for r in S.exploded(out, ["doc_id"]).collect()) == [(1, "email", "a@b.de", 5), (1, "year", "2024", 15)]
-    kinds = out.select("doc_id", S.by_type(F.col("cands")).alias("m"), S.all_types(F.col("cands"), ["email", "year", "x"]).alias("a")).orderBy("doc_id").collect()
-    assert list(kinds[0].m) == ["email", "year"] and kinds[1].m == {} and set(kinds[1].a) == {"email", "year", "x"}
+    kinds = out.select("doc_id", S.by_type(F.col("cands")).alias("m"), F.map_keys(S.by_type(F.col("cands"))).alias("keys"), S.all_types(F.col("cands"), ["email", "year", "x"]).alias("a")).orderBy("doc_id").collect()
+    assert kinds[0]["keys"] == ["email", "year"] and kinds[1].m == {} and set(kinds[1].a) == {"email", "year", "x"}

@@ -12,8 +12,8 @@ fails closes the session; an explicit close event or a time without chunks frees
 from __future__ import annotations
 
 import hashlib
+import json
 import math
-import pickle
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -113,6 +113,15 @@ class Session:
         self.failure = self.failure or "the session is closed"
         self.scores.clear()
 
+    def dump(self) -> str:
+        """What must outlive a micro-batch, as JSON."""
+        return json.dumps({"text": self.text, "starts": self.starts, "ends": self.ends, "scores": [[*k, v] for k, v in self.scores.items()], "tokens": self.tokens, "failure": self.failure})
+
+    def load(self, body: str) -> None:
+        kept = json.loads(body)
+        self.scores = {(s, e): v for s, e, v in kept.pop("scores")}
+        self.__dict__.update(kept)
+
 
 OUT = "session_id string, seq long, entities array<struct<type:string,text:string,confidence:float,start:int,end:int>>, input_tokens int, error string"
 
@@ -146,14 +155,14 @@ class SpanProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("session", "body binary, last long")
+        self.state = handle.getValueState("session", "body string, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         labels, threshold, width, capacity, score, idle_ms = self.args
         session, last = Session(labels, width, capacity=capacity), -math.inf
         if self.state.exists():
             body, last = self.state.get()
-            session = pickle.loads(body)
+            session.load(body)
         out, closed = [], False
         frame = pd.concat(list(rows)).sort_values("seq", kind="stable", na_position="last")
         for seq, chunk in zip(frame.seq, frame.chunk, strict=True):
@@ -167,7 +176,7 @@ class SpanProcessor(StatefulProcessor):
         if closed:
             self.state.clear()
         elif last > -math.inf:
-            self.state.update((pickle.dumps(session), int(last)))
+            self.state.update((session.dump(), int(last)))
             if idle_ms:
                 for timer in list(self.handle.listTimers()):
                     self.handle.deleteTimer(timer)
