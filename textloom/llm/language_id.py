@@ -126,7 +126,7 @@ def train(docs: DataFrame) -> Model | None:
     got.sort(key=lambda r: (r["lang"], r["bits"]))
     # sorted bits are no random order: landmarks are the first of each language
     order = np.random.default_rng(0).permutation(len(got))
-    packed = np.frombuffer(b"".join(bytes(got[i]["bits"]) for i in order), np.uint8).reshape(len(got), -1)
+    packed = np.frombuffer(b"".join(bytes(got[i]["bits"]) for i in order), np.uint8).reshape(len(got), CELLS // 8)
     return fit(np.unpackbits(packed, axis=1)[:, :CELLS].astype(np.float32), [got[i]["lang"] for i in order])
 
 
