@@ -64,7 +64,8 @@ def vocabulary(wins: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, vocab: DataFrame, n_vocab: int) -> DataFrame:
     """Stored postings ``doc_id, key, pos, term``; the posting of term null is at the length of its row's text."""
     texts = docs.select("doc_id", text_key().alias("key"), F.array_append(words(F.col("text")), END).alias("_words"))
-    tokens = texts.select("doc_id", "key", F.posexplode("_words").alias("pos", "_word")).withColumn("word", lowered(F.col("_word")))
+    # never empty; the outer form keeps the optimizer from splitting texts twice for a filter on the size
+    tokens = texts.select("doc_id", "key", F.posexplode_outer("_words").alias("pos", "_word")).withColumn("word", lowered(F.col("_word")))
     known = vocab.unionByName(docs.sparkSession.createDataFrame([(END, None)], "word string, term long"))
     return stored(tokens.join(hinted(known, n_vocab, BROADCAST_ROWS), "word").select("doc_id", "key", "pos", "term"), "postings")
 
