@@ -61,7 +61,7 @@ def _merged(parts: Column, glue) -> Column:
 
 
 def _glue(left: Column, right: Column) -> Column:
-    return F.when(left == right, F.lit("")).otherwise(F.concat(F.lit(END + OPEN), right, F.lit(SEP[:0])))
+    return F.when(left == right, F.lit("")).otherwise(F.concat(F.lit(END + OPEN), right))
 
 
 def format_chats(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import spaced_pieces
+from .common import hinted, spaced_pieces
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -32,6 +32,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 128
 #: Rows of a source, and slots, that are numbered together.
 RUN_ROWS, RUN_SLOTS = 2_000, 1 << 12
+#: Sources up to which their table is broadcast.
+BROADCAST_ROWS = 200_000
 #: Fractional part of the golden ratio.
 GOLDEN = (math.sqrt(5) - 1) / 2
 
@@ -72,10 +74,10 @@ def _numbered(rows: DataFrame, key: str, run: str, order: list, size: Column, na
     return rows.withColumn(name, within).join(runs, [key, run]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
 
 
-def lines(sizes: DataFrame, goals: DataFrame) -> DataFrame:
+def lines(sizes: DataFrame, goals: DataFrame, n_goals: int) -> DataFrame:
     """Rows with their place ``at`` on the shuffled line of their source."""
     known = goals.select("sid", F.col("source").alias("_source"), "source_size", "n_rows", "target")
-    rows = sizes.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = sizes.join(hinted(known, n_goals, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # md5 as text puts rows in an order that SQL engines share; its leading digits cut a source into even runs
     rows = rows.withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     part = F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
@@ -109,14 +111,19 @@ def schedule(spark, goals: list, block: int = BLOCK) -> DataFrame:
         at += g[2] / total
         bounds.append(at)
     point = (F.col("slot") + 1) * F.lit(GOLDEN) % 1.0
-    sid = F.lit(goals[-1][0])
-    for g, upper in reversed(list(zip(goals[:-1], bounds, strict=False))):
-        sid = F.when(point < upper, F.lit(g[0])).otherwise(sid)
+
+    def source(lo: int, hi: int) -> Column:
+        """Of goals lo to hi the one whose stretch of [0, 1) holds the point; as deep as the logarithm of their number."""
+        if hi - lo == 1:
+            return F.lit(goals[lo][0])
+        mid = (lo + hi) // 2
+        return F.when(point < bounds[mid - 1], source(lo, mid)).otherwise(source(mid, hi))
+
     # every source's rank r is wanted only up to its target
-    taken = spark.range(slots).withColumnRenamed("id", "slot").withColumn("sid", sid.cast("int")).withColumn("_run", F.floor(F.col("slot") / RUN_SLOTS))
+    taken = spark.range(slots).withColumnRenamed("id", "slot").withColumn("sid", source(0, len(goals)).cast("int")).withColumn("_run", F.floor(F.col("slot") / RUN_SLOTS))
     taken = _numbered(taken, "sid", "_run", ["slot"], F.lit(1), "rank")
     known = spark.createDataFrame([(g[0], g[1], g[2]) for g in goals], "sid int, source_size long, target double")
-    taken = taken.join(F.broadcast(known), "sid")
+    taken = taken.join(hinted(known, len(goals), BROADCAST_ROWS), "sid")
     # a line of S tokens has ceil(S/block) blocks; the last is short, so rounds are counted in blocks and words apart
     per_round = F.ceil(F.col("source_size") / block)
     turn, number = F.floor(F.col("rank") / per_round), F.col("rank") % per_round
@@ -130,9 +137,10 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLO
     """(rows with at, target and source_size; the mix: ``slot, sid, rank, block, doc_id, at, start, words``)."""
     sizes = stored(sized(docs), "sizes")
     goals = stored(targets(sizes, share, most).coalesce(1), "targets")
-    line = lines(sizes, goals)
     # one row per source, not per document
-    wanted = [tuple(r) for r in goals.orderBy("sid").select("sid", "source_size", "target").collect() if r["source_size"]]
+    every = goals.orderBy("sid").select("sid", "source_size", "target").collect()
+    wanted = [tuple(r) for r in every if r["source_size"]]
+    line = lines(sizes, goals, len(every))
     slots = schedule(docs.sparkSession, wanted, block)
     cut = segments(line, block)
     words = F.least(F.col("end"), F.coalesce("take", F.lit(0))) - F.col("start")
