@@ -11,7 +11,7 @@ row from there on. Inverted lists of retained values then propose pairs:
 * round 1 tests each class against the first class of its lists with which it overlaps
   most; round 2 all pairs that are still apart and overlap enough on short lists, and each
   class against another leader of long ones; round 3 all pairs that are still apart on long
-  lists. Pairs already connected are never formed, so a long list of copies costs its
+  lists, those against a list's largest group in blocks. Pairs already connected are never formed, so a long list of copies costs its
   length, not its square.
 
 A union sketch estimates each pair's similarity; those that could pass are verified on the
@@ -36,9 +36,11 @@ from .common import spaced_words
 from .decontaminate import lowered
 
 #: Retained values, words of a shingle, and percent of similarity.
-K, SHINGLE, PERCENT = 64, 5, 80
+K, SHINGLE, PERCENT = 128, 5, 80
 #: Members up to which all pairs of a list that are apart are tested at once.
 SHORT = 64
+#: Queries that meet a member of a large group at once.
+BLOCK = 64
 #: Values of the looked-at part of two sketches that must agree.
 TOGETHER = 4
 #: Rows of the tables that cut down what is joined, and further readings of the texts.
@@ -87,6 +89,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _near(a: Column, b: Column, percent: int) -> Column:
+    """Whether the sketch of the union leaves open that two sketched sets are similar enough."""
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, K)
+    p = percent / 100
+    low = F.size(union) * p - 4.7 * F.sqrt(F.size(union) * F.lit(p * (1 - p)))
+    return F.size(F.array_intersect(F.array_intersect(a, b), union)) >= low
+
+
 def _among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """``rows`` that share a hash bucket with ``ids`` (one column): a superset, from a table of at most BUCKETS rows."""
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
@@ -104,11 +114,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
     either = lambda p: p.select("a").unionByName(p.select(F.col("b").alias("a"))).distinct()
     sketches = _among(classes, either(pairs), "node")
     sides = [sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab"]
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-    common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    p = percent / 100
-    low = F.size(union) * p - 4.7 * F.sqrt(F.size(union) * F.lit(p * (1 - p)))
-    close = stored(pairs.join(sides[0], "a").join(sides[1], "b").where(common >= low).select("a", "b"), "close")
+    close = stored(pairs.join(sides[0], "a").join(sides[1], "b").where(_near(F.col("sa"), F.col("sb"), percent)).select("a", "b"), "close")
     wanted = stored(classes.select("node", "first_id").join(either(close).withColumnRenamed("a", "node"), "node", "left_semi"), "wanted")
     again = shingle_set(_among(texts, wanted.select("first_id"), "doc_id"), k).select("doc_id", F.xxhash64("set").alias("node"), "set")
     match = wanted.select(F.col("node").alias("_node"), F.col("first_id").alias("_id"))
@@ -171,13 +177,20 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     parts = at.groupBy("value", "comp").agg(F.count("*").alias("_c"))
     long = parts.groupBy("value").agg(F.sum("_c").alias("_all"), F.max_by("comp", F.struct("_c", "comp")).alias("most"), F.count("*").alias("_parts"))
     there = at.join(long.where((F.col("_all") > SHORT) & (F.col("_parts") > 1)).select("value", "most"), "value")
-    rest = there.where("comp <> most").select("value", *(F.col(c).alias("a" + c) for c in ("node", "n", "m", "comp")))
-    tests = rest.join(there.select("value", *(F.col(c).alias("b" + c) for c in ("node", "n", "m", "comp", "most"))), "value")
-    # a pair of two classes apart from the most frequent one comes up from either side
-    tests = tests.where((F.col("acomp") != F.col("bcomp")) & similar_sizes(F.col("an"), F.col("bn"), percent) & ((F.col("bcomp") == F.col("bmost")) | (F.col("anode") < F.col("bnode"))))
-    pair = [F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")]
-    tests = tests.groupBy(*pair).agg(F.count("*").alias("_c"), F.min(F.least("am", "bm")).alias("_m"))
-    tests = tests.join(met.select("a", "b", "c"), ["a", "b"], "left").where(F.col("_c") + F.coalesce("c", F.lit(0)) >= F.col("_m"))
+    rest = there.where("comp <> most").select("value", "most", *(F.col(c).alias("a" + c) for c in ("node", "n", "m", "comp")))
+    # those apart from a list's largest group are the queries; they meet the group in blocks, within rows
+    asked = rest.select("most", F.col("anode").alias("node")).distinct()
+    faced = there.where("comp = most").select("most", "node").distinct()
+    sketches = stored(_among(classes, asked.select("node").unionByName(faced.select("node")).distinct(), "node").select("node", "n", "sketch"), "faced")
+    number = F.floor((F.row_number().over(W.partitionBy("most").orderBy("node")) - 1) / BLOCK)
+    blocks = asked.join(sketches, "node").withColumn("_k", number).groupBy("most", "_k").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("block"))
+    hits = F.filter("block", lambda q: similar_sizes(q["n"], F.col("n"), percent) & _near(q["sketch"], F.col("sketch"), percent))
+    met_group = faced.join(sketches, "node").join(blocks, "most").select(F.col("node").alias("b"), F.explode_outer(F.transform(hits, lambda q: q["node"])).alias("a")).where("a IS NOT NULL").select("a", "b")
+    # and each other by their lists
+    others = rest.select("value", *(F.col("a" + c).alias("b" + c) for c in ("node", "n", "m", "comp")))
+    tests = rest.join(others, "value").where((F.col("anode") < F.col("bnode")) & (F.col("acomp") != F.col("bcomp")) & similar_sizes(F.col("an"), F.col("bn"), percent))
+    tests = tests.groupBy(F.col("anode").alias("a"), F.col("bnode").alias("b")).agg(F.count("*").alias("_c"), F.min(F.least("am", "bm")).alias("_m"))
+    tests = tests.join(met.select("a", "b", "c"), ["a", "b"], "left").where(F.col("_c") + F.coalesce("c", F.lit(0)) >= F.col("_m")).select("a", "b").unionByName(met_group)
     last = verified(tests)
     if not last.isEmpty():
         comps = components(as_edges(comps).unionByName(last))
