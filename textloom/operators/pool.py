@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Queries and rows in a block of a search, and queries whose products are held at once.
+BLOCK, SLICE = (8192, 65536), 64
+
 
 def top_k(rows: DataFrame, keys: list[str], score: str, index: str, k: int) -> DataFrame:
     """The ``k`` highest scores of each key, lower index first on ties; adds ``rank`` from 0.
@@ -16,6 +24,75 @@ def top_k(rows: DataFrame, keys: list[str], score: str, index: str, k: int) -> D
     return rows.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """float64 matrix of vectors of one length; a null vector is a row of NaN."""
+    vectors = column.combine_chunks()
+    there = pc.is_valid(vectors).to_numpy(zero_copy_only=False)
+    widths = pc.unique(pc.list_value_length(vectors.drop_null())).to_pylist()
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(widths)}")
+    out = np.full((len(vectors), widths[0] if widths else 0), np.nan)
+    if there.any():
+        out[there] = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(there.sum(), -1)
+    return out
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the ``k`` highest scores of each row, rounded to 5 places first; the first column on ties."""
+    if scores.shape[1] > k:  # rounding moves a score by half a unit of the fifth place at most
+        least = np.partition(scores, -k, axis=1)[:, -k] - 2e-5
+        row, column = np.nonzero(scores >= least[:, None])
+    else:
+        row, column = (x.ravel() for x in np.indices(scores.shape))
+    v = scores[row, column]
+    v = np.sign(v) * np.floor(np.abs(v) * 1e5 + 0.5) / 1e5
+    order = np.lexsort((column, -v, row))
+    row, column, v = row[order], column[order], v[order]
+    begin = np.searchsorted(row, row)  # ``row`` is sorted now
+    keep = np.arange(len(row)) - begin < k
+    return row[keep], column[keep], v[keep]
+
+
+def nearest(asked: DataFrame, rows: DataFrame, by: str | None, k: int, block: tuple[int, int] = BLOCK) -> DataFrame:
+    """``q, by, at, v, rank``: of each query of ``asked`` (q, qe) the ``k`` rows of each ``by`` of ``rows`` (by, at, e) with the highest dot product.
+
+    Every query meets every row: both sides are dealt into blocks by hash, and each pair of
+    blocks is one matrix product, of which k rows a query and key are left. Scores are
+    rounded to 5 places, the lower ``at`` goes first on ties; a null vector scores null.
+    """
+    m, n = (max(1, math.ceil(side.count() / most)) for side, most in zip((asked, rows), block, strict=True))
+    keys = [by] if by else []
+    place = lambda side, count: F.pmod(F.xxhash64(*side.columns), F.lit(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = asked.select("q", "qe", place(asked, m).alias("_i")).withColumn("_j", each(n))
+    rows = rows.select(*keys, "at", "e")
+    right = rows.select("*", place(rows, n).alias("_j")).withColumn("_i", each(m))
+    kinds = dict(asked.dtypes) | dict(rows.dtypes)
+    names = ["q", *keys, "at", "v"]
+
+    def run(queries: pa.Table, table: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        table = table.sort_by([(x, "ascending") for x in (*keys, "at")])
+        a, b = _matrix(queries["qe"]), _matrix(table["e"])
+        if len(a) and len(b) and a.shape[1] and b.shape[1]:
+            code = table[by].combine_chunks().dictionary_encode("encode").indices.to_numpy() if by else np.zeros(len(b), int)
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            for start, end in zip(first.tolist(), [*first[1:].tolist(), len(b)], strict=True):
+                part = b[start:end].T
+                for at in range(0, len(a), SLICE):
+                    s = a[at : at + SLICE] @ part
+                    s[np.isnan(s)] = -np.inf
+                    row, column, v = _best(s, k)
+                    found.append((row + at, column + start, v))
+        row, column, v = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        kept = table.take(pa.array(column))
+        return pa.table([queries["q"].take(pa.array(row)), *(kept[x] for x in keys), kept["at"], pa.array(v, mask=np.isneginf(v))], names=names)
+
+    schema = ", ".join(f"{x} {kinds[x]}" for x in names[:-1]) + ", v double"
+    best = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(run, schema)
+    return top_k(best, ["q", *keys], "v", "at", k)
+
+
 def unioned(scores: DataFrame, keys: list[str], index: str, score: str) -> DataFrame:
     """The largest score over labels per place."""
     return scores.groupBy(*keys, index).agg(F.max(score).alias(score))

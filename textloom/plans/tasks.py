@@ -11,6 +11,7 @@ from ..operators import pool as P
 from ..operators import relations as R
 from ..operators import spans as S
 from ..operators.schema import Family, Field, Label, Question
+from ..session import stored
 from .ner import HASH, _chats, _p, _table, _words_sql
 
 TOPICS = ("politics", "sports", "science", "travel")
@@ -182,13 +183,34 @@ def pool_topk(spark, sf_dir):
 POOL_TOPK = f"WITH {_VEC} SELECT q, vec, round(v, 4) AS v, row_number() OVER (PARTITION BY q ORDER BY v DESC, vec) - 1 AS rank FROM vs QUALIFY row_number() OVER (PARTITION BY q ORDER BY v DESC, vec) <= 10"
 
 
+def pool_topk_all(spark, sf_dir):
+    """``pool_topk`` with every vector of the table as a query."""
+    v = _table(spark, sf_dir, "embeddings")
+    out = P.nearest(v.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe")), v.select(F.col("vec_id").alias("at"), F.col("embedding").alias("e")), None, 10)
+    return out.select("q", F.col("at").alias("vec"), F.round("v", 4).alias("v"), F.col("rank").cast("long").alias("rank"))
+
+
 def pool_quota(spark, sf_dir):
     vs = _vectors(spark, sf_dir)
-    wide = P.unioned(vs, ["label"], "at", "v")
+    return _quota(P.unioned(vs, ["label"], "at", "v"), P.top_k(vs, ["label", "q"], "v", "at", 8))
+
+
+def pool_quota_all(spark, sf_dir):
+    """``pool_quota`` with every vector of the table as a query."""
+    v = _table(spark, sf_dir, "embeddings")
+    rows = v.select("label", F.col("vec_id").alias("at"), F.col("embedding").alias("e"))
+    own = P.nearest(v.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe")), rows, "label", 8)
+    # a dot product has no direction: a row's best query is its nearest vector
+    best = P.nearest(v.select(F.struct("label", "vec_id").alias("q"), F.col("embedding").alias("qe")), rows, None, 1)
+    wide = P.unioned(best.select("q.label", F.col("q.vec_id").alias("at"), "v"), ["label"], "at", "v")
+    return _quota(wide, stored(own, "own"))
+
+
+def _quota(wide, own):
+    """The pool of each label from the best scores of its rows, and the 8 best rows of each query."""
     k = 8
     tops = P.top_k(wide, ["label"], "v", "at", k)
     all_pairs = P.pairs(tops, tops, ["label"], k)
-    own = P.top_k(vs, ["label", "q"], "v", "at", k)
     by_label = P.pairs(own, own, ["label", "q"], k)
     out = P.pooled(all_pairs, by_label, ["label"], "q", 3, 12)
     return out.select("label", F.col("s").alias("s"), F.col("e").alias("e"), F.round("v", 3).alias("v"), F.col("rank").cast("long").alias("rank"))
@@ -240,6 +262,8 @@ def queries() -> dict:
         "structure_choices": structure_choices,
         "pool_topk": pool_topk,
         "pool_quota": pool_quota,
+        "pool_topk_all": pool_topk_all,
+        "pool_quota_all": pool_quota_all,
         "bucketize": bucketize,
         "prompts": prompts,
     }
