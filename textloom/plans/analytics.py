@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,9 +15,11 @@ SESSION_LABELS, SESSION_AT, SESSION_WIDTH = ("person", "location"), 0.93, 3
 
 
 def stream_sessions(spark, sf_dir):
-    """Snapshots after every turn, each turn a chunk of its conversation's session."""
+    """Snapshots after every turn, each turn a chunk of its conversation's session; an error of a chunk fails the query."""
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), F.col("text").alias("chunk"))
-    out = sessions.replay(rows, SESSION_LABELS, SESSION_AT, SESSION_WIDTH, 1 << 20)
+    out = sessions.replay(rows, SESSION_LABELS, SESSION_AT, SESSION_WIDTH, math.inf)
+    # the SQL has no column for an error, and a row without entities must not stand for one
+    out = out.withColumn("entities", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast(out.schema["entities"].dataType)).otherwise(F.col("entities")))
     text = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["type"], e["start"].cast("string"), e["end"].cast("string"))), ",")
     return out.select("session_id", "seq", F.size("entities").cast("long").alias("n"), F.col("input_tokens").cast("long").alias("input_tokens"), F.md5(text.cast("binary")).alias("spans_md5"))
 

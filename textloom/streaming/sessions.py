@@ -55,7 +55,7 @@ class Session:
     labels: tuple[str, ...]
     width: int = 12
     right: int | None = None
-    capacity: int = 4096
+    capacity: float = 4096
     prompt_tokens: int | None = None
     text: str = ""
     starts: list[int] = field(default_factory=list)
@@ -136,7 +136,7 @@ def _row(key: str, seq: int, session: Session, chunk: str | None, threshold: flo
     return {"session_id": key, "seq": seq, "entities": spans, "input_tokens": session.tokens, "error": error}
 
 
-def replay(chunks: DataFrame, labels: tuple[str, ...], threshold: float, width: int = 12, capacity: int = 4096, score: ScoreFn = hash_score) -> DataFrame:
+def replay(chunks: DataFrame, labels: tuple[str, ...], threshold: float, width: int = 12, capacity: float = 4096, score: ScoreFn = hash_score) -> DataFrame:
     """A row per chunk of (session_id, seq, chunk): the session's entities after it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -150,7 +150,7 @@ def replay(chunks: DataFrame, labels: tuple[str, ...], threshold: float, width:
 class SpanProcessor(StatefulProcessor):
     """One session per key. A null ``seq`` closes it; a seq that isn't above the last one is reported and left out."""
 
-    def __init__(self, labels: tuple[str, ...], threshold: float, width: int, capacity: int, score: ScoreFn, idle_ms: int):
+    def __init__(self, labels: tuple[str, ...], threshold: float, width: int, capacity: float, score: ScoreFn, idle_ms: int):
         self.args = (labels, threshold, width, capacity, score, idle_ms)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -192,7 +192,7 @@ class SpanProcessor(StatefulProcessor):
         pass
 
 
-def stream(chunks: DataFrame, labels: tuple[str, ...], threshold: float, width: int = 12, capacity: int = 4096, score: ScoreFn = hash_score, idle_ms: int = 0) -> DataFrame:
+def stream(chunks: DataFrame, labels: tuple[str, ...], threshold: float, width: int = 12, capacity: float = 4096, score: ScoreFn = hash_score, idle_ms: int = 0) -> DataFrame:
     """``chunks`` (session_id, seq, chunk) as a stream. The session's state store must be RocksDB."""
     processor = SpanProcessor(labels, threshold, width, capacity, score, idle_ms)
     mode = "ProcessingTime" if idle_ms else "None"
