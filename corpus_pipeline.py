@@ -23,14 +23,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id, and of rows that repeat it one."""
-    marked = stored(near_dup.kept(docs), "kept")
-    rows = without(docs, marked.where(~F.col("kept")).select("doc_id"), F.col("doc_id"))
-    twice = stored(marked.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    """One row of each group: the first by (doc_id, key), and of rows that repeat it one."""
+    marked = stored(near_dup.groups(docs).select("key", "component_key"), "groups")
+    rows = without(docs, marked.where("key <> component_key").select("key"), text_key())
+    twice = stored(marked.where("key = component_key").groupBy("key").count().where("count > 1").select("key"), "twice")
     if twice.isEmpty():
         return rows
-    again = rows.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return without(rows, twice, F.col("doc_id")).unionByName(again)
+    again = rows.withColumn("_key", text_key()).join(twice, F.col("_key") == F.col("key"), "left_semi").drop("_key").dropDuplicates(["doc_id", "text"])
+    return without(rows, twice, text_key()).unionByName(again)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

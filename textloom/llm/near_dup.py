@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import spaced_words
+from .common import spaced_words, text_key
 from .decontaminate import lowered
 
 #: Retained values, words of a shingle, and percent of similarity.
@@ -126,13 +126,17 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
 
 
 def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, key, n_shingles, component_id`` per row of ``docs`` (doc_id, text)."""
+    """``doc_id, key, n_shingles, component_id, component_key`` per row of ``docs`` (doc_id, text).
+
+    ``key`` is the row's ``text_key``, ``component_key`` that of the component's first row by
+    (doc_id, key), null doc_ids last: it tells rows apart where ids repeat or are null.
+    """
     texts = docs.select("doc_id", "text")
     rows = shingle_set(texts, k).withColumns({"n": F.size("set"), "node": F.xxhash64("set"), "node2": F.xxhash64(F.lit(1), "set")})
     # a 64-bit name per set; the second hash keeps classes apart that would share a name
-    rows = stored(rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"), "node2", F.slice("set", 1, K).alias("sketch")), "sketches")
+    rows = stored(rows.select("doc_id", text_key().alias("key"), "n", F.when(F.col("n") > 0, F.col("node")).alias("node"), "node2", F.slice("set", 1, K).alias("sketch")), "sketches")
     some = rows.where("n > 0")
-    classes = stored(some.groupBy("node", "node2", "n").agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch")), "classes")
+    classes = stored(some.groupBy("node", "node2", "n").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first_row"), F.first("sketch").alias("sketch")), "classes")
 
     values = classes.select("node", "n", F.explode("sketch").alias("value"))
     counted = values.groupBy("value").agg(F.count("*").alias("on_list")).where("on_list > 1")
@@ -196,17 +200,19 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
         comps = components(as_edges(comps).unionByName(last))
 
     # names: the smallest doc_id of each component
-    named_classes = classes.join(comps, "node", "left").select("node", "node2", "n", "first_id", F.coalesce("comp", "node").alias("comp"))
+    named_classes = classes.join(comps, "node", "left").select("node", "node2", "n", "first_id", "first_row", F.coalesce("comp", "node").alias("comp"))
     # classes that share a name by accident stay apart unless linked
-    least = named_classes.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    ids = named_classes.join(least, "comp").select("node", "node2", "component_id")
+    least = named_classes.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.min("first_row")["key"].alias("component_key"))
+    ids = named_classes.join(least, "comp").select("node", "node2", "component_id", "component_key")
     out = rows.join(ids, ["node", "node2"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = lambda c, own: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col(own)).alias(c)
+    return out.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), named("component_id", "doc_id"), named("component_key", "key"))
 
 
 def kept(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: one id of each component is kept."""
-    return groups(docs, k, percent).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = groups(docs, k, percent).select("doc_id", "n_shingles", "component_id")
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
