@@ -9,8 +9,8 @@ Sorting every suffix of a corpus against every other is cut down without losing
 2. For shared anchors, the bytes around (all windows of that anchor) are cut from the texts;
    equal pieces leave a batch once, the others are repeats.
 3. Pieces with equal grams meet, and their windows are sorted by deep-shallow sorting:
-   a multikey quicksort down to ``SHALLOW`` bytes (its passes taken eight bytes at a time
-   over all groups at once), then a blind trie per remaining group, which looks at one byte
+   vectorised lexsort passes down to ``SHALLOW`` bytes (eight bytes at a time, over all
+   windows at once) in place of the multikey quicksort, then a blind trie per remaining group, which looks at one byte
    per branch and compares a string once. Equal windows end in one leaf; all but the first
    in the order of the corpus are repeats.
 4. Ranges of repeats meet their text again and are removed.
