@@ -6,8 +6,10 @@ over the geometric mean of the sizes. ``LANDMARKS`` training texts span a Nystro
 on which one-versus-rest kernel ridge regression is solved. A batch of texts is scored by
 two matrix products: with the landmarks, then with the solved weights.
 
-Fitted on the driver on about ``PER_LANG`` rows of each of the ``MAX_LANGS`` most frequent
-languages; what is gathered of a row are ``CELLS`` bits, however long its text.
+Every lang value with text to learn from is a class. Fitted on the driver on about
+``PER_LANG`` rows of each language, fewer where ``ROWS`` would be passed, one at least; what
+is gathered of a row are ``CELLS`` bits, however long its text. Beyond ``LANDMARKS``
+languages there are as many landmarks as languages, up to ``MOST_LANDMARKS``.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows with a
 null lang are scored, not learned from; without anything to learn from all is ``und``;
@@ -25,7 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CELLS, LANDMARKS, PER_LANG, MAX_LANGS = 1 << 14, 256, 400, 200
+from ..session import stored
+from .common import hinted
+
+CELLS, LANDMARKS, MOST_LANDMARKS, PER_LANG, ROWS = 1 << 14, 256, 1024, 400, 80_000
 RIDGE = 1e-2
 #: Regression outputs are divided by this before the softmax.
 HEAT = 0.15
@@ -75,13 +80,14 @@ def fit(rows: np.ndarray, langs: list[str], landmarks: int = LANDMARKS) -> Model
     if not len(rows):
         return None
     names = sorted(set(langs))
-    y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
+    place = {name: c for c, name in enumerate(names)}
+    of = np.array([place[x] for x in langs])
+    size = np.bincount(of)
     # landmarks take languages in turn
+    by_lang = np.argsort(of, kind="stable")
     turn = np.zeros(len(rows), np.int64)
-    for c in range(len(names)):
-        own = np.flatnonzero(y[:, c] > 0)
-        turn[own] = np.arange(len(own))
-    chosen = np.argsort(turn, kind="stable")[:landmarks]
+    turn[by_lang] = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
+    chosen = np.argsort(turn, kind="stable")[: max(landmarks, min(len(names), MOST_LANDMARKS))]
     x = unit(rows)
     base = x[chosen]
     value, vector = np.linalg.eigh((base @ base.T).astype(np.float64))
@@ -89,8 +95,11 @@ def fit(rows: np.ndarray, langs: list[str], landmarks: int = LANDMARKS) -> Model
     root = vector[:, keep] / np.sqrt(value[keep])
     z = (x @ base.T) @ root
     # every language weighs the same
-    w = 1 / (y > 0).sum(0)[np.argmax(y, 1)]
-    solved = np.linalg.solve((z * w[:, None]).T @ z + RIDGE * np.eye(z.shape[1]) * w.sum() / len(z), (z * w[:, None]).T @ y)
+    w = 1 / size[of]
+    zw = z * w[:, None]
+    # targets are 1 for the own language and -1 for others: twice a language's sum less the sum of all
+    sums = np.add.reduceat(zw[by_lang], np.cumsum(size) - size, axis=0)
+    solved = np.linalg.solve(zw.T @ z + RIDGE * np.eye(z.shape[1]) * w.sum() / len(z), (2 * sums - zw.sum(0)).T)
     return Model(names, np.ascontiguousarray(base.T, np.float32), (root @ solved).astype(np.float32))
 
 
@@ -111,10 +120,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def train(docs: DataFrame) -> Model | None:
     """Learn from text and non-null lang of rows that aren't held out."""
-    known = docs.where(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
     h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.join(F.broadcast(counts), "lang").where(h < F.lit(float(PER_LANG)) / F.col("n")).where(F.col("text").rlike(r"\p{L}"))
+    known = docs.where(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")).select("lang", "text", h.alias("h"))
+    counts = stored(known.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")), "langs")
+    langs = counts.count()
+    per_lang = min(float(PER_LANG), ROWS / max(langs, 1))
+    # the row with the least hash is in, so that no language is without one
+    rows = known.join(hinted(counts, langs, 100_000), "lang").where((F.col("h") < F.lit(per_lang) / F.col("n")) | (F.col("h") == F.col("least")))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
