@@ -1,48 +1,54 @@
 """Near-duplicate groups from bottom-k sketches of one hash function.
 
 A document is the set of its word shingles' 64-bit hashes; its sketch is the K smallest.
-Texts with equal sets fall into one class first, so that a large group of copies is one
-row from there on. Inverted lists of retained values then propose pairs:
+Texts with equal sets fall into one class first (named by 128 bits), so that a large group
+of copies is one row from there on. Inverted lists of retained values then propose pairs:
 
 * two sets similar enough share at least ``least_shared`` retained values (a bound that is
-  exact for sets that a sketch holds whole, and 4.7 standard deviations wide else), so a
-  class with fewer values on any list is out, and of the others only the rarest values are
-  looked up, so many that a similar pair has ``TOGETHER`` of them in common;
-* round 1 tests each class against the first class of its lists with which it overlaps
-  most; round 2 all pairs that are still apart and overlap enough on short lists, and each
-  class against another leader of long ones; round 3 all pairs that are still apart on long
-  lists, those against a list's largest group in blocks. Pairs already connected are never formed, so a long list of copies costs its
-  length, not its square.
+  exact for sets that a sketch holds whole; else it fails for one in a million of the pairs
+  that are just similar enough, and for fewer of closer ones), so a class with fewer values
+  on any list is out, and the rarest values of the others are looked up, so many that a
+  similar pair meets on the first that both retain; it meets there only;
+* each class is tested against the first class of one of its lists; then all pairs that are
+  still apart meet on lists of up to ``SHORT`` classes, while those on longer lists are
+  tested against further leaders for as long as that joins many of them. What is left apart
+  on long lists meets in blocks, and the full sets decide there. Pairs already connected
+  are never formed, so a long list of copies costs its length, not its square.
 
 A union sketch estimates each pair's similarity; those that could pass are verified on the
 full sets. Links are joined into components by alternating large and small stars.
 
 Defined cases: texts that are null, empty or blank have no shingles and stand alone; with
-fewer words than a shingle the whole sequence is one; repeated rows are links of each
-other; a null doc_id never names a component that has another id; equal ids count as one
-id; empty tables give no rows; extra columns are not used.
+fewer words than a shingle the whole sequence is one; very long texts are read whole, their
+set being one array; repeated rows are links of each other; a null doc_id never names a
+component that has another id; equal ids count as one id; of equally good leaders the one
+with the greatest name is tested; empty tables give no rows; extra columns are not used.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 from .common import spaced_words, text_key
 from .decontaminate import lowered
 
 #: Retained values, words of a shingle, and percent of similarity.
-K, SHINGLE, PERCENT = 128, 5, 80
+K, SHINGLE, PERCENT = 32, 5, 80
+#: Share of the pairs that are just similar enough that a bound from sketches may lose.
+LOST = 1e-6
 #: Members up to which all pairs of a list that are apart are tested at once.
 SHORT = 64
-#: Queries that meet a member of a large group at once.
-BLOCK = 64
-#: Values of the looked-at part of two sketches that must agree.
-TOGETHER = 4
+#: Leaders that a class on long lists is tested against in a round.
+LEADERS = 3
+#: Further rounds of leaders while one in so many tests finds a link.
+WORTH = 20
+#: Classes, and shingles, that meet a member of a large group at once; members that share a task.
+BLOCK, BLOCK_SHINGLES, FACED = 48, 1 << 18, 2_000
 #: Rows of the tables that cut down what is joined, and further readings of the texts.
 BUCKETS = 1 << 18
 
@@ -58,12 +64,19 @@ def shingle_set(docs: DataFrame, k: int = SHINGLE, text: str = "text") -> DataFr
     return rows.withColumn("set", F.sort_array(found)).drop("_w", "_s")
 
 
+@functools.cache
+def lowest(k: int, percent: int) -> int:
+    """What a binomial count of ``k`` at ``percent`` falls short of with a chance of ``LOST`` at most."""
+    p, below, c = percent / 100, 0.0, 0
+    while c < k and (below := below + math.comb(k, c) * p**c * (1 - p) ** (k - c)) <= LOST:
+        c += 1
+    return c
+
+
 def least_shared(n: Column, percent: int = PERCENT) -> Column:
-    """How many retained values a set of ``n`` shares with one that is similar enough."""
-    p = percent / 100
-    sampled = math.floor(K * p - 4.7 * math.sqrt(K * p * (1 - p)))
+    """How many retained values a set of ``n`` shares with one that is similar enough; at least one."""
     exact = F.floor((n * percent + 99) / 100)
-    return F.when(n * 100 <= K * percent, exact).otherwise(F.least(exact, F.lit(max(sampled, 1)))).cast("int")
+    return F.when(n * 100 <= K * percent, exact).otherwise(F.least(exact, F.lit(max(lowest(K, percent), 1)))).cast("int")
 
 
 def similar_sizes(a: Column, b: Column, percent: int = PERCENT) -> Column:
@@ -77,11 +90,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(now.select(F.col("v").alias("a"), F.col("u").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = ordered(both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v")))
-        large = stored(large, "edges")
+        large = stored(ordered(both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v"))), "edges")
+        discard(now)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = stored(ordered(small), "edges")
+        discard(large)
         seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if seen == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
@@ -92,9 +106,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def _near(a: Column, b: Column, percent: int) -> Column:
     """Whether the sketch of the union leaves open that two sketched sets are similar enough."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, K)
-    p = percent / 100
-    low = F.size(union) * p - 4.7 * F.sqrt(F.size(union) * F.lit(p * (1 - p)))
-    return F.size(F.array_intersect(F.array_intersect(a, b), union)) >= low
+    least = F.element_at(F.array(*(F.lit(lowest(n, percent)) for n in range(K + 1))), F.size(union) + 1)
+    return F.size(F.array_intersect(F.array_intersect(a, b), union)) >= least
 
 
 def _among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -104,25 +117,103 @@ def _among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("_b", bucket(column)).join(near, "_b", "left_semi").drop("_b")
 
 
+def _shared(a: str, b: str, percent: int) -> Column:
+    """Whether two full sets, given by expressions, are similar enough."""
+    return F.expr(f"100 * size(array_intersect({a}, {b})) >= {percent} * (size({a}) + size({b}) - size(array_intersect({a}, {b})))")
+
+
+def _sets(wanted: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Stored ``node, set`` of the classes in ``wanted`` (node, first_id), from another reading of the texts."""
+    again = shingle_set(_among(texts, wanted.select("first_id"), "doc_id"), k).select("doc_id", _name(F.col("set")).alias("node"), "set")
+    match = wanted.select(F.col("node").alias("_node"), F.col("first_id").alias("_id"))
+    again = again.join(match, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return stored(again.groupBy("node").agg(F.first("set").alias("set")), "sets")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough, as edges (u, v).
+    """Pairs (a, b) whose full sets are similar enough, as stored edges (u, v).
 
     Union sketches decide first; only classes of pairs that pass have their full sets made,
     from another reading of the texts.
     """
-    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    pairs = stored(pairs, "pairs")
     either = lambda p: p.select("a").unionByName(p.select(F.col("b").alias("a"))).distinct()
     sketches = _among(classes, either(pairs), "node")
     sides = [sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab"]
     close = stored(pairs.join(sides[0], "a").join(sides[1], "b").where(_near(F.col("sa"), F.col("sb"), percent)).select("a", "b"), "close")
     wanted = stored(classes.select("node", "first_id").join(either(close).withColumnRenamed("a", "node"), "node", "left_semi"), "wanted")
-    again = shingle_set(_among(texts, wanted.select("first_id"), "doc_id"), k).select("doc_id", F.xxhash64("set").alias("node"), "set")
-    match = wanted.select(F.col("node").alias("_node"), F.col("first_id").alias("_id"))
-    again = again.join(match, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = stored(again.dropDuplicates(["node"]).select("node", "set"), "sets")
+    sets = _sets(wanted, texts, k)
     full = [sets.select(F.col("node").alias(x), F.col("set").alias(f"f{x}")) for x in "ab"]
-    out = close.join(full[0], "a").join(full[1], "b").withColumn("_c", F.size(F.array_intersect("fa", "fb")))
-    return out.where(100 * F.col("_c") >= percent * (F.size("fa") + F.size("fb") - F.col("_c"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    out = close.join(full[0], "a").join(full[1], "b").where(_shared("fa", "fb", percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    out = stored(out, "links")
+    discard(pairs, close, wanted, sets)
+    return out
+
+
+def _name(s: Column) -> Column:
+    """128 bits that stand for a set."""
+    return F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit(1), s).alias("b"))
+
+
+def _lists(classes: DataFrame, percent: int) -> DataFrame:
+    """Stored ``value, node, n, before``: the values of each class that are looked up, rarest first, and those before it."""
+    values = classes.select("node", "n", F.explode("sketch").alias("value"))
+    counted = values.groupBy("value").agg(F.count("*").alias("on_list")).where("on_list > 1")
+    # at most K values a class
+    listed = values.join(counted, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("on_list", "value"))).alias("_all"))
+    least = least_shared(F.col("n"), percent)
+    first = F.transform(F.slice("_all", 1, F.greatest(F.size("_all") - least + 1, F.lit(0))), lambda x: x["value"])
+    # never empty; the outer form keeps the optimizer from computing the array twice
+    listed = listed.where(F.size("_all") >= least).withColumn("_open", first)
+    return stored(listed.select("node", "n", "_open", F.posexplode_outer("_open").alias("_at", "value")).select("value", "node", "n", F.slice("_open", 1, F.col("_at")).alias("before")), "lists")
+
+
+def _led(at: DataFrame, order: Column, most: int, percent: int) -> DataFrame:
+    """Each class and up to ``most`` leaders of its lists, those met on most of them, that it is apart from."""
+    lead = at.groupBy("value").agg(F.min_by(F.struct("node", "n", "comp"), order).alias("b"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi")
+    met = at.join(lead.select("value", "b"), "value").where((F.col("comp") != F.col("b.comp")) & similar_sizes(F.col("n"), F.col("b.n"), percent))
+    met = met.groupBy(F.col("node").alias("a"), F.col("b.node").alias("b")).agg(F.count("*").alias("c"))
+    best = met.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), asc=False), 1, most).alias("best"))
+    return best.select("a", F.explode("best.b").alias("b"))
+
+
+def _apart(short: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that are apart, from the first list on which both stand."""
+    left, right = (short.select("value", *(F.col(c).alias(x + c) for c in ("node", "n", "comp", "before"))) for x in "ab")
+    new = (F.col("anode") < F.col("bnode")) & (F.col("acomp") != F.col("bcomp")) & similar_sizes(F.col("an"), F.col("bn"), percent)
+    return left.join(right, "value").where(new & ~F.arrays_overlap("abefore", "bbefore")).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
+
+
+def _rest(at: DataFrame, long: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Stored links (u, v) between classes that are apart on long lists.
+
+    Lists are put together by their largest component. Classes outside it are asked: in
+    blocks they meet all classes of those lists, and full sets decide within the row, so
+    that only links come out. A large group is dealt over tasks by salt.
+    """
+    most = at.join(long, "value").groupBy("value", "comp").agg(F.count("*").alias("_c"))
+    most = most.groupBy("value").agg(F.max_by("comp", F.struct("_c", "comp")).alias("most"))
+    there = stored(at.join(most, "value").groupBy("most", "node").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "there")
+    wanted = stored(classes.select("node", "first_id").join(there.select("node").distinct(), "node", "left_semi"), "wanted")
+    sets = _sets(wanted, texts, k)
+    asked = F.col("comp") != F.col("most")
+    size = there.groupBy("most").agg(
+        F.ceil(F.greatest(F.count_if(asked) / BLOCK, F.sum(F.when(asked, F.col("n"))) / BLOCK_SHINGLES)).alias("blocks"),
+        F.ceil(F.count("*") / FACED).cast("int").alias("salts"),
+    )
+    dealt = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts))
+    full = there.join(size, "most").join(sets, "node")
+    blocks = full.where(asked).groupBy("most", dealt("blocks").alias("_k"), "salts").agg(F.collect_list(F.struct("node", "n", "comp", "set")).alias("block"))
+    blocks = blocks.select("most", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("_salt"))
+    faced = full.select("most", "node", "n", "comp", "set", dealt("salts").cast("int").alias("_salt"))
+    # of two asked classes the first by name is the one in the block
+    hit = f"q.comp <> comp AND 100 * least(q.n, n) >= {percent} * greatest(q.n, n) AND (comp = most OR q.node < node)"
+    same = f"100 * size(array_intersect(q.set, set)) >= {percent} * (q.n + n - size(array_intersect(q.set, set)))"
+    hits = F.expr(f"transform(filter(block, q -> {hit} AND {same}), q -> q.node)")
+    met = faced.join(blocks, ["most", "_salt"]).select("node", hits.alias("hits")).where(F.size("hits") > 0)
+    out = stored(met.select(F.col("node").alias("u"), F.explode_outer("hits").alias("v")), "links")
+    discard(there, wanted, sets)
+    return out
 
 
 def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -132,79 +223,57 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     (doc_id, key), null doc_ids last: it tells rows apart where ids repeat or are null.
     """
     texts = docs.select("doc_id", "text")
-    rows = shingle_set(texts, k).withColumns({"n": F.size("set"), "node": F.xxhash64("set"), "node2": F.xxhash64(F.lit(1), "set")})
-    # a 64-bit name per set; the second hash keeps classes apart that would share a name
-    rows = stored(rows.select("doc_id", text_key().alias("key"), "n", F.when(F.col("n") > 0, F.col("node")).alias("node"), "node2", F.slice("set", 1, K).alias("sketch")), "sketches")
-    some = rows.where("n > 0")
-    classes = stored(some.groupBy("node", "node2", "n").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first_row"), F.first("sketch").alias("sketch")), "classes")
-
-    values = classes.select("node", "n", F.explode("sketch").alias("value"))
-    counted = values.groupBy("value").agg(F.count("*").alias("on_list")).where("on_list > 1")
-    listed = values.join(counted, "value")
-    own = W.partitionBy("node")
-    least = least_shared(F.col("n"), percent)
-    listed = listed.withColumn("shared", F.count("*").over(own)).withColumn("m", F.least(least, F.lit(TOGETHER)))
-    listed = listed.withColumn("open", F.col("shared") - least + F.col("m")).where(F.col("shared") >= least)
-    listed = listed.withColumn("rank", F.row_number().over(own.orderBy("on_list", "value"))).where("rank <= open")
-    lists = stored(listed.select("value", "node", "n", "m"), "lists")
+    rows = shingle_set(texts, k).withColumn("n", F.size("set"))
+    rows = stored(rows.select("doc_id", text_key().alias("key"), "n", F.when(F.col("n") > 0, _name(F.col("set"))).alias("node"), F.slice("set", 1, K).alias("sketch")), "sketches")
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    classes = stored(rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("first_id"), first_row.alias("first_row"), F.first("sketch").alias("sketch")), "classes")
+    lists = _lists(classes, percent)
 
-    verified = lambda pairs: stored(_verified(pairs, classes, texts, k, percent), "links")
+    verified = lambda pairs: _verified(pairs, classes, texts, k, percent)
     as_edges = lambda comps: comps.select(F.col("node").alias("u"), F.col("comp").alias("v"))
 
-    def placed(comps: DataFrame) -> DataFrame:
-        return stored(lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-
-    def led(at: DataFrame, order: Column) -> DataFrame:
-        """Each class and the leader of its lists with which it overlaps most, if that is enough."""
-        lead = at.groupBy("value").agg(F.min_by("node", order).alias("b"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi")
-        tests = at.join(lead.select("value", "b"), "value").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("_c"), F.max("m").alias("m"))
-        best = F.row_number().over(W.partitionBy("a").orderBy(F.desc("_c"), "b"))
-        return tests.where("_c >= m").withColumn("_r", best).where("_r = 1").select("a", "b")
-
-    # round 1
-    at = lists.withColumn("comp", F.col("node"))
-    comps = components(verified(led(at, F.col("node"))))
-
-    # round 2
-    at = placed(comps)
-    sizes = at.groupBy("value").agg(F.count("*").alias("size"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("value", "size")
-    short = at.join(sizes.where(F.col("size") <= SHORT), "value")
-    left, right = (short.select("value", *(F.col(c).alias(x + c) for c in ("node", "n", "m", "comp"))) for x in "ab")
-    apart = left.join(right, "value").where((F.col("anode") < F.col("bnode")) & (F.col("acomp") != F.col("bcomp")) & similar_sizes(F.col("an"), F.col("bn"), percent))
-    met = stored(apart.groupBy(F.col("anode").alias("a"), F.col("bnode").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("am", "bm")).alias("m")), "met")
-    leads = led(at.join(sizes.where(F.col("size") > SHORT), "value").drop("size"), F.xxhash64("node"))
-    more = verified(met.where("c >= m").select("a", "b").unionByName(leads))
-    comps = components(as_edges(comps).unionByName(more))
-
-    # round 3
-    at = placed(comps)
-    parts = at.groupBy("value", "comp").agg(F.count("*").alias("_c"))
-    long = parts.groupBy("value").agg(F.sum("_c").alias("_all"), F.max_by("comp", F.struct("_c", "comp")).alias("most"), F.count("*").alias("_parts"))
-    there = at.join(long.where((F.col("_all") > SHORT) & (F.col("_parts") > 1)).select("value", "most"), "value")
-    rest = there.where("comp <> most").select("value", "most", *(F.col(c).alias("a" + c) for c in ("node", "n", "m", "comp")))
-    # those apart from a list's largest group are the queries; they meet the group in blocks, within rows
-    asked = rest.select("most", F.col("anode").alias("node")).distinct()
-    faced = there.where("comp = most").select("most", "node").distinct()
-    sketches = stored(_among(classes, asked.select("node").unionByName(faced.select("node")).distinct(), "node").select("node", "n", "sketch"), "faced")
-    number = F.floor((F.row_number().over(W.partitionBy("most").orderBy("node")) - 1) / BLOCK)
-    blocks = asked.join(sketches, "node").withColumn("_k", number).groupBy("most", "_k").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("block"))
-    hits = F.filter("block", lambda q: similar_sizes(q["n"], F.col("n"), percent) & _near(q["sketch"], F.col("sketch"), percent))
-    met_group = faced.join(sketches, "node").join(blocks, "most").select(F.col("node").alias("b"), F.explode_outer(F.transform(hits, lambda q: q["node"])).alias("a")).where("a IS NOT NULL").select("a", "b")
-    # and each other by their lists
-    others = rest.select("value", *(F.col("a" + c).alias("b" + c) for c in ("node", "n", "m", "comp")))
-    tests = rest.join(others, "value").where((F.col("anode") < F.col("bnode")) & (F.col("acomp") != F.col("bcomp")) & similar_sizes(F.col("an"), F.col("bn"), percent))
-    tests = tests.groupBy(F.col("anode").alias("a"), F.col("bnode").alias("b")).agg(F.count("*").alias("_c"), F.min(F.least("am", "bm")).alias("_m"))
-    tests = tests.join(met.select("a", "b", "c"), ["a", "b"], "left").where(F.col("_c") + F.coalesce("c", F.lit(0)) >= F.col("_m")).select("a", "b").unionByName(met_group)
-    last = verified(tests)
-    if not last.isEmpty():
-        comps = components(as_edges(comps).unionByName(last))
+    def placed(comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Lists with components, and the sizes of those on which several stand."""
+        at = stored(lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+        sizes = at.groupBy("value").agg(F.count("*").alias("size"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi")
+        return at, stored(sizes.select("value", "size"), "sizes")
+
+    # each class and one leader
+    links = verified(_led(lists.withColumn("comp", F.col("node")), F.col("node"), 1, percent))
+    comps = components(links)
+    # all pairs of short lists, and leaders of long ones
+    at, sizes = placed(comps)
+    short = at.join(sizes.where(F.col("size") <= SHORT).select("value"), "value")
+    turn = 0
+    tests = _apart(short, percent)
+    while True:
+        long = sizes.where(F.col("size") > SHORT).select("value")
+        led = stored(_led(at.join(long, "value"), F.xxhash64("node", F.lit(turn)), LEADERS, percent), "led")
+        links = verified((led if tests is None else tests.unionByName(led)).distinct())
+        found = links.join(led.select(F.col("a").alias("u"), F.col("b").alias("v")), ["u", "v"], "left_semi").count()
+        asked = led.count()
+        if not links.isEmpty():
+            comps = components(as_edges(comps).unionByName(links))
+            discard(at, sizes)
+            at, sizes = placed(comps)
+        discard(led, links)
+        if found * WORTH <= asked:
+            break
+        tests, turn = None, turn + 1
+    # what is still apart on long lists
+    long = sizes.where(F.col("size") > SHORT).select("value")
+    if not long.isEmpty():
+        links = _rest(at, long, classes, texts, k, percent)
+        if not links.isEmpty():
+            comps = components(as_edges(comps).unionByName(links))
+    discard(at, sizes, lists)
 
     # names: the smallest doc_id of each component
-    named_classes = classes.join(comps, "node", "left").select("node", "node2", "n", "first_id", "first_row", F.coalesce("comp", "node").alias("comp"))
-    # classes that share a name by accident stay apart unless linked
+    named_classes = classes.join(comps, "node", "left").select("node", "first_id", "first_row", F.coalesce("comp", "node").alias("comp"))
     least = named_classes.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.min("first_row")["key"].alias("component_key"))
-    ids = named_classes.join(least, "comp").select("node", "node2", "component_id", "component_key")
-    out = rows.join(ids, ["node", "node2"], "left")
+    ids = stored(named_classes.select("node", "comp").join(least, "comp").select("node", "component_id", "component_key"), "names")
+    discard(classes)
+    out = rows.join(ids, "node", "left")
     named = lambda c, own: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col(own)).alias(c)
     return out.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), named("component_id", "doc_id"), named("component_key", "key"))
 
