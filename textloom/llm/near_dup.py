@@ -1,7 +1,7 @@
 """Near-duplicate groups from bottom-k sketches of one hash function.
 
 A document is the set of its word shingles' 64-bit hashes; its sketch is the K smallest.
-Texts with equal sets fall into one class first (named by 128 bits), so that a large group
+Texts with equal sets fall into one class first (told apart by 128 bits), so that a large group
 of copies is one row from there on. Inverted lists of retained values then propose pairs:
 
 * two sets similar enough share at least ``least_shared`` retained values (a bound that is
@@ -123,11 +123,9 @@ def _shared(a: str, b: str, percent: int) -> Column:
 
 
 def _sets(wanted: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Stored ``node, set`` of the classes in ``wanted`` (node, first_id), from another reading of the texts."""
-    again = shingle_set(_among(texts, wanted.select("first_id"), "doc_id"), k).select("doc_id", _name(F.col("set")).alias("node"), "set")
-    match = wanted.select(F.col("node").alias("_node"), F.col("first_id").alias("_id"))
-    again = again.join(match, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return stored(again.groupBy("node").agg(F.first("set").alias("set")), "sets")
+    """``name, set`` of the classes in ``wanted`` (name, first_id) and of some others, from another reading of the texts."""
+    again = shingle_set(_among(texts, wanted.select("first_id"), "doc_id"), k).select(_name(F.col("set")).alias("name"), "set")
+    return _among(again, wanted.select("name"), "name").groupBy("name").agg(F.first("set").alias("set"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -138,15 +136,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
     """
     pairs = stored(pairs, "pairs")
     either = lambda p: p.select("a").unionByName(p.select(F.col("b").alias("a"))).distinct()
-    sketches = _among(classes, either(pairs), "node")
-    sides = [sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab"]
-    close = stored(pairs.join(sides[0], "a").join(sides[1], "b").where(_near(F.col("sa"), F.col("sb"), percent)).select("a", "b"), "close")
-    wanted = stored(classes.select("node", "first_id").join(either(close).withColumnRenamed("a", "node"), "node", "left_semi"), "wanted")
+    sketches = _among(classes, either(pairs), "node").select("node", "name", "sketch")
+    sides = [sketches.select(F.col("node").alias(x), F.col("name").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
+    close = stored(pairs.join(sides[0], "a").join(sides[1], "b").where(_near(F.col("sa"), F.col("sb"), percent)).select("a", "b", "na", "nb"), "close")
+    wanted = stored(classes.select("node", "name", "first_id").join(either(close).withColumnRenamed("a", "node"), "node", "left_semi"), "wanted")
     sets = _sets(wanted, texts, k)
-    full = [sets.select(F.col("node").alias(x), F.col("set").alias(f"f{x}")) for x in "ab"]
-    out = close.join(full[0], "a").join(full[1], "b").where(_shared("fa", "fb", percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    full = [sets.select(F.col("name").alias(f"n{x}"), F.col("set").alias(f"f{x}")) for x in "ab"]
+    out = close.join(full[0], "na").join(full[1], "nb").where(_shared("fa", "fb", percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     out = stored(out, "links")
-    discard(pairs, close, wanted, sets)
+    discard(pairs, close, wanted)
     return out
 
 
@@ -155,17 +153,21 @@ def _name(s: Column) -> Column:
     return F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit(1), s).alias("b"))
 
 
-def _lists(classes: DataFrame, percent: int) -> DataFrame:
-    """Stored ``value, node, n, before``: the values of each class that are looked up, rarest first, and those before it."""
+def _lists(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Stored ``node, n, least, listed``: a class's retained values that others have too, rarest first; and
+    stored ``value, node, n``: inverted lists of those that are looked up. Only values that come twice are on either.
+    """
     values = classes.select("node", "n", F.explode("sketch").alias("value"))
-    counted = values.groupBy("value").agg(F.count("*").alias("on_list")).where("on_list > 1")
-    # at most K values a class
-    listed = values.join(counted, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("on_list", "value"))).alias("_all"))
-    least = least_shared(F.col("n"), percent)
-    first = F.transform(F.slice("_all", 1, F.greatest(F.size("_all") - least + 1, F.lit(0))), lambda x: x["value"])
+    counted = values.groupBy("value").agg(F.count("*").cast("int").alias("on_list")).where("on_list > 1")
+    # at most K values a class; dealt out before they are collected, because few of a class meet before
+    listed = values.join(counted, "value").repartition("node").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("on_list", "value"))).alias("_all"))
+    listed = listed.withColumn("least", least_shared(F.col("n"), percent)).where(F.size("_all") >= F.col("least"))
+    listed = stored(listed.select("node", "n", "least", F.transform("_all", lambda x: x["value"]).alias("listed")), "listed")
+    first = F.slice("listed", 1, F.greatest(F.size("listed") - F.col("least") + 1, F.lit(0)))
     # never empty; the outer form keeps the optimizer from computing the array twice
-    listed = listed.where(F.size("_all") >= least).withColumn("_open", first)
-    return stored(listed.select("node", "n", "_open", F.posexplode_outer("_open").alias("_at", "value")).select("value", "node", "n", F.slice("_open", 1, F.col("_at")).alias("before")), "lists")
+    looked = listed.select("node", "n", F.explode_outer(first).alias("value"))
+    met = looked.groupBy("value").agg(F.count("*").alias("_c")).where("_c > 1").select("value")
+    return listed, stored(looked.join(met, "value").select("value", "node", "n"), "lists")
 
 
 def _led(at: DataFrame, order: Column, most: int, percent: int) -> DataFrame:
@@ -177,11 +179,14 @@ def _led(at: DataFrame, order: Column, most: int, percent: int) -> DataFrame:
     return best.select("a", F.explode("best.b").alias("b"))
 
 
-def _apart(short: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that are apart, from the first list on which both stand."""
-    left, right = (short.select("value", *(F.col(c).alias(x + c) for c in ("node", "n", "comp", "before"))) for x in "ab")
+def _apart(short: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that are apart and retain enough in common, from the first list on which both stand."""
+    short = short.join(listed.select("node", "least", "listed"), "node")
+    left, right = (short.select("value", *(F.col(c).alias(x + c) for c in ("node", "n", "comp", "least", "listed"))) for x in "ab")
     new = (F.col("anode") < F.col("bnode")) & (F.col("acomp") != F.col("bcomp")) & similar_sizes(F.col("an"), F.col("bn"), percent)
-    return left.join(right, "value").where(new & ~F.arrays_overlap("abefore", "bbefore")).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
+    common = F.array_intersect("alisted", "blisted")  # in the order of the first: rarest first
+    here = (F.get(common, F.lit(0)) == F.col("value")) & (F.size(common) >= F.greatest("aleast", "bleast"))
+    return left.join(right, "value").where(new & here).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
 
 
 def _rest(at: DataFrame, long: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -194,8 +199,8 @@ def _rest(at: DataFrame, long: DataFrame, classes: DataFrame, texts: DataFrame,
     most = at.join(long, "value").groupBy("value", "comp").agg(F.count("*").alias("_c"))
     most = most.groupBy("value").agg(F.max_by("comp", F.struct("_c", "comp")).alias("most"))
     there = stored(at.join(most, "value").groupBy("most", "node").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "there")
-    wanted = stored(classes.select("node", "first_id").join(there.select("node").distinct(), "node", "left_semi"), "wanted")
-    sets = _sets(wanted, texts, k)
+    wanted = stored(classes.select("node", "name", "first_id").join(there.select("node").distinct(), "node", "left_semi"), "wanted")
+    sets = stored(_sets(wanted, texts, k).join(wanted.select("name", "node"), "name").select("node", "set"), "sets")
     asked = F.col("comp") != F.col("most")
     size = there.groupBy("most").agg(
         F.ceil(F.greatest(F.count_if(asked) / BLOCK, F.sum(F.when(asked, F.col("n"))) / BLOCK_SHINGLES)).alias("blocks"),
@@ -224,10 +229,12 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     """
     texts = docs.select("doc_id", "text")
     rows = shingle_set(texts, k).withColumn("n", F.size("set"))
-    rows = stored(rows.select("doc_id", text_key().alias("key"), "n", F.when(F.col("n") > 0, _name(F.col("set"))).alias("node"), F.slice("set", 1, K).alias("sketch")), "sketches")
+    rows = stored(rows.select("doc_id", text_key().alias("key"), "n", F.when(F.col("n") > 0, _name(F.col("set"))).alias("name"), F.slice("set", 1, K).alias("sketch")), "sketches")
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    classes = stored(rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("first_id"), first_row.alias("first_row"), F.first("sketch").alias("sketch")), "classes")
-    lists = _lists(classes, percent)
+    classes = rows.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id"), first_row.alias("first_row"), F.first("sketch").alias("sketch"))
+    # numbers are short and differ; once written, they stay
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    listed, lists = _lists(classes, percent)
 
     verified = lambda pairs: _verified(pairs, classes, texts, k, percent)
     as_edges = lambda comps: comps.select(F.col("node").alias("u"), F.col("comp").alias("v"))
@@ -245,7 +252,7 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     at, sizes = placed(comps)
     short = at.join(sizes.where(F.col("size") <= SHORT).select("value"), "value")
     turn = 0
-    tests = _apart(short, percent)
+    tests = _apart(short, listed, percent)
     while True:
         long = sizes.where(F.col("size") > SHORT).select("value")
         led = stored(_led(at.join(long, "value"), F.xxhash64("node", F.lit(turn)), LEADERS, percent), "led")
@@ -266,14 +273,14 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
         links = _rest(at, long, classes, texts, k, percent)
         if not links.isEmpty():
             comps = components(as_edges(comps).unionByName(links))
-    discard(at, sizes, lists)
+    discard(at, sizes, listed, lists)
 
     # names: the smallest doc_id of each component
-    named_classes = classes.join(comps, "node", "left").select("node", "first_id", "first_row", F.coalesce("comp", "node").alias("comp"))
+    named_classes = classes.join(comps, "node", "left").select("name", "first_id", "first_row", F.coalesce("comp", "node").alias("comp"))
     least = named_classes.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.min("first_row")["key"].alias("component_key"))
-    ids = stored(named_classes.select("node", "comp").join(least, "comp").select("node", "component_id", "component_key"), "names")
+    ids = stored(named_classes.select("name", "comp").join(least, "comp").select("name", "component_id", "component_key"), "names")
     discard(classes)
-    out = rows.join(ids, "node", "left")
+    out = rows.join(ids, "name", "left")
     named = lambda c, own: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col(own)).alias(c)
     return out.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), named("component_id", "doc_id"), named("component_key", "key"))
 
