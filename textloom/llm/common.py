@@ -35,21 +35,33 @@ def hinted(small: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(small) if rows <= limit else small
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column has it (case apart)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def text_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Tells rows apart when doc_id repeats or is null; equal rows share it."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+    """128 bits that tell rows apart when doc_id repeats or is null; equal rows share them."""
+    return F.struct(F.xxhash64(F.col(doc_id), F.col(text)).alias("a"), F.xxhash64(F.lit(1), F.col(doc_id), F.col(text)).alias("b"))
 
 
 def without(rows: DataFrame, gone: DataFrame, key: Column, buckets: int = 1 << 18) -> DataFrame:
-    """``rows`` without those whose ``key`` is among the longs of ``gone`` (one column).
+    """``rows`` without those whose ``key`` is among the values of ``gone`` (one column).
 
     Only rows that share one of at most ``buckets`` hash buckets with ``gone`` are shuffled.
     A null key is never gone.
     """
-    gone = gone.toDF("_gone").where("_gone IS NOT NULL").distinct()
+    own, b, lost = fresh(rows.columns, "_key", "_b", "_gone")
+    gone = gone.toDF(lost).where(F.col(lost).isNotNull()).distinct()
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
-    near = F.broadcast(gone.select(bucket("_gone").alias("_b")).distinct())
-    keyed = rows.withColumn("_key", key).withColumn("_b", bucket("_key"))
-    far = keyed.join(near, "_b", "left_anti").select(*rows.columns)
-    rest = keyed.join(near, "_b", "left_semi").join(gone, F.col("_key") == F.col("_gone"), "left_anti").select(*rows.columns)
+    near = F.broadcast(gone.select(bucket(lost).alias(b)).distinct())
+    keyed = rows.withColumn(own, key).withColumn(b, bucket(own))
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    far = keyed.join(near, b, "left_anti").select(*names)
+    rest = keyed.join(near, b, "left_semi").join(gone, F.col(own) == F.col(lost), "left_anti").select(*names)
     return far.unionByName(rest)

@@ -9,7 +9,8 @@ then those of all others; with ``slack`` terms may be that many places off (prox
 Defined cases: a null or empty text has no words and no hits; an item without words has
 no windows, and one with fewer words than a window is one window; repeated rows are
 judged each by themselves and alike; rows with equal or null ids are told apart by their
-text; empty tables give rows without hits, or no rows; extra columns are not used.
+text; very long texts are read whole, a posting a word; of equally rare terms of a window the
+first proposes; empty tables give rows without hits, or no rows; extra columns are not used.
 
 Scale: the index is written once and read by column. Terms, windows and rare terms are
 broadcast only while their counted rows stay under ``BROADCAST_ROWS``. Before the last,
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 from .common import hinted, text_key
 
 #: Words of a window.
@@ -66,12 +67,12 @@ def build_index(docs: DataFrame, vocab: DataFrame, n_vocab: int) -> DataFrame:
     texts = docs.select("doc_id", text_key().alias("key"), F.array_append(words(F.col("text")), END).alias("_words"))
     # never empty; the outer form keeps the optimizer from splitting texts twice for a filter on the size
     tokens = texts.select("doc_id", "key", F.posexplode_outer("_words").alias("pos", "_word")).withColumn("word", lowered(F.col("_word")))
-    known = vocab.unionByName(docs.sparkSession.createDataFrame([(END, None)], "word string, term long"))
+    known = vocab.unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("word"), F.lit(None).cast("long").alias("term")))
     return stored(tokens.join(hinted(known, n_vocab, BROADCAST_ROWS), "word").select("doc_id", "key", "pos", "term"), "postings")
 
 
 def matches(index: DataFrame, wins: DataFrame, n_wins: int, slack: int = 0) -> DataFrame:
-    """``key, item_id, win, start, n_win``: every place where all words of a window stand (within ``slack``).
+    """Stored ``key, item_id, win, start, n_win``: every place where all words of a window stand (within ``slack``).
 
     ``n_wins`` is the counted number of rows of ``wins``.
     """
@@ -94,12 +95,14 @@ def matches(index: DataFrame, wins: DataFrame, n_wins: int, slack: int = 0) -> D
     # all other terms of the window
     rest = ranked.where("rank > 2").select("win", "idx", "term")
     asked = agreed.where("n_win > 2").join(hinted(rest, n_wins, BROADCAST_ROWS), "win").withColumn("pos", near(F.col("start") + F.col("idx")))
-    bucket = lambda c: F.pmod(F.col(c), F.lit(FILTER_BUCKETS))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BUCKETS))
     with_candidates = F.broadcast(agreed.select(bucket("key").alias("_b")).distinct())  # FILTER_BUCKETS rows at most
     there = postings.join(hinted(rest.select("term").distinct(), n_wins, BROADCAST_ROWS), "term", "left_semi").withColumn("_b", bucket("key")).join(with_candidates, "_b", "left_semi")
     stands = asked.join(there.select("key", "pos", "term"), ["key", "pos", "term"], "left_semi").select("key", "item_id", "win", "n_win", "start", "idx").distinct()
     full = stands.groupBy("key", "item_id", "win", "n_win", "start").agg(F.count("*").alias("n")).where("n = n_win - 2").drop("n")
-    return places.where("n_win = 1").unionByName(agreed.where("n_win = 2")).unionByName(full)
+    found = stored(places.where("n_win = 1").unionByName(agreed.where("n_win = 2")).unionByName(full), "matches")
+    discard(ranked, agreed)
+    return found
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, slack: int = 0) -> DataFrame:
@@ -107,13 +110,14 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, slack: int
     wins = stored(windows(items, n), "items")
     n_wins = wins.count()
     index = build_index(docs, vocabulary(wins), n_wins)
-    found = stored(matches(index, wins, n_wins, slack), "matches")
+    found = matches(index, wins, n_wins, slack)
+    lengths = stored(index.where(F.col("term").isNull()).select("doc_id", "key", F.col("pos").alias("n_words")), "lengths")
+    discard(index, wins)
     covered = found.select("key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n_win") - 1)).alias("pos")).distinct()
     hits = covered.groupBy("key").agg(F.count("*").alias("n_hit"))
     # a row meets an item once however many windows agree; the list is no longer than the benchmark
     ids = found.select("key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    rows = index.where(F.col("term").isNull()).select("doc_id", "key", F.col("pos").alias("n_words"))
-    out = rows.join(hits.join(ids, "key"), "key", "left")
+    out = lengths.join(hits.join(ids, "key"), "key", "left")
     empty = F.array().cast("array<string>")
     return out.select(
         "doc_id",
