@@ -8,11 +8,14 @@ block, counted round the line again and again. Slots and blocks are joined on
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its
 own, the last; repeated rows are rows of their own; rows that tie on the hash (equal ids)
-are ordered by id, then size, and rows that tie on all of these are interchangeable; an
-empty table gives an empty result; extra columns are not used.
+are ordered by id, then size, and rows that tie on all of these are interchangeable; a very
+long text is as many blocks as it has; an empty table gives an empty result; extra columns are
+not used.
 
 Sizes in memory: line positions and slot ranks come from prefix sums over bounded runs of
-rows, so that no task ever holds a source; only one row per source and run is gathered.
+rows, so that no task ever holds a source; only one row per source and run is gathered. Rows
+of equal id and size are one row with a count until they have their places, so that a run of
+many null ids is no longer than there are sizes.
 """
 
 from __future__ import annotations
@@ -77,12 +80,15 @@ def _numbered(rows: DataFrame, key: str, run: str, order: list, size: Column, na
 def lines(sizes: DataFrame, goals: DataFrame, n_goals: int) -> DataFrame:
     """Rows with their place ``at`` on the shuffled line of their source."""
     known = goals.select("sid", F.col("source").alias("_source"), "source_size", "n_rows", "target")
-    rows = sizes.join(hinted(known, n_goals, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    same = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_same"))
+    rows = same.join(hinted(known, n_goals, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # md5 as text puts rows in an order that SQL engines share; its leading digits cut a source into even runs
     rows = rows.withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     part = F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     rows = rows.withColumn("_run", F.floor(part * F.ceil(F.col("n_rows") / RUN_ROWS)).cast("long"))
-    return _numbered(rows, "sid", "_run", ["_order", "doc_id", "size"], F.col("size"), "at").drop("_order", "_run")
+    rows = _numbered(rows, "sid", "_run", ["_order", "doc_id", "size"], F.col("size") * F.col("_same"), "at")
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_same") - 1))
+    return rows.withColumn("_copy", copy).withColumn("at", F.col("at") + F.col("_copy") * F.col("size")).drop("_order", "_run", "_same", "_copy")
 
 
 def segments(line: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -93,55 +99,54 @@ def segments(line: DataFrame, block: int = BLOCK) -> DataFrame:
     return cut.withColumns({"start": F.greatest(F.col("at") - at, F.lit(0)), "end": F.least(F.col("at") + F.col("size") - at, F.lit(block))})
 
 
-def schedule(spark, goals: list, block: int = BLOCK) -> DataFrame:
+def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
     """``slot, sid, rank, block, take``: which block each slot takes, and how many of its tokens.
 
-    ``goals`` holds (sid, source_size, target). The schedule has as many slots as blocks are
-    wanted, and some more, because a source's share of n points can fall short by a few.
+    ``goals`` has sid, source_size and target. There are as many golden-ratio slots as blocks
+    are wanted. A source whose share of these points falls short of its blocks (by a few, as
+    the points leave no gaps) gets the missing slots at the end, and one that has too many
+    leaves its last ones, so all in all there are fewer than three slots a block, however
+    different sources are.
     """
-    kind = "slot long, sid int, rank long, block long, take long"
-    total = sum(g[2] for g in goals)
-    if not total:
-        return spark.createDataFrame([], kind)
-    # golden-ratio points leave every interval within a few logarithms of its share
-    slack = 4 + 4 * math.log2(2 + total / block)
-    slots = max(math.ceil((g[2] / block + slack + 1) * total / g[2]) for g in goals if g[2] > 0) if len(goals) > 1 else math.ceil(total / block) + 1
-    bounds, at = [], 0.0
-    for g in goals:
-        at += g[2] / total
-        bounds.append(at)
-    point = (F.col("slot") + 1) * F.lit(GOLDEN) % 1.0
-
-    def source(lo: int, hi: int) -> Column:
-        """Of goals lo to hi the one whose stretch of [0, 1) holds the point; as deep as the logarithm of their number."""
-        if hi - lo == 1:
-            return F.lit(goals[lo][0])
-        mid = (lo + hi) // 2
-        return F.when(point < bounds[mid - 1], source(lo, mid)).otherwise(source(mid, hi))
-
-    # every source's rank r is wanted only up to its target
-    taken = spark.range(slots).withColumnRenamed("id", "slot").withColumn("sid", source(0, len(goals)).cast("int")).withColumn("_run", F.floor(F.col("slot") / RUN_SLOTS))
-    taken = _numbered(taken, "sid", "_run", ["slot"], F.lit(1), "rank")
-    known = spark.createDataFrame([(g[0], g[1], g[2]) for g in goals], "sid int, source_size long, target double")
-    taken = taken.join(hinted(known, len(goals), BROADCAST_ROWS), "sid")
+    spark = goals.sparkSession
+    whole = F.round("target").cast("long")
     # a line of S tokens has ceil(S/block) blocks; the last is short, so rounds are counted in blocks and words apart
+    turns = F.floor(whole / F.col("source_size"))
+    wanted = turns * F.ceil(F.col("source_size") / block) + F.ceil((whole - turns * F.col("source_size")) / block)
+    known = goals.where("source_size > 0 AND target >= 0.5").select("sid", "source_size", "target", wanted.alias("wanted"))
+    n, total, blocks = known.agg(F.count("*"), F.sum("target"), F.sum("wanted")).first()
+    if not n:
+        return spark.range(0).select(F.col("id").alias("slot"), F.lit(0).alias("sid"), *(F.lit(0).cast("long").alias(c) for c in ("rank", "block", "take")))
+    # one row per source: a stretch of [0, 1) each, listed under each of the cells that it meets
+    upto = F.sum(F.col("target") / F.lit(total)).over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, W.currentRow))
+    cells = 1 << max(10, (2 * n).bit_length())
+    stretch = known.withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("target") / F.lit(total))
+    stretch = stretch.withColumns({"_lo": F.when(F.col("_lo") < 1e-12, F.lit(0.0)).otherwise(F.lag("_hi").over(W.orderBy("sid"))), "_hi": F.when(F.lead("_hi").over(W.orderBy("sid")).isNull(), F.lit(1.0)).otherwise(F.col("_hi"))})
+    cell = lambda at: F.least(F.floor(at * cells), F.lit(cells - 1))
+    stretch = stretch.where("_lo < _hi").select("sid", "_lo", "_hi", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))).alias("_cell"))
+    point = (F.col("slot") + 1) * F.lit(GOLDEN) % 1.0
+    slots = spark.range(blocks).select(F.col("id").alias("slot"), point.alias("_at")).withColumn("_cell", cell(F.col("_at")))
+    slots = slots.join(hinted(stretch, cells + 2 * n, BROADCAST_ROWS), "_cell").where("_at >= _lo AND _at < _hi")
+    slots = _numbered(slots.select("slot", "sid", F.floor(F.col("slot") / RUN_SLOTS).alias("_run")), "sid", "_run", ["slot"], F.lit(1), "rank").select("slot", "sid", "rank")
+    has = slots.groupBy("sid").agg(F.count("*").alias("_has"))
+    short = known.join(hinted(has, n, BROADCAST_ROWS), "sid", "left").withColumn("_has", F.coalesce("_has", F.lit(0))).where("_has < wanted")
+    more = short.select("sid", "_has", F.explode(F.sequence(F.col("_has"), F.col("wanted") - 1)).alias("rank"))
+    more = more.select((blocks + (F.col("rank") - F.col("_has")) * (n + 1) + F.col("sid")).alias("slot"), "sid", "rank")
+    every = slots.unionByName(more).join(hinted(known, n, BROADCAST_ROWS), "sid").where("rank < wanted")
     per_round = F.ceil(F.col("source_size") / block)
     turn, number = F.floor(F.col("rank") / per_round), F.col("rank") % per_round
     before = turn * F.col("source_size") + number * block
     room = F.least(F.lit(block), F.col("source_size") - number * block)
-    take = F.least(room, F.round("target").cast("long") - before)
-    return taken.withColumns({"block": number, "take": take}).where("take > 0").select("slot", "sid", "rank", "block", "take")
+    every = every.withColumns({"block": number, "take": F.least(room, whole - before)})
+    return every.select("slot", "sid", "rank", "block", "take")
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows with at, target and source_size; the mix: ``slot, sid, rank, block, doc_id, at, start, words``)."""
     sizes = stored(sized(docs), "sizes")
     goals = stored(targets(sizes, share, most).coalesce(1), "targets")
-    # one row per source, not per document
-    every = goals.orderBy("sid").select("sid", "source_size", "target").collect()
-    wanted = [tuple(r) for r in every if r["source_size"]]
-    line = lines(sizes, goals, len(every))
-    slots = schedule(docs.sparkSession, wanted, block)
+    line = lines(sizes, goals, goals.count())
+    slots = schedule(goals, block)
     cut = segments(line, block)
     words = F.least(F.col("end"), F.coalesce("take", F.lit(0))) - F.col("start")
     mixed = cut.join(slots, ["sid", "block"], "left").withColumn("words", F.coalesce(F.greatest(words, F.lit(0)), F.lit(0)))
