@@ -2,15 +2,18 @@
 
 The model is trained in numpy, on the driver, from labelled spans: snippets of the corpus
 that the base patterns label, and the same snippets with generated personal data written
-into them in forms that the patterns don't know (``(555) 010-9999``, ``me [at] home.org``)
-or with look-alikes that are none (dates, versions, keys). It reads texts in overlapping
-windows around every character that personal data can't do without (a digit, "@" or a
-bracketed "at"); each character takes its tag from the window in whose middle it lies, so
-that spans are put together over the whole text and not window by window. Spans that
-the model adds must not touch a base span.
+into them in forms that the patterns don't know (``(555) 010-9999``, ``me [at] home.org``),
+with secrets (values of passwords, tokens and keys, which no base pattern has) or with
+look-alikes that are none (dates, versions, long words). It reads texts in overlapping
+windows around everything that personal data and secrets can't do without (a digit, "@", a
+bracketed "at", a long run of letters and digits); each character takes its emissions from
+the window in whose middle it lies, and one Viterbi pass runs over all windows that touch, so
+that spans are put together over the text and not window by window. Spans that the model
+adds must not touch a base span.
 
 Defined cases: a null text is empty and has no spans; repeated rows are judged alike; null
-ids are carried along; empty tables give no rows (the model is then trained on generated
+ids are carried along; very long texts are read whole, window by window; spans that begin at
+one place are ordered by end; empty tables give no rows (the model is then trained on generated
 text alone); extra columns are not used by ``find`` and kept by ``redact``.
 """
 
@@ -24,24 +27,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+from .common import fresh
+
+BASE_KINDS = ("email", "ip", "card", "phone")
+#: What the model tells apart: the base kinds in further forms, and secrets (keys, tokens, passwords).
+KINDS = (*BASE_KINDS, "secret")
 #: Base patterns; no start within a digit run can match where the run's first digit doesn't. Fixed values.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What personal data can't do without; the same for Java and Python.
-TRIGGER = r"[0-9@]|[\[(] ?at ?[\])]"
+#: What personal data and secrets can't do without; the same for Java and Python.
+TRIGGER = r"[0-9@]|[\[(] ?at ?[\])]|[A-Za-z0-9+/_-]{16}"
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALNUM = UPPER + UPPER.lower() + "0123456789"
+#: Runs that may be a secret.
+UNSURE = re.compile(r"[A-Za-z0-9+/_-]{12,}")
 #: Tags: none, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 CHARS, EMBED, HIDDEN = 98, 12, 20
 #: A window, and the part in its middle whose tags count.
 WIDE, CORE = 96, 32
+#: Cores of a run that are decoded together, and those of its neighbours on either side.
+RUN, LAP = 64, 4
 #: Of the corpus the model is trained on: snippets, and characters of each.
 SNIPPETS, SNIPPET = 1500, 72
-STEPS, BATCH, SURE = 260, 48, 0.9
+STEPS, BATCH, SURE = 400, 48, 0.9
+#: Characters of texts that are decoded together; a longer text is alone.
+TOGETHER = 1 << 20
 
 
 def _luhn(digits: str) -> bool:
@@ -73,7 +88,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def numbers(text: str) -> np.ndarray:
     """Characters as numbers: 0 is padding, printable ASCII has one each, other ASCII 96, all else 97."""
     c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    return np.where(c > 126, 97, np.where(c < 32, 96, c - 31)).astype(np.int64)
+    return np.where(c > 126, 97, np.where(c < 32, 96, c - 31)).astype(np.uint8)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -189,58 +204,74 @@ class Tagger:
                 self.p[k] = (self.p[k] - now * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
         return loss
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tag sequence of each window (windows x time), and the probability of each of its tags."""
-        e, _ = self.emissions(ids)
+    def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best tag sequence for emissions (time x batch x tags), as batch x time, and the probability of each of its tags."""
         move = self.p["move"] + BARRED
         score, back = e[0] + BARRED[0], np.zeros(e.shape, np.int8)
         for t in range(1, len(e)):
             step = score[:, :, None] + move
             back[t] = step.argmax(1)
             score = step.max(1) + e[t]
-        tags = np.zeros(ids.shape, np.int64)
+        rows = np.arange(e.shape[1])
+        tags = np.zeros(e.shape[1::-1], np.int64)
         tags[:, -1] = score.argmax(1)
         for t in range(len(e) - 1, 0, -1):
-            tags[:, t - 1] = back[t][np.arange(len(ids)), tags[:, t]]
+            tags[:, t - 1] = back[t][rows, tags[:, t]]
         a, b, z = self._forward_backward(e)
         p = np.exp(a + b - z[:, None]).transpose(1, 0, 2)
         return tags, np.take_along_axis(p, tags[:, :, None], 2)[:, :, 0]
 
 
-def _written(r: np.random.Generator) -> tuple[str, str | None]:
-    """Something that looks like personal data, and its kind (None: it is none)."""
+def _written(r: np.random.Generator) -> tuple[str, str, str, str | None]:
+    """What stands before it, something that looks like personal data, what stands after it, and its kind (None: it is none)."""
     d = lambda n: "".join(str(x) for x in r.integers(0, 10, n))
     w = lambda: "".join(chr(97 + x) for x in r.integers(0, 26, r.integers(3, 9)))
     site = f"{w()}.{r.choice(['com', 'org', 'net', 'example.com'])}"
     octets = ".".join(str(x) for x in r.integers(0, 256, 4))
+    some = lambda letters, n: "".join(r.choice(list(letters), n))
+    if r.random() < 0.3:  # a secret: only its value, after a name that tells or with a shape of its own
+        name = str(r.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_token", "client_secret", "Password", "TOKEN"]))
+        between = str(r.choice(["=", " = ", ": ", ":", '="', ' = "', ': "', "='", " "]))
+        end = '"' if '"' in between else "'" if "'" in between else ""
+        value = (r.bytes(int(r.integers(6, 22))).hex(), some(ALNUM, int(r.integers(12, 40))))[r.integers(0, 2)]
+        shape = int(r.integers(0, 5))
+        if shape == 0:
+            return "", str(r.choice(["AKIA", "ASIA"])) + some(UPPER + "234567", 16), "", "secret"
+        if shape == 1:
+            return "", str(r.choice(["ghp_", "sk_live_", "sk-", "xoxb-", "glpat-"])) + some(ALNUM, int(r.integers(20, 40))), "", "secret"
+        return name + between, value, end, "secret"
     made = (
         (f"({d(3)}) {d(3)}-{d(4)}", "phone"), (f"{d(3)}-{d(3)}-{d(4)}", "phone"), (f"{d(3)}.{d(3)}.{d(4)}", "phone"), (f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", "phone"),
         (f"{w()}@{site}", "email"), (f"{w()}.{w()}{d(2)}@{site}", "email"), (f"{w()} [at] {site}", "email"), (f"{w()}(at){site}", "email"), (f"{w()} @ {site}", "email"),
         (octets, "ip"), (" ".join(d(4) for _ in range(4)), "card"), ("-".join(d(4) for _ in range(4)), "card"), ("4" + d(15), "card"),
         (f"{r.integers(1, 29)}/{r.integers(1, 13)}/{r.integers(1900, 2030)}", None), (f"{r.integers(1900, 2030)}-0{r.integers(1, 9)}-{r.integers(10, 29)}", None), (f"v{r.integers(0, 20)}.{r.integers(0, 20)}.{r.integers(0, 20)}", None),
-        (d(int(r.integers(1, 8))), None), (f"${r.integers(1, 999)}.{d(2)}", None), (f"{r.integers(0, 24)}:{d(2)}", None), ("AKIA" + "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16)), None),
-        (f"password={r.bytes(9).hex()}", None), (f'token = "{r.bytes(20).hex()}"', None), (r.bytes(8).hex(), None), (f"@{w()}", None), (f"[{r.integers(1, 99)}]", None),
+        (d(int(r.integers(1, 8))), None), (f"${r.integers(1, 999)}.{d(2)}", None), (f"{r.integers(0, 24)}:{d(2)}", None), (w() + w() + w() + w(), None), (f"{w()}-{w()}-{w()}-{w()}", None),
+        (f"{w()}{w()}{w()}{w()}".upper(), None), (f"{w()}_{w()}={d(2)}", None), (r.bytes(4).hex(), None), (f"password {w()}", None), (f"@{w()}", None), (f"[{r.integers(1, 99)}]", None),
     )
-    return made[r.integers(0, len(made))]
+    what, kind = made[r.integers(0, len(made))]
+    return "", what, "", kind
 
 
 def examples(snippets: list[str], n: int = 4000, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Character numbers and tags of labelled windows: snippets as the base patterns label them, and with things written in."""
     r = np.random.default_rng(seed)
-    plain = [re.sub(r"\S*[0-9@]\S*", "", s) for s in snippets] or [" ".join("".join(chr(97 + x) for x in r.integers(0, 26, r.integers(1, 9))) for _ in range(10)) for _ in range(99)]
+    gone = re.compile(rf"\S*[0-9@]\S*|{UNSURE.pattern}")
+    plain = [gone.sub("", s) for s in snippets] or [" ".join("".join(chr(97 + x) for x in r.integers(0, 26, r.integers(1, 9))) for _ in range(10)) for _ in range(99)]
+    # what base patterns don't name may be a secret or not: such pieces are no examples of either
+    known = [s for s in snippets if not any(re.search("[0-9]|^[A-Z]*$", m[0]) and not any(a < m.end() and m.start() < z for _, a, z in base_spans(s)) for m in UNSURE.finditer(s))]
     ids, tags = np.zeros((n, SNIPPET), np.int64), np.zeros((n, SNIPPET), np.int64)
     for row in range(n):
-        if snippets and row % 3 == 0:
-            text = snippets[row // 3 % len(snippets)][:SNIPPET]
+        if known and row % 3 == 0:
+            text = known[row // 3 % len(known)][:SNIPPET]
             spans = base_spans(text)
         else:
-            around, (what, kind) = plain[r.integers(0, len(plain))], _written(r)
+            around, (before, what, after, kind) = plain[r.integers(0, len(plain))], _written(r)
             words = around.split(" ")
             at = int(r.integers(0, len(words) + 1))
             left = " ".join(words[:at])[-int(r.integers(1, SNIPPET)) :]
-            left += " " * bool(left)
-            text = (left + what + r.choice([" ", ". ", ", ", "\n"]) + " ".join(words[at:]))[:SNIPPET]
-            spans = [(kind, len(left), len(left) + len(what))] if kind and len(left) + len(what) <= len(text) else []
+            left += " " * bool(left) + before
+            text = (left + what + after + r.choice([" ", ". ", ", ", "\n"]) + " ".join(words[at:]))[:SNIPPET]
+            spans = [(kind, len(left), min(len(left) + len(what), len(text)))] if kind and len(left) < len(text) else []
         c = numbers(text)
         ids[row, : len(c)] = c
         for kind, a, z in reversed(spans):
@@ -256,7 +287,7 @@ def trained(snippets: list[str], seed: int = 0) -> Tagger:
 
 
 def snippets(docs: DataFrame, most: int = SNIPPETS) -> list[str]:
-    """Up to ``most`` pieces of text around triggers, those with the smallest hashes; every row is looked at."""
+    """Up to ``most`` different pieces of text around triggers: of each of so many parts of all hashes the piece with the least. Every row is looked at."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -271,11 +302,23 @@ def snippets(docs: DataFrame, most: int = SNIPPETS) -> list[str]:
             yield pd.DataFrame({"piece": pd.Series(out, dtype=object)})
 
     pieces = docs.select("text").where(F.col("text").rlike(TRIGGER)).mapInPandas(cut, "piece string")
-    return [r[0] for r in pieces.orderBy(F.xxhash64("piece"), "piece").limit(most).collect()]
+    # partial results hold ``most`` pieces at most, and so does what is gathered
+    pieces = pieces.groupBy(F.pmod(F.xxhash64("piece"), F.lit(most)).alias("part")).agg(F.min_by("piece", F.xxhash64(F.lit(1), "piece")).alias("piece"))
+    return sorted(r["piece"] for r in pieces.collect())
 
 
 def added(tagger: Tagger, texts: list[str], base: list[list], chunk: int = 2048) -> list[list[tuple[str, int, int]]]:
-    """Spans that the model adds to each text."""
+    """Spans that the model adds to each text; about ``TOGETHER`` characters are held as numbers at a time."""
+    out, first, size = [], 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= TOGETHER or k == len(texts) - 1:
+            out += _added(tagger, texts[first : k + 1], base[first : k + 1], chunk)
+            first, size = k + 1, 0
+    return out
+
+
+def _added(tagger: Tagger, texts: list[str], base: list[list], chunk: int) -> list[list[tuple[str, int, int]]]:
     triggers = re.compile(TRIGGER)
     coded, jobs = [numbers(t) for t in texts], []
     for k, text in enumerate(texts):
@@ -284,6 +327,7 @@ def added(tagger: Tagger, texts: list[str], base: list[list], chunk: int = 2048)
     tags = [np.zeros(len(c), np.int8) for c in coded]
     sure = [np.zeros(len(c), np.float32) for c in coded]
     side = (WIDE - CORE) // 2
+    middle = np.zeros((len(jobs), CORE, TAGS), np.float32)
     for a in range(0, len(jobs), chunk):
         part = jobs[a : a + chunk]
         ids = np.zeros((len(part), WIDE), np.int64)
@@ -291,11 +335,29 @@ def added(tagger: Tagger, texts: list[str], base: list[list], chunk: int = 2048)
             first = c * CORE - side
             piece = coded[k][max(first, 0) : first + WIDE]
             ids[row, max(-first, 0) : max(-first, 0) + len(piece)] = piece
-        found, p = tagger.decode(ids)
-        for row, (k, c) in enumerate(part):
-            n = min(CORE, len(coded[k]) - c * CORE)
-            tags[k][c * CORE : c * CORE + n] = found[row, side : side + n]
-            sure[k][c * CORE : c * CORE + n] = p[row, side : side + n]
+        e, _ = tagger.emissions(ids)
+        middle[a : a + chunk] = e[side : side + CORE].transpose(1, 0, 2)
+    # cores that touch are decoded as one; very long runs in parts that share LAP cores, of which each part's own count
+    runs, first = [], 0
+    for j in range(1, len(jobs) + 1):
+        if j == len(jobs) or jobs[j] != (jobs[j - 1][0], jobs[j - 1][1] + 1):
+            runs += [(max(first, x - LAP), min(j, x + RUN + LAP), x, min(j, x + RUN)) for x in range(first, j, RUN)]
+            first = j
+    runs.sort(key=lambda x: (x[1] - x[0], x))
+    at = 0
+    while at < len(runs):
+        z = at + 1
+        while z < len(runs) and runs[z][1] - runs[z][0] == runs[at][1] - runs[at][0] and (z - at) * (runs[z][1] - runs[z][0]) < chunk:
+            z += 1
+        e = np.stack([middle[lo:hi].reshape(-1, TAGS) for lo, hi, _, _ in runs[at:z]], 1)
+        found, p = tagger.decode(e)
+        for row, (lo, _, x, y) in enumerate(runs[at:z]):
+            k, c = jobs[x]
+            n = min((y - x) * CORE, len(coded[k]) - c * CORE)
+            own = slice((x - lo) * CORE, (x - lo) * CORE + n)
+            tags[k][c * CORE : c * CORE + n] = found[row, own]
+            sure[k][c * CORE : c * CORE + n] = p[row, own]
+        at = z
     out = []
     for k, text in enumerate(texts):
         spans, t = [], tags[k]
@@ -304,7 +366,8 @@ def added(tagger: Tagger, texts: list[str], base: list[list], chunk: int = 2048)
             while z < len(t) and t[z] == t[a] + 1:
                 z += 1
             free = all(z <= s or a >= e for _, s, e in base[k])
-            if free and sure[k][a:z].mean() >= SURE and triggers.search(text, a, z) and z - a > 5:
+            card = KINDS[t[a] // 2] == "card"
+            if free and sure[k][a:z].mean() >= SURE and triggers.search(text, a, z) and z - a > 5 and (not card or _luhn(re.sub("[^0-9]", "", text[a:z]))):
                 spans.append((KINDS[t[a] // 2], int(a), int(z)))
         out.append(spans)
     return out
@@ -348,7 +411,8 @@ def redact(docs: DataFrame, tagger: Tagger) -> DataFrame:
 
     some = F.col("text").rlike(TRIGGER)
     changed = masked.asNondeterministic()(F.when(some, F.col("text")))
-    return docs.withColumn("_masked", changed).withColumn("text", F.when(some, F.col("_masked")).otherwise(F.col("text"))).drop("_masked")
+    (new,) = fresh(docs.columns, "_masked")
+    return docs.withColumn(new, changed).withColumn("text", F.when(some, F.col(new)).otherwise(F.col("text"))).drop(new)
 
 
 def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -365,5 +429,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     rows = find(docs, trained(snippets(docs)))
     base = F.filter("pii", lambda s: s["base"])
     of = lambda kind: F.filter(base, lambda s: s["kind"] == kind)
-    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return rows.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"))
