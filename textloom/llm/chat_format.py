@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 OPEN, SEP, CLOSE, END = "<s>", "[INST]", "[/INST]", "</s>"
 #: What a text may not contain, and what stands for it.
 ESCAPES = (("\\", "\\\\"), ("<s>", "\\ls>"), ("</s>", "\\l/s>"), ("[INST]", "\\bINST]"), ("[/INST]", "\\b/INST]"))
@@ -41,23 +43,43 @@ def unescaped(text: Column) -> Column:
     return F.array_join(plain, "\\")
 
 
+#: Parts that are merged in one step of adding up lengths.
+STEP = 64
+
+
+def _places(sizes: Column) -> Column:
+    """Where each of the parts begins, given their sizes: running sums within steps, and of whole steps before them."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    before = lambda a: F.transform(a, lambda _, i: total(F.slice(a, 1, i)))
+    steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / STEP).cast("int")), lambda k: F.slice(sizes, k * STEP + 1, F.lit(STEP)))
+
+    def joined(s: Column) -> Column:
+        return let(before(F.transform(s, total)), lambda starts: F.flatten(F.transform(s, lambda part, k: F.transform(before(part), lambda x: x + F.get(starts, k)))))
+
+    return let(steps, joined)
+
+
 def _merged(parts: Column, glue) -> Column:
-    """Fold an array of structs(first, last, body, spans) into one; ``glue`` says what stands between two roles."""
+    """An array of structs(first, last, body, spans) as one; ``glue`` says what stands between two roles.
 
-    def add(acc: Column, part: Column) -> Column:
-        between = F.when(acc["last"].isNull(), F.lit("")).otherwise(glue(acc["last"], part["first"]))
-        at = F.length(acc["body"]) + F.length(between)
-        moved = F.transform(part["spans"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end")))
-        return F.struct(
-            F.coalesce(acc["first"], part["first"]).alias("first"),
-            part["last"].alias("last"),
-            F.concat(acc["body"], between, part["body"]).alias("body"),
-            F.concat(acc["spans"], moved).alias("spans"),
-        )
+    What stands before each part is put in front of it, and all is concatenated once.
+    """
+
+    def whole(p: Column) -> Column:
+        bodies = F.transform(p, lambda x, i: F.when(i == 0, x["body"]).otherwise(F.concat(glue(F.get(p, i - 1)["last"], x["first"]), x["body"])))
+
+        def placed(b: Column) -> Column:
+            def moved(starts: Column) -> Column:
+                own = lambda x, i: F.get(starts, i) + F.length(F.get(b, i)) - F.length(x["body"])
+                shift = lambda x, at: F.transform(x["spans"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end")))
+                return F.flatten(F.transform(p, lambda x, i: shift(x, own(x, i))))
+
+            spans = let(_places(F.transform(b, lambda x: F.length(x))), moved)
+            return F.struct(F.get(p, 0)["first"].alias("first"), F.element_at(p, -1)["last"].alias("last"), F.array_join(b, "").alias("body"), spans.alias("spans"))
+
+        return let(bodies, placed)
 
-    kind = "struct<first:string,last:string,body:string,spans:array<struct<start:int,end:int>>>"
-    empty = F.struct(F.lit(None).alias("first"), F.lit(None).alias("last"), F.lit("").alias("body"), F.array().alias("spans")).cast(kind)
-    return F.aggregate(parts, empty, add)
+    return let(parts, whole)
 
 
 def _glue(left: Column, right: Column) -> Column:
@@ -120,12 +142,12 @@ def digest(rows: DataFrame) -> DataFrame:
 
 
 #: The conversation that the contract adds.
-EXTRA = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+EXTRA = "SELECT -7L AS conv_id, CAST(k AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(k, role)"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return digest(rows.unionByName(spark.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string")))
+    return digest(rows.unionByName(spark.sql(EXTRA)))
 
 
 SQL = r"""
