@@ -2,19 +2,23 @@
 
 One smoothed variable-order Markov model is counted from accepted URLs and one from
 rejected URLs (those that a rule decides). A character's probability is interpolated over
-contexts of 0 to 3 symbols and read at the longest order at which its n-gram was seen.
-A URL's score is the difference of its log-likelihoods per symbol, and the threshold is
-where the scores of accepted and rejected URLs that were kept out of the counts would
-cross if they were normally distributed.
-
-Only DataFrame functions are used. URLs are written in 34 symbols, so a model has at most
-34 + 34^2 + 34^3 + 34^4 rows, whatever the input: it is counted over all URLs, and small
-enough to be broadcast.
+contexts of 0 to 2 symbols: it is read at the longest order at which its n-gram was seen,
+times what each longer context that was seen leaves to symbols that never followed it, so
+that a model's probabilities of all symbols sum to 1 in every context. A URL's score is the
+difference of its log-likelihoods per symbol, and the threshold is where the scores of
+accepted and rejected URLs that were kept out of the counts would cross if they were
+normally distributed.
+
+Only DataFrame functions are used. URLs are written in the printable characters of ASCII,
+A-Z lower-cased, and one symbol for all others, so a model has at most SIZE + SIZE^2 + SIZE^3
+n-grams (about 380,000), whatever the input: it is counted over all URLs, and small enough to
+be broadcast.
 
 Defined cases: a null url, or one without "://", has an empty host and path and is scored
 by its characters (a null like an empty one); without examples of both kinds all URLs
-without a rule are allowed; repeated rows are judged alike; empty tables give no rows;
-extra columns are not used.
+without a rule are allowed, as are those whose score is just the threshold; very long URLs
+are scored whole; repeated rows are judged alike; empty tables give no rows; extra columns
+are not used.
 """
 
 from __future__ import annotations
@@ -23,14 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 
 #: (rule, verdict). Fixed values of the contract.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Symbols: padding, end, any other character, any digit, then themselves.
-SYMBOLS = "^$~0abcdefghijklmnopqrstuvwxyz/.-_"
-SIZE = len(SYMBOLS)
-ORDER = 4
+#: Symbols: any other character, then the printable characters of ASCII without A-Z, then end and padding, which no URL holds.
+PRINTED = "".join(chr(c) for c in range(32, 127) if not 65 <= c <= 90)
+SIZE = len(PRINTED) + 3
+OTHER, STOP, PAD = 0, SIZE - 2, SIZE - 1
+ORDER = 3
 #: Weight of the next shorter context.
 ALPHA = 2.0
 #: Of this many parts of the ruled URLs one is kept out of the counts, for the threshold.
@@ -61,10 +66,9 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
 def symbols(url: Column) -> Column:
     """The URL in the symbols' numbers, with padding before and the end's symbol after."""
     plain = F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER)
-    plain = F.regexp_replace(F.regexp_replace(plain, r"[^0-9a-z/._-]", "~"), r"[0-9]", "0")
-    pad = SYMBOLS[0] * (ORDER - 1)
-    letters = F.filter(F.split(F.concat(F.lit(pad), plain, F.lit(SYMBOLS[1])), "", -1), lambda c: c != "")
-    return F.transform(letters, lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+    letters = F.filter(F.split(plain, "", -1), lambda c: c != "")
+    own = F.transform(letters, lambda c: F.instr(F.lit(PRINTED), c))
+    return F.concat(F.array(*[F.lit(PAD)] * (ORDER - 1)), own, F.array(F.lit(STOP)))
 
 
 def grams(rows: DataFrame, url: str = "url") -> DataFrame:
@@ -83,9 +87,12 @@ def grams(rows: DataFrame, url: str = "url") -> DataFrame:
 
 
 def model(ruled: DataFrame) -> DataFrame:
-    """``order, g, ratio``: log P(accepted) - log P(rejected) for every n-gram of 1 to ORDER symbols that was seen.
+    """``order, g, ratio, left``: what was seen of 1 to ORDER symbols.
 
-    ``ruled`` has url and verdict.
+    ``ratio`` is log P(accepted) - log P(rejected) of an n-gram's last symbol. ``left`` is the
+    same for all symbols that never came after ``g`` as a context of ``order`` symbols, on top
+    of their ratio at the order below; order 0 has one row, with the ratio of symbols that
+    never came at all. Rows are n-grams, contexts or both. ``ruled`` has url and verdict.
     """
     seen = grams(ruled.select("url", (F.col("verdict") == "allow").alias("ok"))).groupBy("g").agg(F.count_if(F.col("ok")).alias("a"), F.count_if(~F.col("ok")).alias("b"))
     seen = stored(seen, "url-grams")
@@ -95,29 +102,41 @@ def model(ruled: DataFrame) -> DataFrame:
         around = W.partitionBy(F.floor(F.col("g") / SIZE))  # at order 1 the context is empty: SIZE rows
         counts = counts.withColumns({"na": F.sum("a").over(around), "nb": F.sum("b").over(around)})
         if below is None:
-            p = {f"p{x}": (F.col(x) + 1) / (F.col(f"n{x}") + SIZE) for x in "ab"}
-            table = counts.withColumns(p)
+            table = counts.withColumns({f"p{x}": (F.col(x) + 1) / (F.col(f"n{x}") + SIZE) for x in "ab"})
+            left = F.log((F.col("nb") + SIZE) / (F.col("na") + SIZE))
         else:
             shorter = below.select(F.col("g").alias("_g"), F.col("pa").alias("_pa"), F.col("pb").alias("_pb"))
             joined = counts.withColumn("_g", F.col("g") % SIZE ** (k - 1)).join(shorter, "_g")
-            p = {f"p{x}": (F.col(x) + ALPHA * F.col(f"_p{x}")) / (F.col(f"n{x}") + ALPHA) for x in "ab"}
-            table = joined.withColumns(p)
+            table = joined.withColumns({f"p{x}": (F.col(x) + ALPHA * F.col(f"_p{x}")) / (F.col(f"n{x}") + ALPHA) for x in "ab"})
+            left = F.log((F.col("nb") + ALPHA) / (F.col("na") + ALPHA))
         below = table.select("g", "pa", "pb")
-        tables.append(below.select(F.lit(k).alias("order"), "g", (F.log("pa") - F.log("pb")).alias("ratio")))
+        tables.append(below.select(F.lit(k).alias("order"), "g", (F.log("pa") - F.log("pb")).alias("ratio"), F.lit(None).cast("double").alias("left")))
+        contexts = counts.groupBy(F.floor(F.col("g") / SIZE).alias("g")).agg(F.first(left).alias("left"))
+        tables.append(contexts.select(F.lit(k - 1).alias("order"), "g", F.lit(None).cast("double").alias("ratio"), "left"))
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    return stored(out.coalesce(4), "url-model")
+    out = out.groupBy("order", "g").agg(F.max("ratio").alias("ratio"), F.max("left").alias("left"))
+    out = stored(out.coalesce(4), "url-model")
+    discard(seen)
+    return out
 
 
 def scored(rows: DataFrame, ratios: DataFrame) -> DataFrame:
-    """``rows`` (url and what must be kept with it) with ``score``, the mean ratio per symbol. A model's size is bounded by its alphabet."""
+    """``rows`` (url and what must be kept with it) with ``score``, the mean log-likelihood ratio per symbol. A model's size is bounded by its alphabet."""
     keep = rows.columns
     out = grams(rows)
     for k in range(1, ORDER + 1):
-        part = F.broadcast(ratios.where(F.col("order") == k).select(F.col("g").alias(f"_g{k}"), F.col("ratio").alias(f"_r{k}")))
-        out = out.withColumn(f"_g{k}", F.col("g") % SIZE**k).join(part, f"_g{k}", "left")
-    ratio = F.coalesce(*(F.col(f"_r{k}") for k in range(ORDER, 0, -1)), F.lit(0.0))
+        part = ratios.where(F.col("order") == k).select(F.col("g").alias(f"_g{k}"), F.col("ratio").alias(f"_r{k}"))
+        out = out.withColumn(f"_g{k}", F.col("g") % SIZE**k).join(F.broadcast(part.where(F.col(f"_r{k}").isNotNull())), f"_g{k}", "left")
+    for k in range(ORDER):
+        part = ratios.where((F.col("order") == k) & F.col("left").isNotNull()).select(F.col("g").alias(f"_h{k}"), F.col("left").alias(f"_l{k}"))
+        out = out.withColumn(f"_h{k}", F.floor(F.col("g") / SIZE) % SIZE**k).join(F.broadcast(part), f"_h{k}", "left")
+    # from the longest order down: what was seen there, or what its context leaves, and the order below
+    ratio = F.coalesce("_l0", F.lit(0.0))
+    for k in range(1, ORDER + 1):
+        left = F.coalesce(F.col(f"_l{k - 1}"), F.lit(0.0)) + ratio if k > 1 else ratio
+        ratio = F.coalesce(F.col(f"_r{k}"), left)
     # repeated rows fall into one group and are told out again
     per = out.groupBy(*keep).agg(F.avg(ratio).alias("score"), F.count("*").alias("_all"), F.max("_one").alias("_one"))
     copies = F.sequence(F.lit(1), (F.col("_all") / F.col("_one")).cast("int"))
