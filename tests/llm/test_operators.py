@@ -41,6 +41,11 @@ def empty(spark):
     return spark.createDataFrame([], KIND)
 
 
+@pytest.fixture(scope="module")
+def taught():
+    return pii.trained([])
+
+
 ITEMS = "item_id long, text string, win long"
 
 
@@ -171,8 +176,8 @@ def test_gradients_and_learning():
         assert (loss[0] - loss[1]) / 2e-3 == pytest.approx(g[k][at], rel=2e-2, abs=1e-3)
 
 
-def test_model_adds_spans_and_leaves_clean_text(spark):
-    tagger = pii.trained([])
+def test_model_adds_spans_and_leaves_clean_text(spark, taught):
+    tagger = taught
     r = random.Random(2)
     texts = [f"{prose(r, 30)} (555) 010-9999 {prose(r, 30)}", f"{prose(r, 20)} version 3.14 of 2019-03-04 {prose(r, 20)}", prose(r, 50), f"{prose(r, 40)} me@home.org and 10.1.2.3 {prose(r, 9)}"]
     rows = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tagger).orderBy("doc_id").collect()
@@ -183,6 +188,51 @@ def test_model_adds_spans_and_leaves_clean_text(spark):
     assert "[PHONE]" in masked[0] and "[EMAIL] and [IP]" in masked[3] and masked[2] == texts[2]
 
 
+def test_secrets_are_learned(taught):
+    tagger, r = taught, random.Random(21)
+    hexed = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    made = [lambda: ("password=", hexed(18), ""), lambda: ("", "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), ""), lambda: ('token = "', hexed(40), '"')]
+    texts, want = [], []
+    for i in range(60):
+        before, secret, after = made[i % 3]()
+        left = prose(r, r.randrange(5, 60)) + " " + before
+        texts.append(left + secret + after + " " + prose(r, 30))
+        want.append(("secret", len(left), len(left) + len(secret)))
+    texts += [prose(r, 80) + " " + "".join(r.choice("abdegilmnou") for _ in range(24)) for _ in range(20)]
+    got = pii.added(tagger, texts, [pii.base_spans(t) for t in texts])
+    assert sum(g == [w] for g, w in zip(got, want, strict=False)) >= 57
+    assert sum(map(len, got[60:])) <= 1
+
+
+def test_decoding_against_all_sequences():
+    t = pii.Tagger(3)
+    e = np.random.default_rng(1).normal(size=(4, 2, pii.TAGS)).astype(np.float32) * 2
+    tags, sure = t.decode(e)
+    move = t.p["move"] + pii.BARRED
+    for b in range(2):
+        weight = {y: e[0, b, y[0]] + pii.BARRED[0, y[0]] + sum(move[y[i - 1], y[i]] + e[i, b, y[i]] for i in range(1, 4)) for y in itertools.product(range(pii.TAGS), repeat=4)}
+        best = max(weight, key=weight.get)
+        assert tuple(tags[b]) == best
+        total = sum(math.exp(w) for w in weight.values())
+        for i in range(4):
+            assert sure[b, i] == pytest.approx(sum(math.exp(w) for y, w in weight.items() if y[i] == best[i]) / total, rel=1e-3)
+
+
+def test_long_runs_are_decoded_as_one(taught):
+    tagger = taught
+    line = "call (555) 010-9999 or 12 people "
+    text = line * 300
+    (got,) = pii.added(tagger, [text], [[]])
+    phones = {(a, z) for k, a, z in got if k == "phone"}
+    assert sum((k * len(line) + 5, k * len(line) + 19) in phones for k in range(300)) >= 290
+
+
+def test_snippets_are_different_and_bounded(spark):
+    rows = [(i, "the same footer of 2019 " + "x" * 60) for i in range(300)] + [(1000 + i, f"text number {i} " + "y" * 80) for i in range(40)] + [(2000, None)]
+    got = pii.snippets(spark.createDataFrame(rows, "doc_id long, text string"), 64)
+    assert len(got) == len(set(got)) <= 64 and len(got) > 20
+
+
 # 4
 
 
@@ -201,6 +251,31 @@ def test_mix_meets_targets(spark):
     assert math.isclose(sum(goal for _, goal, _ in by.values()), 1.5 * sum(len(d[2].split()) for d in docs))
 
 
+def test_slots_follow_blocks_however_different_sources_are(spark):
+    goals = spark.createDataFrame([(0, 1, 1.0), (1, 1_200_000, 1_799_999.0), (2, 900, 1800.0), (3, 0, 0.0)], "sid int, source_size long, target double")
+    slots = mixing.schedule(goals).collect()
+    blocks = {0: 1, 1: 9375 + 4688, 2: 16}
+    assert len(slots) == sum(blocks.values()) and len({s.slot for s in slots}) == len(slots)
+    for sid, size, target in ((0, 1, 1), (1, 1_200_000, 1_799_999), (2, 900, 1800)):
+        own = sorted((s.rank, s.block, s["take"]) for s in slots if s.sid == sid)
+        assert [r for r, _, _ in own] == list(range(blocks[sid])) and sum(t for _, _, t in own) == target
+        assert all(b == r % -(-size // 128) for r, b, _ in own)
+    big = [s.sid == 2 for s in sorted(slots) if s.slot < 14_000]
+    assert all(sum(big[a : a + 7000]) >= 6 for a in range(0, len(big) - 7000, 1000))
+
+
+def test_many_sources_and_equal_ids(spark):
+    r = random.Random(5)
+    docs = [(r.choice([None, 1, i]), f"s{i % 700}", prose(r, r.randrange(1, 5))) for i in range(2100)]
+    got = mixing.taken(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()
+    assert len(got) == len(docs)
+    by = {}
+    for x in got:
+        assert 0 <= x.taken <= 2 * x.size
+        by.setdefault(x.source, [0, x.target])[0] += x.taken
+    assert len(by) == 700 and all(abs(t - goal) <= 0.5001 for t, goal in by.values())
+
+
 # 5
 
 
@@ -221,33 +296,48 @@ def test_rules_and_language_models(spark):
 
 
 def test_scores_against_a_plain_restatement(spark):
-    ruled = [("http://a.b/cc", "allow"), ("http://a.b/cd", "allow"), ("http://zz.q/9", "block")]
-    table = {(r.order, r.g): r.ratio for r in url_filter.model(spark.createDataFrame(ruled, "url string, verdict string")).collect()}
+    ruled = [("http://a.b/cc", "allow"), ("http://a.b/cd", "allow"), ("http://zz.q/9", "block"), ("HTTP://zz.q/97?x=%20", "block")]
+    ratios = url_filter.model(spark.createDataFrame(ruled, "url string, verdict string"))
+    size, order = url_filter.SIZE, url_filter.ORDER
 
     def numbers(url):
-        low = re.sub("[0-9]", "0", re.sub("[^0-9a-z/._-]", "~", re.sub("[A-Z]", lambda m: m[0].lower(), url)))
-        return [url_filter.SYMBOLS.index(c) for c in "^^^" + low + "$"]
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), url or "")
+        return [size - 1] * (order - 1) + [url_filter.PRINTED.find(c) + 1 for c in low] + [size - 2]
 
     counts = {x: {} for x in ("allow", "block")}
     for url, v in ruled:
         s = numbers(url)
-        for i in range(3, len(s)):
-            for k in range(1, 5):
+        for i in range(order - 1, len(s)):
+            for k in range(1, order + 1):
                 counts[v][tuple(s[i - k + 1 : i + 1])] = counts[v].get(tuple(s[i - k + 1 : i + 1]), 0) + 1
 
     def p(v, g):
         total = sum(n for h, n in counts[v].items() if len(h) == len(g) and h[:-1] == g[:-1])
         if len(g) == 1:
-            return (counts[v].get(g, 0) + 1) / (total + url_filter.SIZE)
+            return (counts[v].get(g, 0) + 1) / (total + size)
         return (counts[v].get(g, 0) + url_filter.ALPHA * p(v, g[1:])) / (total + url_filter.ALPHA)
 
     seen = set(counts["allow"]) | set(counts["block"])
-    assert len(table) == len(seen)
-    for g in seen:
-        at = 0
-        for x in g:
-            at = at * url_filter.SIZE + x
-        assert table[len(g), at] == pytest.approx(math.log(p("allow", g) / p("block", g)))
+    assert {r.order * size**order + r.g for r in ratios.where("ratio IS NOT NULL").collect()} == {len(g) * size**order + sum(x * size**i for i, x in enumerate(reversed(g))) for g in seen}
+    context = tuple(numbers("a")[:order])[1:]
+    for v in counts:  # in any context the probabilities of all symbols sum to 1
+        assert sum(p(v, (*context, x)) for x in range(size)) == pytest.approx(1)
+    urls = [u for u, _ in ruled] + [None, "", "http://a.b/zq", "new things", "é~", "http://a.b/cc"]
+    got = url_filter.scored(spark.createDataFrame(list(enumerate(urls)), "id long, url string"), ratios).collect()
+    assert len(got) == len(urls)
+    for x in got:
+        s = numbers(x.url)
+        each = [math.log(p("allow", tuple(s[i - order + 1 : i + 1])) / p("block", tuple(s[i - order + 1 : i + 1]))) for i in range(order - 1, len(s))]
+        assert x.score == pytest.approx(sum(each) / len(each))
+
+
+def test_threshold_is_equally_far_from_both(spark):
+    scores = [("allow", 1.0), ("allow", 3.0), ("block", -4.0), ("block", -2.0), ("block", -3.0)]
+    cut = url_filter.threshold(spark.createDataFrame(scores, "verdict string, score double"))
+    a, b = np.array([1.0, 3.0]), np.array([-4.0, -2.0, -3.0])
+    assert (a.mean() - cut) / a.std() == pytest.approx((cut - b.mean()) / b.std())
+    assert url_filter.threshold(spark.createDataFrame([("allow", 1.0), ("block", 0.0)], "verdict string, score double")) == 0.5
+    assert url_filter.threshold(spark.createDataFrame([("allow", 1.0)], "verdict string, score double")) == 0.0
 
 
 # 6

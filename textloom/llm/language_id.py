@@ -13,7 +13,8 @@ languages there are as many landmarks as languages, up to ``MOST_LANDMARKS``.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows with a
 null lang are scored, not learned from; without anything to learn from all is ``und``;
-repeated rows are scored alike; a null doc_id isn't held out; empty tables give no rows;
+repeated rows are scored alike; of equally likely languages the first by name is given; very
+long texts are read whole, in pieces; a null doc_id isn't held out; empty tables give no rows;
 extra columns are not used.
 """
 
@@ -36,6 +37,8 @@ RIDGE = 1e-2
 HEAT = 0.15
 #: Texts in a matrix, and bytes that are cut into n-grams at a time.
 BATCH, PIECE = 128, 1 << 20
+#: Rows that are unpacked at a time in the fit.
+BLOCK = 1024
 UNKNOWN = "und"
 
 
@@ -76,7 +79,12 @@ class Model:
         return z / z.sum(1, keepdims=True)
 
 
+def _unpacked(bits: np.ndarray) -> np.ndarray:
+    return unit(np.unpackbits(bits, axis=1)[:, :CELLS].astype(np.float32))
+
+
 def fit(rows: np.ndarray, langs: list[str], landmarks: int = LANDMARKS) -> Model | None:
+    """``rows`` are packed bits (texts x CELLS / 8); of them only ``BLOCK`` are unpacked at a time, and the landmarks."""
     if not len(rows):
         return None
     names = sorted(set(langs))
@@ -88,12 +96,11 @@ def fit(rows: np.ndarray, langs: list[str], landmarks: int = LANDMARKS) -> Model
     turn = np.zeros(len(rows), np.int64)
     turn[by_lang] = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
     chosen = np.argsort(turn, kind="stable")[: max(landmarks, min(len(names), MOST_LANDMARKS))]
-    x = unit(rows)
-    base = x[chosen]
+    base = _unpacked(rows[chosen])
     value, vector = np.linalg.eigh((base @ base.T).astype(np.float64))
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
-    z = (x @ base.T) @ root
+    z = np.concatenate([(_unpacked(rows[a : a + BLOCK]) @ base.T) @ root for a in range(0, len(rows), BLOCK)])
     # every language weighs the same
     w = 1 / size[of]
     zw = z * w[:, None]
@@ -139,7 +146,7 @@ def train(docs: DataFrame) -> Model | None:
     # sorted bits are no random order: landmarks are the first of each language
     order = np.random.default_rng(0).permutation(len(got))
     packed = np.frombuffer(b"".join(bytes(got[i]["bits"]) for i in order), np.uint8).reshape(len(got), CELLS // 8)
-    return fit(np.unpackbits(packed, axis=1)[:, :CELLS].astype(np.float32), [got[i]["lang"] for i in order])
+    return fit(packed, [got[i]["lang"] for i in order])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -4,15 +4,16 @@ Statistics are computed by Spark expressions over whole texts; only these number
 Python. Trees are complete and of one depth, so a forest is three arrays (feature,
 threshold, leaf value) that numpy walks for all rows and trees at once.
 
-The trees are fitted on the driver on at most ``TRAIN_ROWS`` labelled rows, those with the
-smallest hash of doc_id. Labels, lang, source and doc_id are never features.
+The trees are fitted on the driver on at most ``TRAIN_ROWS`` labelled ids, those with the
+smallest hash of doc_id, with one text each. Labels, lang, source and doc_id are never features.
 
 Defined cases: null, empty and blank texts have statistics of 0 and are scored like any
 other; labels that are null are left out, and repeated labels of an id are averaged
 (label 1 from a half); without labels, or with one kind of label, the score is the
 smoothed share of label 1; a null doc_id isn't held out and has no label; repeated rows
-are scored alike; empty tables give no rows; extra columns are carried along, except that
-columns named as a result are replaced.
+are scored alike, and of equal gains of a split the first feature and threshold is taken; very
+long texts are counted whole; empty tables give no rows; extra columns are carried along, except
+that columns named as a result are replaced (``into`` names the results otherwise).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, spaced_pieces
+from .common import fresh, let, spaced_pieces
 from .quality_rules import SYMBOLS
 
 TRAIN_ROWS = 8000
@@ -33,9 +34,10 @@ TREES, DEPTH, RATE, BINS, MIN_ROWS, RIDGE = 60, 4, 0.15, 64, 8, 1.0
 CUT = 0.3
 
 
-def features(text: Column) -> dict[str, Column]:
-    """Name -> expression over columns that ``with_features`` adds; shares are of words, characters or lines."""
-    n, chars = F.greatest(F.col("_n"), F.lit(1)), F.greatest(F.length(text), F.lit(1))
+def features(text: Column, pieces: str, words: str) -> dict[str, Column]:
+    """Name -> expression over the text and the columns of its pieces and words; shares are of words, characters or lines."""
+    count = F.size(words)
+    n, chars = F.greatest(count, F.lit(1)), F.greatest(F.length(text), F.lit(1))
     lines = F.size(F.split(text, "\n", -1))
 
     def absent(*what: str) -> Column:
@@ -44,10 +46,10 @@ def features(text: Column) -> dict[str, Column]:
             rest = F.replace(rest, F.lit(s), F.lit(""))
         return F.length(text) - F.length(rest)
 
-    again = F.size(F.filter(F.arrays_zip(F.col("_words").alias("a"), F.slice("_words", 2, F.greatest(F.col("_n"), F.lit(0))).alias("b")), lambda p: p["a"] == p["b"]))
+    again = F.size(F.filter(F.arrays_zip(F.col(words).alias("a"), F.slice(words, 2, F.greatest(count, F.lit(0))).alias("b")), lambda p: p["a"] == p["b"]))
     return {
-        "words": F.log1p("_n"),
-        "word_chars": (F.length(text) - F.size("_pieces") + 1) / n,
+        "words": F.log1p(count),
+        "word_chars": (F.length(text) - F.size(pieces) + 1) / n,
         "symbols": absent(*SYMBOLS) / n,
         "bars": absent("|") / n,
         "bangs": absent("!") / n,
@@ -56,17 +58,19 @@ def features(text: Column) -> dict[str, Column]:
         "capitals": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) / chars,
         "lines": lines / n,
         "same_lines": let(F.split(text, "\n", -1), lambda x: F.size(x) - F.size(F.array_distinct(x))) / lines,
-        "distinct": F.size(F.array_distinct("_words")) / n,
+        "distinct": F.size(F.array_distinct(words)) / n,
         "again": again / n,
     }
 
 
 def with_features(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
-    """``docs`` with the statistics as columns ``_f_*``."""
+    """``docs`` with the statistics as further columns, and their names; no column of ``docs`` is touched."""
     own = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("_pieces", spaced_pieces(own)).withColumn("_words", F.array_remove("_pieces", "")).withColumn("_n", F.size("_words"))
-    found = {f"_f_{k}": v.cast("double") for k, v in features(own).items()}
-    return rows.withColumns(found).drop("_pieces", "_words", "_n"), list(found)
+    pieces, words = fresh(docs.columns, "_pieces", "_words")
+    rows = docs.withColumn(pieces, spaced_pieces(own)).withColumn(words, F.array_remove(pieces, ""))
+    found = features(own, pieces, words)
+    names = fresh(rows.columns, *(f"_f_{k}" for k in found))
+    return rows.withColumns({n: v.cast("double") for n, v in zip(names, found.values(), strict=True)}).drop(pieces, words), names
 
 
 @dataclass
@@ -139,14 +143,17 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> F
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows, names = with_features(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))  # train_rows at most
-    got = np.array([tuple(r) for r in rows.select("doc_id", "_y", *names).limit(2 * train_rows).collect()], float).reshape(-1, 2 + len(names))
-    got = got[np.lexsort(got.T[::-1])]
+    # train_rows at most; of rows that repeat an id the one whose text has the least hash
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id", "_y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows, names = with_features(rows)
+    got = np.array([tuple(r) for r in rows.select("doc_id", "_y", *names).collect()], float).reshape(-1, 2 + len(names))
+    got = got[np.argsort(got[:, 0], kind="stable")]
     return fit(got[:, 2:], got[:, 1])
 
 
-def score(docs: DataFrame, forest: Forest) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``."""
+def score(docs: DataFrame, forest: Forest, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with ``score`` and ``predicted``, or what ``into`` calls them."""
     rows, names = with_features(docs)
 
     @F.pandas_udf("double")
@@ -154,8 +161,8 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
         return pd.Series(forest.scores(np.stack([c.to_numpy() for c in columns], 1)))
 
     # not deterministic for the optimizer: else it may run the trees twice
-    out = rows.withColumn("score", walk.asNondeterministic()(*names)).drop(*names)
-    return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    out = rows.withColumn(into[0], walk.asNondeterministic()(*names)).drop(*names)
+    return out.withColumn(into[1], (F.col(into[0]) >= CUT).cast("int"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
