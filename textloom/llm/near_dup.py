@@ -125,7 +125,8 @@ def _shared(a: str, b: str, percent: int) -> Column:
 def _sets(wanted: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """``name, set`` of the classes in ``wanted`` (name, first_id) and of some others, from another reading of the texts."""
     again = shingle_set(_among(texts, wanted.select("first_id"), "doc_id"), k).select(_name(F.col("set")).alias("name"), "set")
-    return _among(again, wanted.select("name"), "name").groupBy("name").agg(F.first("set").alias("set"))
+    # no filter by name before the shuffle: the optimizer would make all sets of the corpus anew for it
+    return again.groupBy("name").agg(F.first("set").alias("set"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
