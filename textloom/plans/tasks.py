@@ -19,7 +19,7 @@ MOODS = ("positive", "negative", "neutral")
 
 
 def classify_multi(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").where(F.length("text") > 0)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").where(~T.is_blank(F.col("text")))
     raw = D.logits(F.col("text"), TOPICS, HASH)
     out = docs.select("doc_id", F.posexplode_outer(D.multi_label(raw, 0.7)).alias("place", "r")).where("r IS NOT NULL")
     return out.select("doc_id", F.col("place").cast("long").alias("place"), F.col("r.label").alias("label"), F.round("r.p", 6).alias("p"))
@@ -30,17 +30,17 @@ def _raw(names, text: str, source: str, keys: str) -> str:
     return f"SELECT {keys}, k, name, 4.0::DOUBLE * {_p('name', text)} AS v FROM {source}, (VALUES {values}) l(k, name)"
 
 
-CLASSIFY_MULTI = f"""WITH r AS ({_raw(TOPICS, "text", "documents", "doc_id")} WHERE length(text) > 0), s AS (SELECT *, 1 / (1 + exp(-v)) AS p FROM r)
+CLASSIFY_MULTI = f"""WITH r AS ({_raw(TOPICS, "text", "documents", "doc_id")} WHERE text IS NOT NULL AND NOT regexp_matches(text, '^[\\s\\x0B]*$')), s AS (SELECT *, 1 / (1 + exp(-v)) AS p FROM r)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, k) - 1 AS place, name AS label, round(p, 6) AS p FROM s WHERE p >= 0.7"""
 
 
 def classify_single(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").where(F.length("text") > 0)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").where(~T.is_blank(F.col("text")))
     best = F.get(D.single_label(D.logits(F.col("text"), MOODS, HASH)), 0)
     return docs.withColumn("r", best).groupBy(F.col("r.label").alias("label")).agg(F.count("*").alias("n"), F.round(F.avg("r.p"), 6).alias("mean_p"))
 
 
-CLASSIFY_SINGLE = f"""WITH r AS ({_raw(MOODS, "text", "documents", "doc_id")} WHERE length(text) > 0),
+CLASSIFY_SINGLE = f"""WITH r AS ({_raw(MOODS, "text", "documents", "doc_id")} WHERE text IS NOT NULL AND NOT regexp_matches(text, '^[\\s\\x0B]*$')),
 s AS (SELECT *, exp(v) / sum(exp(v)) OVER (PARTITION BY doc_id) AS p FROM r), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, k) = 1)
 SELECT name AS label, count(*) AS n, round(avg(p), 6) AS mean_p FROM b GROUP BY name"""
 

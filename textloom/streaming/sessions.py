@@ -33,11 +33,11 @@ def hash_score(label: str, surface: str) -> float:
 
 
 def candidate_spans(past: int, added: int, width: int, right: int) -> list[tuple[int, int]]:
-    """Spans (first, last word, inclusive) to score when ``added`` words follow ``past``: new ones, and older ones whose right context has changed."""
+    """Spans (first, last word, inclusive) to score when ``added`` words follow ``past``: those that end in new words, and those that end within ``right`` words of the last."""
     if not added:
         return []
     total = past + added
-    least_end = min(past, max(0, past - right))
+    least_end = min(past, max(0, total - 1 - right))
     first = max(0, least_end - (width - 1))
     return [(s, e) for s in range(first, total) for e in range(max(s, least_end), min(total, s + width))]
 
