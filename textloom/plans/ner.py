@@ -20,9 +20,15 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows):
+    """``rows`` over all cores where their files make fewer partitions than that; larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def tokenize(how: T.Preset):
     def run(spark, sf_dir):
-        rows = T.with_words(_table(spark, sf_dir, "documents").select("doc_id", "text"), how)
+        rows = T.with_words(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), how)
         total = lambda f: F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + w[f])
         return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), total("s").alias("start_sum"), total("e").alias("end_sum"), F.md5(F.array_join(F.transform("words", lambda w: w["w"]), " ").cast("binary")).alias("words_md5"))
 
@@ -81,7 +87,7 @@ gr AS (SELECT c.* FROM {source} c JOIN (SELECT {key}, x.o AS ord FROM ke) USING
 
 
 def _chats(spark, sf_dir):
-    return T.with_words(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    return T.with_words(_spread(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")))
 
 
 def _found(spark, sf_dir):
