@@ -216,8 +216,9 @@ def _rest(at: DataFrame, long: DataFrame, classes: DataFrame, texts: DataFrame,
     hit = f"q.comp <> comp AND 100 * least(q.n, n) >= {percent} * greatest(q.n, n) AND (comp = most OR q.node < node)"
     same = f"100 * size(array_intersect(q.set, set)) >= {percent} * (q.n + n - size(array_intersect(q.set, set)))"
     hits = F.expr(f"transform(filter(block, q -> {hit} AND {same}), q -> q.node)")
-    met = faced.join(blocks, ["most", "_salt"]).select("node", hits.alias("hits")).where(F.size("hits") > 0)
-    out = stored(met.select(F.col("node").alias("u"), F.explode_outer("hits").alias("v")), "links")
+    met = faced.join(blocks, ["most", "_salt"]).select(F.col("node").alias("u"), F.explode_outer(hits).alias("v"))
+    # a filter on the number of hits would go into the join, and all pairs be tested twice
+    out = stored(met.where("v IS NOT NULL"), "links")
     discard(there, wanted, sets)
     return out
 
