@@ -48,7 +48,7 @@ LEADERS = 3
 #: Further rounds of leaders while one in so many tests finds a link.
 WORTH = 20
 #: Classes, and shingles, that meet a member of a large group at once; members that share a task.
-BLOCK, BLOCK_SHINGLES, FACED = 48, 1 << 18, 2_000
+BLOCK, BLOCK_SHINGLES, FACED = 48, 1 << 18, 200
 #: Rows of the tables that cut down what is joined, and further readings of the texts.
 BUCKETS = 1 << 18
 
@@ -118,8 +118,8 @@ def _among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 
 def _shared(a: str, b: str, percent: int) -> Column:
-    """Whether two full sets, given by expressions, are similar enough."""
-    return F.expr(f"100 * size(array_intersect({a}, {b})) >= {percent} * (size({a}) + size({b}) - size(array_intersect({a}, {b})))")
+    """Whether two full sets, given by expressions, are similar enough, from one intersection."""
+    return F.expr(f"{100 + percent} * size(array_intersect({a}, {b})) >= {percent} * (size({a}) + size({b}))")
 
 
 def _sets(wanted: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -214,8 +214,11 @@ def _rest(at: DataFrame, long: DataFrame, classes: DataFrame, texts: DataFrame,
     faced = full.select("most", "node", "n", "comp", "set", dealt("salts").cast("int").alias("_salt"))
     # of two asked classes the first by name is the one in the block
     hit = f"q.comp <> comp AND 100 * least(q.n, n) >= {percent} * greatest(q.n, n) AND (comp = most OR q.node < node)"
-    same = f"100 * size(array_intersect(q.set, set)) >= {percent} * (q.n + n - size(array_intersect(q.set, set)))"
+    same = f"{100 + percent} * size(array_intersect(q.set, set)) >= {percent} * (q.n + n)"
     hits = F.expr(f"transform(filter(block, q -> {hit} AND {same}), q -> q.node)")
+    # a stated number: by their bytes, which are few, salts would be put together in one task
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    faced, blocks = (x.repartition(parts, "most", "_salt") for x in (faced, blocks))
     met = faced.join(blocks, ["most", "_salt"]).select(F.col("node").alias("u"), F.explode_outer(hits).alias("v"))
     # a filter on the number of hits would go into the join, and all pairs be tested twice
     out = stored(met.where("v IS NOT NULL"), "links")
