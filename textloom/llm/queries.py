@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, mixing, near_dup, pii, quality_model, quality_rules, repeats, url_filter
+from . import chat_format, decontaminate, importance, language_id, mixing, near_dup, pii, quality_model, quality_rules, repeats, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_repeats": repeats.query,
         "op9_quality_rules": quality_rules.query,
         "op10_quality_model": quality_model.query,
+        "op13_importance_resampling": importance.query,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": chat_format.SQL,
         "op7_near_dup": near_dup.sql(),
         "op9_quality_rules": quality_rules.SQL,
+        "op13_importance_resampling": importance.SQL,
     }
