@@ -84,7 +84,7 @@ def similar_sizes(a: Column, b: Column, percent: int = PERCENT) -> Column:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node, comp`` for every node of ``edges`` (u, v) but the least of its component, which is ``comp``."""
+    """Stored ``node, comp`` for every node of ``edges`` (u, v) but the least of its component, which is ``comp``."""
     ordered = lambda e: e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, before = stored(ordered(edges), "edges"), None
     for _ in range(rounds):
@@ -98,7 +98,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         discard(large)
         seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if seen == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            out.stored_at = now.stored_at
+            return out
         before = seen
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
