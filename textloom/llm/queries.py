@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, importance, language_id, mixing, near_dup, pii, quality_model, quality_rules, repeats, simhash, url_filter
+from . import chat_format, decontaminate, hard_negatives, importance, language_id, mixing, near_dup, pii, quality_model, quality_rules, repeats, simhash, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_repeats": repeats.query,
         "op9_quality_rules": quality_rules.query,
         "op10_quality_model": quality_model.query,
+        "op11_hard_negatives": hard_negatives.query,
         "op12_simhash": simhash.query,
         "op13_importance_resampling": importance.query,
     }
@@ -29,6 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": chat_format.SQL,
         "op7_near_dup": near_dup.sql(),
         "op9_quality_rules": quality_rules.SQL,
-        "op12_simhash": simhash.query,
+        "op11_hard_negatives": hard_negatives.SQL,
         "op13_importance_resampling": importance.SQL,
     }
