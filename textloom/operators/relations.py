@@ -7,32 +7,65 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import semantic, token_set
+from . import spans as S
 from .schema import Field
 from .scorer import Scorer
 
 
+def asked(unit: str, fields: list[str], instances: Column) -> Column:
+    """Labels of every field of every instance of a unit, in that order."""
+    names = F.array(*map(F.lit, fields))
+    return F.flatten(F.transform(places(instances), lambda inst: F.transform(names, lambda f: F.concat(F.lit(f"{unit}:"), inst.cast("string"), F.lit(":"), f))))
+
+
+def places(instances: Column) -> Column:
+    """0 to ``instances`` - 1."""
+    return F.when(instances > 0, F.sequence(F.lit(0), instances.cast("int") - 1)).otherwise(F.slice(F.array(F.lit(0)), 1, 0))
+
+
+def best_of(spans: Column, name: str) -> Column:
+    """The most probable candidate as struct(k, i, j, name, text, start, end), ``k`` being -p; null without any.
+
+    Ties go to the earlier start, then the narrower span.
+    """
+    made = F.transform(spans, lambda c: F.struct((-c["p"]).alias("k"), c["first"].alias("i"), (c["last"] - c["first"]).alias("j"), F.lit(name).alias("name"), c["text"].alias("text"), c["start"].alias("start"), c["end"].alias("end")))
+    return F.array_min(made)
+
+
+def best_fields(spans: Column, fields: list[str], instances: Column, first: Column | int, width: int) -> Column:
+    """Array over instances of arrays over fields of the best span; ``first`` is the place of the unit's first label."""
+    m, base = len(fields), first if isinstance(first, Column) else F.lit(first)
+    own = lambda inst, f: S.of_labels(spans, base + inst * m + f, base + inst * m + f + 1, width)
+    return F.transform(places(instances), lambda inst: F.array(*(best_of(own(inst, f), name) for f, name in enumerate(fields))))
+
+
 def best_spans(rows: DataFrame, unit: str, fields: list[str], scorer: Scorer, threshold: float, instances: Column, width: int) -> DataFrame:
     """Adds ``best``: array over instances of arrays over fields of the most probable span (null if none reaches the threshold).
 
-    Ties go to the earlier start, then the narrower span. Scores are of (unit, instance, field).
+    Scores are of (unit, instance, field); all of them share one pass over the spans.
     """
-    words = F.col("words")
+    rows = rows.withColumn("_n", instances).withColumn("_asked", asked(unit, fields, F.col("_n")))
+    rows = S.candidates(rows, F.col("_asked"), scorer, threshold, width, "_cands")
+    return rows.withColumn("best", best_fields(F.col("_cands"), fields, F.col("_n"), 0, width)).drop("_n", "_asked", "_cands")
 
-    def of_field(inst: Column, f: Column) -> Column:
-        label = F.concat(F.lit(unit), F.lit(":"), inst.cast("string"), F.lit(":"), f)
 
-        def grid(w: Column, i: Column) -> Column:
-            def span(v: Column, j: Column) -> Column:
-                text = F.array_join(F.slice("pieces", w["p"] + 1, v["p"] - w["p"] + 1), "")
-                return F.struct((-scorer.score(label, text)).alias("k"), i.alias("i"), j.alias("j"), f.alias("name"), text.alias("text"), w["s"].alias("start"), v["e"].alias("end"))
+def structures(spans: Column, fields: tuple[Field, ...], instances: Column, first: Column | int, width: int) -> Column:
+    """Array over instances of maps field -> spans: the best one of a STRING field, the greedy choice of a LIST field.
 
-            return F.filter(F.transform(F.slice(words, i + 1, width), span), lambda c: -c["k"] >= threshold)
+    Fields without a span are absent; an instance without fields stays, as an empty map.
+    Choices are snapped to before anything is chosen.
+    """
+    m, base = len(fields), first if isinstance(first, Column) else F.lit(first)
 
-        return F.array_min(F.flatten(F.transform(words, grid)))
+    def value(inst: Column, f: int, field: Field) -> Column:
+        own = snapped(S.of_labels(spans, base + inst * m + f, base + inst * m + f + 1, width), field)
+        return F.slice(S.by_confidence(own), 1, 1) if field.kind == "STRING" else S.greedy(own)
 
-    names = F.array(*map(F.lit, fields))
-    wanted = F.when(instances > 0, F.sequence(F.lit(0), instances - 1)).otherwise(F.slice(F.array(F.lit(0)), 1, 0))
-    return rows.withColumn("best", F.transform(wanted, lambda n: F.transform(names, lambda f: of_field(n, f))))
+    def instance(inst: Column) -> Column:
+        values = F.array(*(F.struct(F.lit(field.name).alias("name"), value(inst, f, field).alias("spans")) for f, field in enumerate(fields)))
+        return F.map_from_entries(F.filter(values, lambda x: F.size(x["spans"]) > 0))
+
+    return F.transform(places(instances), instance)
 
 
 def relations(best: Column) -> Column:

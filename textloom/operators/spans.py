@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from ..functions.text import let
 from .scorer import Scorer
 
 SPAN = "struct<ord:bigint,label:string,first:int,last:int,start:int,end:int,text:string,p:double>"
@@ -23,29 +24,36 @@ def labels_of(names: list[str] | tuple[str, ...] | Column) -> Column:
     return names if isinstance(names, Column) else F.array(*map(F.lit, names))
 
 
-def candidates(rows: DataFrame, names, scorer: Scorer, threshold: float, max_width: int = 12) -> DataFrame:
+def candidates(rows: DataFrame, names, scorer: Scorer, threshold: float, max_width: int = 12, into: str = "cands") -> DataFrame:
     """Adds ``cands``: every span of 1 to ``max_width`` words for every label with p >= threshold, in the order of label, start, width.
 
-    Needs ``pieces`` and ``words`` (functions.text.with_words). The threshold is applied
-    while spans are built, so that the full grid never exists.
+    Needs ``pieces`` and ``words`` (functions.text.with_words). A span's text is made once for
+    all labels, and the threshold is applied where it is scored, so that the full grid never
+    exists.
     """
     labels = labels_of(names)
     words, n = F.col("words"), F.size("words").cast("long")
 
-    def of_word(label: Column, k: Column):
-        def build(w: Column, i: Column) -> Column:
-            def span(v: Column, j: Column) -> Column:
-                text = F.array_join(F.slice("pieces", w["p"] + 1, v["p"] - w["p"] + 1), "")
-                at = (k * n + i) * max_width + j
-                return F.struct(at.cast("long").alias("ord"), label.alias("label"), i.alias("first"), (i + j).alias("last"), w["s"].alias("start"), v["e"].alias("end"), text.alias("text"), scorer.score(label, text).alias("p"))
+    def of_word(w: Column, i: Column) -> Column:
+        def of_span(v: Column, j: Column) -> Column:
+            def scored(text: Column) -> Column:
+                at = lambda k: ((k * n + i) * max_width + j).cast("long")
+                made = F.transform(labels, lambda label, k: F.struct(at(k).alias("ord"), label.alias("label"), i.alias("first"), (i + j).alias("last"), w["s"].alias("start"), v["e"].alias("end"), text.alias("text"), scorer.score(label, text).alias("p")))
+                return F.filter(made, lambda c: c["p"] >= threshold)
 
-            grid = F.transform(F.slice(words, i + 1, max_width), span)
-            return F.filter(grid, lambda c: c["p"] >= threshold)
+            return let(F.array_join(F.slice("pieces", w["p"] + 1, v["p"] - w["p"] + 1), ""), scored)
 
-        return build
+        return F.flatten(F.transform(F.slice(words, i + 1, max_width), of_span))
 
-    found = F.flatten(F.transform(labels, lambda label, k: F.flatten(F.transform(words, of_word(label, k)))))
-    return rows.withColumn("cands", found)
+    # ``ord`` comes first in the struct, and no two are equal
+    return rows.withColumn(into, F.sort_array(F.flatten(F.transform(words, of_word))))
+
+
+def of_labels(spans: Column, first: Column | int, end: Column | int, max_width: int) -> Column:
+    """The candidates of labels ``first`` to ``end`` (exclusive), by their places among those asked for."""
+    each = F.size("words").cast("long") * max_width
+    low, high = ((x if isinstance(x, Column) else F.lit(x)) * each for x in (first, end))
+    return F.filter(spans, lambda c: (c["ord"] >= low) & (c["ord"] < high))
 
 
 def by_confidence(spans: Column) -> Column:

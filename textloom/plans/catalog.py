@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, ner, tasks
+from . import analytics, extraction, ner, tasks
 
-PARTS = (ner, tasks, analytics)
+PARTS = (ner, tasks, extraction, analytics)
 
 
 def queries() -> dict:
