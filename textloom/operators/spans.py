@@ -31,10 +31,9 @@ def candidates(rows: DataFrame, names, scorer: Scorer, threshold: float, max_wid
     all labels, and the threshold is applied where it is scored, so that the full grid never
     exists.
     """
-    labels = labels_of(names)
     words, n = F.col("words"), F.size("words").cast("long")
 
-    def of_word(w: Column, i: Column) -> Column:
+    def of_word(labels: Column, w: Column, i: Column) -> Column:
         def of_span(v: Column, j: Column) -> Column:
             def scored(text: Column) -> Column:
                 at = lambda k: ((k * n + i) * max_width + j).cast("long")
@@ -45,8 +44,10 @@ def candidates(rows: DataFrame, names, scorer: Scorer, threshold: float, max_wid
 
         return F.flatten(F.transform(F.slice(words, i + 1, max_width), of_span))
 
+    # labels are bound: the optimizer moves what makes them to where they are used, which is in every span
+    every = let(labels_of(names), lambda labels: F.flatten(F.transform(words, lambda w, i: of_word(labels, w, i))))
     # ``ord`` comes first in the struct, and no two are equal
-    return rows.withColumn(into, F.sort_array(F.flatten(F.transform(words, of_word))))
+    return rows.withColumn(into, F.sort_array(every))
 
 
 def of_labels(spans: Column, first: Column | int, end: Column | int, max_width: int) -> Column:

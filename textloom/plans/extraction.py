@@ -1,11 +1,15 @@
-"""Queries of structures and of combined extraction, with SQL counterparts."""
+"""Queries of structures, combined extraction, boundary evidence and label embeddings, with SQL counterparts."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from .. import api
+from ..functions.text import let, with_words
+from ..operators import boundary as B
+from ..operators import pool as P
 from ..operators.schema import Field, Label, Relation, Schema, Structure
+from ..session import stored
 from .ner import HASH, _cands_sql, _greedy_sql, _p, _spread, _table, _words_sql
 
 PRODUCT = Structure("product", (Field("name"), Field("features", "LIST"), Field("kind", "STRING", None, ("the", "and of", "la"))))
@@ -101,9 +105,60 @@ al AS ({" UNION ALL ".join(found)})
 SELECT c.conv_id, c.turn, u.unit, coalesce(al.n, 0) AS n, md5(coalesce(al.t, '')) AS found_md5 FROM conversations c CROSS JOIN (VALUES {units}) u(unit) LEFT JOIN al ON al.conv_id = c.conv_id AND al.turn = c.turn AND al.unit = u.unit"""
 
 
+#: A pool's starts and ends, pairs of each label that are sure to be in it, its size; temperature and threshold.
+NAMES, TOP, QUOTA, POOL, TEMPERATURE, SURE = ("person", "location"), 8, 2, 24, 1.5, 0.75
+
+
+def boundary_evidence(spark, sf_dir):
+    """The pairs of each text's pool that a label is sure of, with the evidence of their inside."""
+    rows = B.with_evidence(B.marks(with_words(_texts(spark, sf_dir)), NAMES, HASH))
+    rows = B.candidates(B.with_pool(rows, TOP, QUOTA, POOL), SURE, TEMPERATURE, POOL)
+    said = lambda c, own: B.evidence(F.get(own["prefix"], (c["ord"] / POOL).cast("int")), F.get(own["mean"], (c["ord"] / POOL).cast("int")), c["first"], c["last"] + 1)
+    found = let(F.struct("prefix", "mean"), lambda own: F.transform("cands", lambda c: F.struct(c.alias("c"), said(c, own).alias("v"))))
+    rows = rows.select("conv_id", "turn", F.explode_outer(found).alias("x")).where("x IS NOT NULL")
+    return rows.select("conv_id", "turn", F.col("x.c.label").alias("label"), F.col("x.c.first").cast("long").alias("s"), (F.col("x.c.last") + 1).cast("long").alias("e"), F.col("x.c.text").alias("text"), F.round("x.v", 6).alias("evidence"), F.round("x.c.p", 6).alias("p"))
+
+
+def _evidence_sql() -> str:
+    values = ", ".join(f"({i}, '{n}')" for i, n in enumerate(NAMES))
+    logit = lambda part: f"4 * {_p(f"l.name || ':{part}:' || i", 'w')} - 2"
+    top = lambda name, at, v: f"{name} AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY v DESC, b) - 1 AS r FROM (SELECT conv_id, turn, {at} AS b, max({v}) AS v FROM lg GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY v DESC, b) <= {TOP})"
+    return f"""WITH {_words_sql("conversations", "conv_id, turn")},
+lg AS (SELECT conv_id, turn, i, l.k AS lk, l.name AS label, {logit("start")} AS a, {logit("inside")} AS m, {logit("end")} AS z FROM wd, (VALUES {values}) l(k, name)),
+{top("us", "i", "a")}, {top("ue", "i + 1", "z")},
+pr AS (SELECT us.conv_id, us.turn, us.b AS s, ue.b AS e, us.v + ue.v AS v, us.r * {TOP} + ue.r AS i FROM us JOIN ue USING (conv_id, turn) WHERE ue.b > us.b),
+ow AS (SELECT pr.conv_id, pr.turn, pr.s, pr.e, a.lk, row_number() OVER (PARTITION BY pr.conv_id, pr.turn, a.lk ORDER BY a.a + z.z DESC, pr.i) - 1 AS r
+  FROM pr JOIN lg a ON a.conv_id = pr.conv_id AND a.turn = pr.turn AND a.i = pr.s JOIN lg z ON z.conv_id = pr.conv_id AND z.turn = pr.turn AND z.i = pr.e - 1 AND z.lk = a.lk),
+al AS (SELECT conv_id, turn, s, e, v, i FROM pr UNION ALL SELECT conv_id, turn, s, e, 5000.0 + {QUOTA} - r, lk * {QUOTA} + r - 1099511627776 FROM ow WHERE r < {QUOTA}),
+on1 AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY conv_id, turn, s, e ORDER BY v DESC, i) = 1),
+po AS (SELECT * FROM on1 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY v DESC, i) <= {POOL}),
+ev AS (SELECT po.conv_id, po.turn, po.s, po.e, x.label, x.lk, sum(x.m) / sqrt(max(po.e - po.s)) AS v, max(CASE WHEN x.i = po.s THEN x.a END) AS a, max(CASE WHEN x.i = po.e - 1 THEN x.z END) AS z
+  FROM po JOIN lg x ON x.conv_id = po.conv_id AND x.turn = po.turn AND x.i >= po.s AND x.i < po.e GROUP BY ALL),
+sc AS (SELECT *, 1 / (1 + exp(-(a + z + v) / {TEMPERATURE}::DOUBLE)) AS p FROM ev)
+SELECT sc.conv_id, sc.turn, sc.label, sc.s, sc.e, array_to_string(list_slice(pa.ps, f.k, t.k), '') AS text, round(sc.v, 6) AS evidence, round(sc.p, 6) AS p FROM sc JOIN pa USING (conv_id, turn)
+JOIN wd f ON f.conv_id = sc.conv_id AND f.turn = sc.turn AND f.i = sc.s JOIN wd t ON t.conv_id = sc.conv_id AND t.turn = sc.turn AND t.i = sc.e - 1 WHERE sc.p >= {SURE}"""
+
+
+def label_embeddings(spark, sf_dir):
+    """Every vector against the mean vector of each label: its two best labels, by dot product over the root of the dimension."""
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    labels = stored(B.mean_vectors(v, "label", "embedding"), "labels")
+    asked = v.select(F.struct("vec_id", F.size("embedding").alias("dim")).alias("q"), F.col("embedding").alias("qe"))
+    best = P.nearest(asked, labels.select(F.col("label").alias("at"), F.col("embedding").alias("e")), None, 2)
+    scaled = F.col("v") / F.sqrt(F.col("q.dim").cast("double"))
+    return best.select(F.col("q.vec_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.col("at").alias("label"), F.round(B.probability(scaled, TEMPERATURE), 6).alias("p"))
+
+
+LABEL_EMBEDDINGS = f"""WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings WHERE label IS NOT NULL),
+m AS (SELECT label, d, avg(x) AS x FROM x GROUP BY ALL), l AS (SELECT label, list(x ORDER BY d) AS e FROM m GROUP BY label),
+s AS (SELECT vec_id, l.label, len(embedding) AS dim, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * l.e[i])), 5) AS v FROM embeddings, l),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, label) - 1 AS rank FROM s)
+SELECT vec_id, rank, label, round(1 / (1 + exp(-v / sqrt(dim) / {TEMPERATURE}::DOUBLE)), 6) AS p FROM r WHERE rank < 2"""
+
+
 def queries() -> dict:
-    return {"structures_instances": structures_instances, "extract_schema": extract_schema}
+    return {"structures_instances": structures_instances, "extract_schema": extract_schema, "boundary_evidence": boundary_evidence, "label_embeddings": label_embeddings}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"structures_instances": STRUCTURES, "extract_schema": _schema_sql()}
+    return {"structures_instances": STRUCTURES, "extract_schema": _schema_sql(), "boundary_evidence": _evidence_sql(), "label_embeddings": LABEL_EMBEDDINGS}

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import boundary as B
 from ..operators import decide as D
 from ..operators import pool as P
 from ..operators import relations as R
@@ -114,34 +115,43 @@ re AS (SELECT h.conv_id, h.turn, h.inst, h.surface AS head, t.surface AS tail, l
 SELECT conv_id, turn, head, tail, round(p, 6) AS confidence, hs AS head_start, ts AS tail_start FROM re QUALIFY row_number() OVER (PARTITION BY conv_id, turn, hs, he, ts, te ORDER BY inst) = 1"""
 
 
+#: Arguments of a role, pairs of a text, and their threshold.
+ROLE, PAIRS, ARGUMENT = 8, 40, 0.985
+
+
 def _edges(spark, sf_dir):
-    """Edges between spans of one text: every pair of the greedy choice's neighbours."""
-    rows = S.candidates(_chats(spark, sf_dir), ("person", "company"), HASH, 0.985, 2)
-    flat = rows.select("conv_id", F.explode_outer("cands").alias("c")).where("c IS NOT NULL").join(_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("_n")), "conv_id").drop("_n")
-    part = lambda label, x, s, e: flat.where(F.col("c.label") == label).select("conv_id", F.col("c.text").alias(x), F.col("c.start").cast("long").alias(s), F.col("c.end").cast("long").alias(e), F.col("c.p").alias(f"p{s}")).distinct()
-    both = part("person", "head", "hs", "he").join(part("company", "tail", "ts", "te"), "conv_id").withColumn("p", F.col("phs") * F.col("pts"))
-    k = F.row_number().over(W.partitionBy("conv_id").orderBy("hs", "he", "ts", "te", "head", "tail")).cast("long")
-    return both.withColumn("k", k).select("conv_id", "k", "p", "head", "hs", "he", "tail", "ts", "te")
+    """Edges of each text between its best heads and tails."""
+    rows = S.candidates(_chats(spark, sf_dir), ("person", "company"), HASH, ARGUMENT, 2)
+    role = lambda k: B.arguments(S.of_labels(F.col("cands"), k, k + 1, 2), ARGUMENT, ROLE)
+    pairs = rows.withColumns({"_h": role(0), "_t": role(1)}).select("conv_id", "turn", F.explode_outer(B.argument_pairs(F.col("_h"), F.col("_t"), ROLE, PAIRS)).alias("p")).where("p IS NOT NULL")
+    part = lambda x, y: [F.col(f"p.{x}.text").alias(x), F.col(f"p.{x}.start").cast("long").alias(f"{y}s"), F.col(f"p.{x}.end").cast("long").alias(f"{y}e")]
+    return pairs.select("conv_id", "turn", F.col("p.i").alias("k"), (-F.col("p.k")).alias("p"), *part("head", "h"), *part("tail", "t"))
 
 
 def relations_boundary(spark, sf_dir):
-    out = R.deduplicated(_edges(spark, sf_dir), ["conv_id"])
-    return out.select("conv_id", "head", "hs", "tail", "ts", F.round("p", 6).alias("p"), "ord")
+    out = R.deduplicated(_edges(spark, sf_dir), ["conv_id", "turn"])
+    return out.select("conv_id", "turn", "head", "hs", "tail", "ts", F.round("p", 6).alias("p"), "ord")
+
+
+def _role_sql(label: str, name: str, x: str) -> str:
+    p = _p(f"'{label}'", "surface")
+    return f"""{name} AS (SELECT conv_id, turn, i AS {x}i, last AS {x}l, surface AS {x}, s AS {x}s, fin AS {x}e, {p} AS {x}p, row_number() OVER (PARTITION BY conv_id, turn ORDER BY {p} DESC, i, last) - 1 AS {x}r FROM sp WHERE {p} >= {ARGUMENT}
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY {p} DESC, i, last) <= {ROLE})"""
 
 
 RELATIONS_BOUNDARY = rf"""WITH {_words_sql("conversations", "conv_id, turn")},
-sp AS (SELECT a.*, b.e AS fin, array_to_string(list_slice(q.ps, a.k, b.k), '') AS surface FROM wd a JOIN wd b USING (conv_id, turn) JOIN pa q USING (conv_id, turn) WHERE b.i BETWEEN a.i AND a.i + 1),
-he AS (SELECT DISTINCT conv_id, surface AS head, s AS hs, fin AS he, {_p("'person'", "surface")} AS hp FROM sp WHERE {_p("'person'", "surface")} >= 0.985),
-ta AS (SELECT DISTINCT conv_id, surface AS tail, s AS ts, fin AS te, {_p("'company'", "surface")} AS tp FROM sp WHERE {_p("'company'", "surface")} >= 0.985),
-ed AS (SELECT *, hp * tp AS p, row_number() OVER (PARTITION BY conv_id ORDER BY hs, he, ts, te, head, tail) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM he JOIN ta USING (conv_id)),
-hm AS (SELECT m.conv_id, m.hs, m.he, arg_min({{'t': o.head, 's': o.hs, 'e': o.he}}, {{'n': o.hs - o.he, 's': o.hs, 'e': o.he, 't': o.head}}) AS b FROM (SELECT DISTINCT conv_id, hs, he FROM ed) m JOIN (SELECT DISTINCT conv_id, head, hs, he FROM ed) o ON m.conv_id = o.conv_id AND o.hs <= m.hs AND o.he >= m.he GROUP BY ALL),
-tm AS (SELECT m.conv_id, m.ts, m.te, arg_min({{'t': o.tail, 's': o.ts, 'e': o.te}}, {{'n': o.ts - o.te, 's': o.ts, 'e': o.te, 't': o.tail}}) AS b FROM (SELECT DISTINCT conv_id, ts, te FROM ed) m JOIN (SELECT DISTINCT conv_id, tail, ts, te FROM ed) o ON m.conv_id = o.conv_id AND o.ts <= m.ts AND o.te >= m.te GROUP BY ALL),
-gr AS (SELECT ed.conv_id, k, p, n, hm.b.t AS head, hm.b.s AS hs, hm.b.e AS he, tm.b.t AS tail, tm.b.s AS ts, tm.b.e AS te FROM ed JOIN hm USING (conv_id, hs, he) JOIN tm USING (conv_id, ts, te) WHERE n > 1),
-ex AS (SELECT *, min(k) OVER (PARTITION BY conv_id, hs, he, ts, te) AS ord FROM gr QUALIFY row_number() OVER (PARTITION BY conv_id, hs, he, ts, te ORDER BY p DESC, k) = 1),
+sp AS (SELECT a.*, b.i AS last, b.e AS fin, array_to_string(list_slice(q.ps, a.k, b.k), '') AS surface FROM wd a JOIN wd b USING (conv_id, turn) JOIN pa q USING (conv_id, turn) WHERE b.i BETWEEN a.i AND a.i + 1),
+{_role_sql("person", "ra", "h")}, {_role_sql("company", "rb", "t")},
+ed AS (SELECT conv_id, turn, h AS head, hs, he, t AS tail, ts, te, hp * tp AS p, hr * {ROLE} + tr AS k, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM
+  (SELECT * FROM ra JOIN rb USING (conv_id, turn) WHERE NOT (hi = ti AND hl = tl) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY hp * tp DESC, hr * {ROLE} + tr) <= {PAIRS})),
+hm AS (SELECT m.conv_id, m.turn, m.hs, m.he, arg_min({{'t': o.head, 's': o.hs, 'e': o.he}}, {{'n': o.hs - o.he, 's': o.hs, 'e': o.he, 't': o.head}}) AS b FROM (SELECT DISTINCT conv_id, turn, hs, he FROM ed) m JOIN (SELECT DISTINCT conv_id, turn, head, hs, he FROM ed) o ON m.conv_id = o.conv_id AND m.turn = o.turn AND o.hs <= m.hs AND o.he >= m.he GROUP BY ALL),
+tm AS (SELECT m.conv_id, m.turn, m.ts, m.te, arg_min({{'t': o.tail, 's': o.ts, 'e': o.te}}, {{'n': o.ts - o.te, 's': o.ts, 'e': o.te, 't': o.tail}}) AS b FROM (SELECT DISTINCT conv_id, turn, ts, te FROM ed) m JOIN (SELECT DISTINCT conv_id, turn, tail, ts, te FROM ed) o ON m.conv_id = o.conv_id AND m.turn = o.turn AND o.ts <= m.ts AND o.te >= m.te GROUP BY ALL),
+gr AS (SELECT ed.conv_id, ed.turn, k, p, n, hm.b.t AS head, hm.b.s AS hs, hm.b.e AS he, tm.b.t AS tail, tm.b.s AS ts, tm.b.e AS te FROM ed JOIN hm USING (conv_id, turn, hs, he) JOIN tm USING (conv_id, turn, ts, te) WHERE n > 1),
+ex AS (SELECT *, min(k) OVER (PARTITION BY conv_id, turn, hs, he, ts, te) AS ord FROM gr QUALIFY row_number() OVER (PARTITION BY conv_id, turn, hs, he, ts, te ORDER BY p DESC, k) = 1),
 nm AS (SELECT *, regexp_replace(trim(lower(head)), '\s+', ' ', 'g') AS h, regexp_replace(trim(lower(tail)), '\s+', ' ', 'g') AS t FROM ex),
-cl AS (SELECT *, list_sort(list_distinct(string_split(h, ' '))) AS hset, list_sort(list_distinct(string_split(t, ' '))) AS tset FROM nm QUALIFY row_number() OVER (PARTITION BY conv_id, h, t ORDER BY greatest(hs - te, ts - he, 0), p DESC, hs, ts, ord) = 1),
-ok AS (SELECT * FROM cl a WHERE NOT EXISTS (SELECT 1 FROM cl b WHERE a.conv_id = b.conv_id AND (list_has_all(b.hset, a.hset) AND len(a.hset) < len(b.hset) AND a.tset = b.tset OR list_has_all(b.tset, a.tset) AND len(a.tset) < len(b.tset) AND a.hset = b.hset)))
-SELECT conv_id, head, hs, tail, ts, round(p, 6) AS p, ord FROM ok UNION ALL SELECT conv_id, head, hs, tail, ts, round(p, 6), k FROM ed WHERE n = 1"""
+cl AS (SELECT *, list_sort(list_distinct(string_split(h, ' '))) AS hset, list_sort(list_distinct(string_split(t, ' '))) AS tset FROM nm QUALIFY row_number() OVER (PARTITION BY conv_id, turn, h, t ORDER BY greatest(hs - te, ts - he, 0), p DESC, hs, ts, ord) = 1),
+ok AS (SELECT * FROM cl a WHERE NOT EXISTS (SELECT 1 FROM cl b WHERE a.conv_id = b.conv_id AND a.turn = b.turn AND (list_has_all(b.hset, a.hset) AND len(a.hset) < len(b.hset) AND a.tset = b.tset OR list_has_all(b.tset, a.tset) AND len(a.tset) < len(b.tset) AND a.hset = b.hset)))
+SELECT conv_id, turn, head, hs, tail, ts, round(p, 6) AS p, ord FROM ok UNION ALL SELECT conv_id, turn, head, hs, tail, ts, round(p, 6), k FROM ed WHERE n = 1"""
 
 CHOICES = Field("kind", "STRING", None, ("the", "and of", "la"))
 
@@ -165,19 +175,28 @@ gi AS (SELECT conv_id, turn, count(*) AS n, string_agg(surface, '|' ORDER BY sta
 SELECT c.conv_id, c.turn, coalesce(n, 0) AS n_items, md5(coalesce(t, '')) AS items_md5, choice AS kind, round(p, 6) AS kind_p FROM conversations c LEFT JOIN gi USING (conv_id, turn) LEFT JOIN kb USING (conv_id, turn)"""
 
 
+#: Vectors whose id this divides ask; all rows answer.
+ASKED = 20
+
+
 def _vectors(spark, sf_dir):
-    """Vectors with boundary scores against the first four vectors of the table, as if these were labels."""
+    """All vectors, and those of them that ask, as if these were labels."""
     v = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    asked = v.where("vec_id < 4").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))  # four rows
-    return v.join(F.broadcast(asked)).select("label", "q", F.col("vec_id").alias("at"), F.round(T.dot(F.col("embedding"), F.col("qe")), 5).alias("v"))
+    return v, v.where(F.col("vec_id") % ASKED == 0).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
+
 
+_VEC = f"vs AS (SELECT e.label, a.vec_id AS q, e.vec_id AS vec, round(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: e.embedding[i]::DOUBLE * a.embedding[i]::DOUBLE)), 5) AS v FROM embeddings e, embeddings a WHERE a.vec_id % {ASKED} = 0)"
 
-_VEC = "vs AS (SELECT e.label, a.vec_id AS q, e.vec_id AS vec, round(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: e.embedding[i]::DOUBLE * a.embedding[i]::DOUBLE)), 5) AS v FROM embeddings e, embeddings a WHERE a.vec_id < 4)"
+
+def _places(column: str, n: int):
+    """Rounded to ``n`` places by the value's own bits; ``F.round`` goes by its decimal digits, which may tie where the value doesn't."""
+    return F.signum(column) * F.floor(F.abs(column) * 10**n + 0.5) / 10**n
 
 
 def pool_topk(spark, sf_dir):
-    out = P.top_k(_vectors(spark, sf_dir), ["q"], "v", "at", 10)
-    return out.select("q", F.col("at").alias("vec"), F.round("v", 4).alias("v"), F.col("rank").cast("long").alias("rank"))
+    v, asked = _vectors(spark, sf_dir)
+    out = P.nearest(asked, v.select(F.col("vec_id").alias("at"), F.col("embedding").alias("e")), None, 10)
+    return out.select("q", F.col("at").alias("vec"), _places("v", 4).alias("v"), F.col("rank").cast("long").alias("rank"))
 
 
 POOL_TOPK = f"WITH {_VEC} SELECT q, vec, round(v, 4) AS v, row_number() OVER (PARTITION BY q ORDER BY v DESC, vec) - 1 AS rank FROM vs QUALIFY row_number() OVER (PARTITION BY q ORDER BY v DESC, vec) <= 10"
@@ -191,19 +210,22 @@ def pool_topk_all(spark, sf_dir):
 
 
 def pool_quota(spark, sf_dir):
-    vs = _vectors(spark, sf_dir)
-    return _quota(P.unioned(vs, ["label"], "at", "v"), P.top_k(vs, ["label", "q"], "v", "at", 8))
+    return _quota(*_pools(*_vectors(spark, sf_dir)))
 
 
 def pool_quota_all(spark, sf_dir):
     """``pool_quota`` with every vector of the table as a query."""
-    v = _table(spark, sf_dir, "embeddings")
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return _quota(*_pools(v, v.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))))
+
+
+def _pools(v, asked):
+    """The best score of each row over all that ask, and the 8 best rows of each label for each that asks."""
     rows = v.select("label", F.col("vec_id").alias("at"), F.col("embedding").alias("e"))
-    own = P.nearest(v.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe")), rows, "label", 8)
-    # a dot product has no direction: a row's best query is its nearest vector
-    best = P.nearest(v.select(F.struct("label", "vec_id").alias("q"), F.col("embedding").alias("qe")), rows, None, 1)
-    wide = P.unioned(best.select("q.label", F.col("q.vec_id").alias("at"), "v"), ["label"], "at", "v")
-    return _quota(wide, stored(own, "own"))
+    own = P.nearest(asked, rows, "label", 8)
+    # a dot product has no direction: a row's best query is the nearest of those that ask
+    best = P.nearest(v.select(F.struct("label", "vec_id").alias("q"), F.col("embedding").alias("qe")), asked.select(F.col("q").alias("at"), F.col("qe").alias("e")), None, 1)
+    return P.unioned(best.select("q.label", F.col("q.vec_id").alias("at"), "v"), ["label"], "at", "v"), stored(own, "own")
 
 
 def _quota(wide, own):
