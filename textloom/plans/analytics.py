@@ -38,6 +38,31 @@ ag AS (SELECT conv_id, turn, count(*) AS n, string_agg(label || ':' || start_::B
 SELECT CAST(n2.conv_id AS VARCHAR) AS session_id, n2.turn AS seq, coalesce(n, 0) AS n, CASE WHEN total > 0 THEN total + 5 ELSE 0 END AS input_tokens, md5(coalesce(t, '')) AS spans_md5 FROM tn n2 LEFT JOIN ag USING (conv_id, turn)"""
 
 
+#: Labels that turns of a role ask for, and the threshold.
+ASKS, CLASS_AT = {"user": ("refund", "question", "praise"), "assistant": ("polite", "short")}, 0.7
+
+
+def session_classes(spark, sf_dir):
+    """Each turn is a chunk of its conversation's session and asks for the labels of its role, of all text so far."""
+    labels = F.lit(None).cast("array<string>")
+    for role, names in ASKS.items():
+        labels = F.when(F.col("role") == role, F.array(*map(F.lit, names))).otherwise(labels)
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), F.col("text").alias("chunk"), labels.alias("labels"))
+    out = sessions.replay_classes(rows, CLASS_AT)
+    found = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast(out.schema["classes"].dataType)).otherwise(F.col("classes"))
+    out = out.withColumn("classes", found)
+    return out.select("session_id", "seq", F.size("classes").cast("long").alias("n"), F.col("tokens").cast("long").alias("tokens"), F.array_join(F.col("classes.label"), ",").alias("labels"), F.round(F.get("classes", F.lit(0))["p"], 6).alias("best_p"))
+
+
+_ASKS = ", ".join(f"('{role}', {k}, '{name}')" for role, names in ASKS.items() for k, name in enumerate(names))
+SESSION_CLASSES = rf"""WITH tx AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+cm AS (SELECT *, string_agg(text, '') OVER w AS so_far, sum(len(regexp_extract_all(text, '\w+(?:[-_]\w+)*|[^\s]'))) OVER w AS tokens FROM tx WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, turn, l.k, l.name, 1 / (1 + exp(-4.0::DOUBLE * {_p("l.name", "so_far")})) AS p FROM cm JOIN (VALUES {_ASKS}) l(role, k, name) USING (role)),
+a AS (SELECT conv_id, turn, count(*) AS n, string_agg(name, ',' ORDER BY p DESC, k) AS labels, max(p) AS best FROM p WHERE p >= {CLASS_AT} GROUP BY ALL)
+SELECT conv_id::VARCHAR AS session_id, turn AS seq, CASE WHEN role IN ({", ".join(f"'{r}'" for r in ASKS)}) THEN coalesce(n, 0) END AS n, tokens::BIGINT AS tokens,
+  CASE WHEN role IN ({", ".join(f"'{r}'" for r in ASKS)}) THEN coalesce(labels, '') END AS labels, round(best, 6) AS best_p FROM cm LEFT JOIN a USING (conv_id, turn)"""
+
+
 def _results(spark, sf_dir):
     """Line items read as benchmark rows: price is a time, line number a batch, and so on."""
     rows = _table(spark, sf_dir, "lineitem")
@@ -131,6 +156,7 @@ SELECT count(*), 'without' FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders
 def queries() -> dict:
     return {
         "stream_sessions": stream_sessions,
+        "session_classes": session_classes,
         "bench_summary": bench_summary,
         "bench_pivot": bench_pivot,
         "bench_delta": bench_delta,
@@ -142,6 +168,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "stream_sessions": STREAM_SESSIONS,
+        "session_classes": SESSION_CLASSES,
         "bench_summary": BENCH_SUMMARY,
         "bench_pivot": BENCH_PIVOT,
         "bench_delta": BENCH_DELTA,

@@ -1,21 +1,26 @@
-"""Extraction sessions: text that grows chunk by chunk.
+"""Sessions: text that grows chunk by chunk, from which entities or classes are asked.
 
-``Session`` holds what a session knows: text, word offsets, span scores. ``append`` scores
-the spans that a chunk can change and returns the entities of all text so far. The same
-class runs in a stream (``stream``, one state per key, chunks in order of ``seq``) and over
-a table (``replay``); one key's chunks are one after another in either.
+``Session`` holds what an extraction session knows: text, word offsets, span scores.
+``append`` scores the spans that a chunk can change and returns the entities of all text so
+far. ``ClassSession`` holds text alone and scores all of it against the labels that come
+with a question, which may be others each time. The same classes run in a stream
+(``stream``, ``stream_classes``: one state per key, rows in order of ``seq``) and over a table
+(``replay``, ``replay_classes``); one key's rows are one after another in either.
+
+In a stream the state is kept in parts that grow: a list of chunks, a list of word offsets, a
+map of span scores. A row adds to the lists, and of the map only the spans that it scored
+are written; what was there before stays untouched.
 
 A chunk that would not fit leaves the session as it was and is reported; a scorer that
-fails closes the session; an explicit close event or a time without chunks frees it.
+fails closes the session; an explicit close event or a time without rows frees it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -63,6 +68,8 @@ class Session:
     scores: dict[tuple[int, int], list[float]] = field(default_factory=dict)
     tokens: int = 0
     failure: str | None = None
+    #: Chunks, words and spans since the last ``written``.
+    news: tuple[list[str], int, set[tuple[int, int]]] = field(default_factory=lambda: ([], 0, set()))
 
     def __post_init__(self):
         if not self.labels:
@@ -79,8 +86,10 @@ class Session:
         if not chunk:
             return self.snapshot(threshold)
         words = [m.span() for m in WORD.finditer(chunk)]
+        chunks, added, spans = self.news
         if not words:
             self.text += chunk
+            chunks.append(chunk)
             return self.snapshot(threshold)
         used = self.tokens or self.prompt_tokens
         if used + len(words) > self.capacity:
@@ -88,12 +97,14 @@ class Session:
         past, offset = len(self.starts), len(self.text)
         self.tokens = used + len(words)
         self.text += chunk
+        self.news = ([*chunks, chunk], added + len(words), spans)
         self.starts += [offset + a for a, _ in words]
         self.ends += [offset + z for _, z in words]
         try:
             for s, e in candidate_spans(past, len(words), self.width, self.right):
                 piece = self.text[self.starts[s] : self.ends[e]]
                 self.scores[s, e] = [score(label, piece) for label in self.labels]
+                spans.add((s, e))
         except Exception as x:
             self.failure = f"{type(x).__name__}: {x}"
             raise
@@ -113,14 +124,55 @@ class Session:
         self.failure = self.failure or "the session is closed"
         self.scores.clear()
 
-    def dump(self) -> str:
-        """What must outlive a micro-batch, as JSON."""
-        return json.dumps({"text": self.text, "starts": self.starts, "ends": self.ends, "scores": [[*k, v] for k, v in self.scores.items()], "tokens": self.tokens, "failure": self.failure})
+    def written(self) -> tuple[list[str], list[tuple[int, int]], list[tuple[int, int]]]:
+        """New chunks, offsets of new words, and spans scored since the last call."""
+        chunks, added, spans = self.news
+        self.news = ([], 0, set())
+        first = len(self.starts) - added
+        return chunks, list(zip(self.starts[first:], self.ends[first:], strict=True)), sorted(spans)
+
 
-    def load(self, body: str) -> None:
-        kept = json.loads(body)
-        self.scores = {(s, e): v for s, e, v in kept.pop("scores")}
-        self.__dict__.update(kept)
+@dataclass
+class ClassSession:
+    """Text that grows; a question scores all of it against the question's own labels."""
+
+    capacity: float = math.inf
+    text: str = ""
+    tokens: int = 0
+    failure: str | None = None
+    news: list[str] = field(default_factory=list)
+
+    def append(self, chunk: str | None) -> None:
+        """Null or empty text changes nothing; words count as tokens."""
+        if self.failure:
+            raise Closed(self.failure)
+        if chunk:
+            added = sum(1 for _ in WORD.finditer(chunk))
+            if self.tokens + added > self.capacity:
+                raise Overflow(f"{self.tokens} + {added} tokens exceed {self.capacity}")
+            self.text += chunk
+            self.tokens += added
+            self.news.append(chunk)
+
+    def classify(self, labels: Sequence[str], threshold: float, single: bool = False, score: ScoreFn = hash_score, scale: float = 4.0) -> list[tuple[str, float]]:
+        """(label, p), most probable first: labels that reach the threshold, or all with shares of 1; nothing without labels."""
+        if self.failure:
+            raise Closed(self.failure)
+        try:
+            raw = [scale * score(label, self.text) for label in labels]
+        except Exception as x:
+            self.failure = f"{type(x).__name__}: {x}"
+            raise
+        if single and raw:
+            powers = [math.exp(v - max(raw)) for v in raw]
+            found = [v / sum(powers) for v in powers]
+        else:
+            found = [1 / (1 + math.exp(-v)) for v in raw]
+        ranked = sorted(zip(labels, found, strict=True), key=lambda x: -x[1])
+        return [x for x in ranked if single or x[1] >= threshold]
+
+    def close(self) -> None:
+        self.failure = self.failure or "the session is closed"
 
 
 OUT = "session_id string, seq long, entities array<struct<type:string,text:string,confidence:float,start:int,end:int>>, input_tokens int, error string"
@@ -147,53 +199,163 @@ def replay(chunks: DataFrame, labels: tuple[str, ...], threshold: float, width:
     return chunks.select("session_id", "seq", "chunk").groupBy("session_id").applyInPandas(run, OUT)
 
 
-class SpanProcessor(StatefulProcessor):
-    """One session per key. A null ``seq`` closes it; a seq that isn't above the last one is reported and left out."""
+CLASSES = "session_id string, seq long, classes array<struct<label:string,p:double>>, tokens int, error string"
 
-    def __init__(self, labels: tuple[str, ...], threshold: float, width: int, capacity: float, score: ScoreFn, idle_ms: int):
-        self.args = (labels, threshold, width, capacity, score, idle_ms)
+
+def _answer(key: str, seq: int, session: ClassSession, chunk: str | None, labels, threshold: float, single: bool, score: ScoreFn) -> dict:
+    """What a row gets: it adds its chunk, then asks for its labels; without labels (null) it only adds."""
+    found, error = None, None
+    try:
+        session.append(chunk)
+        found = None if labels is None else [{"label": x, "p": p} for x, p in session.classify(list(labels), threshold, single, score)]
+    except Exception as x:  # as in ``_row``
+        error = f"{type(x).__name__}: {x}"
+    return {"session_id": key, "seq": seq, "classes": found, "tokens": session.tokens, "error": error}
+
+
+def replay_classes(rows: DataFrame, threshold: float, single: bool = False, capacity: float = math.inf, score: ScoreFn = hash_score) -> DataFrame:
+    """A row per row of (session_id, seq, chunk, labels): the classes of its session's text, if it asks for labels."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        session = ClassSession(capacity)
+        pdf = pdf.sort_values("seq", kind="stable")
+        return pd.DataFrame([_answer(k, q, session, c, x, threshold, single, score) for k, q, c, x in zip(pdf.session_id, pdf.seq, pdf.chunk, pdf.labels, strict=True)])
+
+    return rows.select("session_id", "seq", "chunk", "labels").groupBy("session_id").applyInPandas(run, CLASSES)
+
+
+class Keyed(StatefulProcessor):
+    """What sessions in a stream share: rows in order of ``seq``, late rows, closing, and a timer.
+
+    A null ``seq`` closes the session; a seq that isn't above the last one is reported and its
+    row left out. Subclasses say what their states are, and how a session is read, fed and written.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("session", "body string, last long")
+        self.head = handle.getValueState("head", "tokens int, last long, failure string")
+        self.chunks = handle.getListState("chunks", "chunk string")
+        self.states = [self.head, self.chunks, *self.more(handle)]
+
+    def more(self, handle: StatefulProcessorHandle) -> list:
+        return []
+
+    def clear(self) -> None:
+        for state in self.states:
+            state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        labels, threshold, width, capacity, score, idle_ms = self.args
-        session, last = Session(labels, width, capacity=capacity), -math.inf
-        if self.state.exists():
-            body, last = self.state.get()
-            session.load(body)
+        tokens, last, failure = self.head.get() if self.head.exists() else (0, None, None)
+        last = -math.inf if last is None else last
+        session = self.read(tokens, failure, self.head.exists())
         out, closed = [], False
         frame = pd.concat(list(rows)).sort_values("seq", kind="stable", na_position="last")
-        for seq, chunk in zip(frame.seq, frame.chunk, strict=True):
-            if pd.isna(seq):
+        for row in frame.itertuples(index=False):
+            if pd.isna(row.seq):
                 closed = True
-            elif seq <= last:
-                out.append({"session_id": key[0], "seq": int(seq), "entities": [], "input_tokens": session.tokens, "error": "LateChunk: a later chunk came first"})
+            elif row.seq <= last:
+                out.append(self.late(key[0], int(row.seq), session))
             else:
-                out.append(_row(key[0], int(seq), session, chunk, threshold, score))
-                last = seq
+                out.append(self.feed(key[0], int(row.seq), session, row))
+                last = row.seq
         if closed:
-            self.state.clear()
+            self.clear()
         elif last > -math.inf:
-            self.state.update((session.dump(), int(last)))
-            if idle_ms:
+            self.head.update((session.tokens, int(last), session.failure))
+            self.write(session)
+            if self.idle_ms:
                 for timer in list(self.handle.listTimers()):
                     self.handle.deleteTimer(timer)
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle_ms)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         if out:
             yield pd.DataFrame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        self.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
+LATE = "LateChunk: a later chunk came first"
+
+
+class SpanProcessor(Keyed):
+    """One extraction session per key: chunks, word offsets, and the scores of each span."""
+
+    def __init__(self, labels: tuple[str, ...], threshold: float, width: int, capacity: float, score: ScoreFn, idle_ms: int):
+        super().__init__(idle_ms)
+        self.args = (labels, threshold, width, capacity, score)
+
+    def more(self, handle: StatefulProcessorHandle) -> list:
+        self.words = handle.getListState("words", "start int, end int")
+        self.spans = handle.getMapState("spans", "first int, last int", "scores array<double>")
+        return [self.words, self.spans]
+
+    def read(self, tokens: int, failure: str | None, there: bool) -> Session:
+        labels, _, width, capacity, _ = self.args
+        session = Session(labels, width, capacity=capacity, tokens=tokens, failure=failure)
+        if there:
+            session.text = "".join(c for (c,) in self.chunks.get()) if self.chunks.exists() else ""
+            for a, z in self.words.get() if self.words.exists() else ():
+                session.starts.append(a)
+                session.ends.append(z)
+            session.scores = {(s, e): list(v) for (s, e), (v,) in self.spans.iterator()} if self.spans.exists() else {}
+        return session
+
+    def feed(self, key: str, seq: int, session: Session, row) -> dict:
+        _, threshold, _, _, score = self.args
+        return _row(key, seq, session, row.chunk, threshold, score)
+
+    def late(self, key: str, seq: int, session: Session) -> dict:
+        return {"session_id": key, "seq": seq, "entities": [], "input_tokens": session.tokens, "error": LATE}
+
+    def write(self, session: Session) -> None:
+        chunks, words, spans = session.written()
+        if chunks:
+            self.chunks.appendList([(c,) for c in chunks])
+        if words:
+            self.words.appendList(words)
+        for span in spans:
+            self.spans.updateValue(span, (session.scores[span],))
+
+
+class ClassProcessor(Keyed):
+    """One classification session per key: its chunks."""
+
+    def __init__(self, threshold: float, single: bool, capacity: float, score: ScoreFn, idle_ms: int):
+        super().__init__(idle_ms)
+        self.args = (threshold, single, capacity, score)
+
+    def read(self, tokens: int, failure: str | None, there: bool) -> ClassSession:
+        text = "".join(c for (c,) in self.chunks.get()) if there and self.chunks.exists() else ""
+        return ClassSession(self.args[2], text, tokens, failure)
+
+    def feed(self, key: str, seq: int, session: ClassSession, row) -> dict:
+        threshold, single, _, score = self.args
+        return _answer(key, seq, session, row.chunk, row.labels, threshold, single, score)
+
+    def late(self, key: str, seq: int, session: ClassSession) -> dict:
+        return {"session_id": key, "seq": seq, "classes": None, "tokens": session.tokens, "error": LATE}
+
+    def write(self, session: ClassSession) -> None:
+        if session.news:
+            self.chunks.appendList([(c,) for c in session.news])
+
+
 def stream(chunks: DataFrame, labels: tuple[str, ...], threshold: float, width: int = 12, capacity: float = 4096, score: ScoreFn = hash_score, idle_ms: int = 0) -> DataFrame:
     """``chunks`` (session_id, seq, chunk) as a stream. The session's state store must be RocksDB."""
     processor = SpanProcessor(labels, threshold, width, capacity, score, idle_ms)
     mode = "ProcessingTime" if idle_ms else "None"
     return chunks.select("session_id", "seq", "chunk").groupBy("session_id").transformWithStateInPandas(processor, OUT, "Update", mode)
+
+
+def stream_classes(rows: DataFrame, threshold: float, single: bool = False, capacity: float = math.inf, score: ScoreFn = hash_score, idle_ms: int = 0) -> DataFrame:
+    """``replay_classes`` of ``rows`` (session_id, seq, chunk, labels) as a stream: chunks and questions are events of one key."""
+    processor = ClassProcessor(threshold, single, capacity, score, idle_ms)
+    mode = "ProcessingTime" if idle_ms else "None"
+    return rows.select("session_id", "seq", "chunk", "labels").groupBy("session_id").transformWithStateInPandas(processor, CLASSES, "Update", mode)
