@@ -5,6 +5,10 @@ texts whose term occurs in the benchmark, and one posting per row that holds its
 ``matches`` looks the benchmark's windows up: the postings of each window's rarest term
 propose places, the offset-adjusted postings of its second rarest term must agree, and
 then those of all others; with ``slack`` terms may be that many places off (proximity).
+Windows of the same words are one, however often items have them; a term that a window has
+at several places proposes from each, so that a place is proposed once for a window of one
+word over and over. Which items have a window is looked up after it was found, and ranges of
+words that windows cover are put together before they are counted.
 
 Defined cases: a null or empty text has no words and no hits; an item without words has
 no windows, and one with fewer words than a window is one window; repeated rows are
@@ -49,16 +53,21 @@ def lowered(word: Column) -> Column:
 
 
 def windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
-    """``item_id, win, idx, n_win, term``: one row per word of each window."""
-    rows = items.select("item_id", text_key("item_id").alias("_key"), words(F.col("text")).alias("_words"))
+    """``item_id, win, n_win, terms``: one row per window of each item; ``win`` stands for its words, ``terms`` are these."""
+    rows = items.select("item_id", text_key("item_id").alias("_key"), F.transform(words(F.col("text")), lowered).alias("_words"))
     rows = rows.where(F.size("_words") > 0).dropDuplicates(["item_id", "_key"]).withColumn("n_win", F.least(F.size("_words"), F.lit(n)))
     rows = rows.withColumn("_at", F.explode(F.sequence(F.lit(0), F.size("_words") - F.col("n_win"))))
-    cut = rows.select("item_id", F.xxhash64("item_id", "_key", "_at").alias("win"), "n_win", F.posexplode(F.slice("_words", F.col("_at") + 1, F.col("n_win"))).alias("idx", "_word"))
-    return cut.select("item_id", "win", "idx", "n_win", lowered(F.col("_word")).alias("word"))
+    cut = rows.select("item_id", "n_win", F.slice("_words", F.col("_at") + 1, F.col("n_win")).alias("terms"))
+    return cut.select("item_id", F.xxhash64("terms").alias("win"), "n_win", "terms").dropDuplicates(["item_id", "win"])
+
+
+def sequences(wins: DataFrame) -> DataFrame:
+    """``win, n_win, idx, word``: one row per word of each different window."""
+    return wins.dropDuplicates(["win"]).select("win", "n_win", F.posexplode("terms").alias("idx", "word"))
 
 
 def vocabulary(wins: DataFrame) -> DataFrame:
-    """``word, term``: a number for each word of the windows (its hash, so that it depends on nothing else)."""
+    """``word, term``: a number for each word of ``sequences`` (its hash, so that it depends on nothing else)."""
     return wins.select("word").distinct().withColumn("term", F.xxhash64("word"))
 
 
@@ -72,7 +81,7 @@ def build_index(docs: DataFrame, vocab: DataFrame, n_vocab: int) -> DataFrame:
 
 
 def matches(index: DataFrame, wins: DataFrame, n_wins: int, slack: int = 0) -> DataFrame:
-    """Stored ``key, item_id, win, start, n_win``: every place where all words of a window stand (within ``slack``).
+    """Stored ``key, win, start, n_win``: every place where all words of a window of ``sequences`` stand (within ``slack``).
 
     ``n_wins`` is the counted number of rows of ``wins``.
     """
@@ -81,16 +90,16 @@ def matches(index: DataFrame, wins: DataFrame, n_wins: int, slack: int = 0) -> D
     count = postings.groupBy("term").agg(F.count("*").alias("n"))
     # words that occur nowhere come first: their windows have no place to propose
     order = W.partitionBy("win").orderBy(F.coalesce("n", F.lit(0)), "idx")
-    ranked = stored(terms.join(count, "term", "left").withColumn("rank", F.row_number().over(order)).select("win", "item_id", "n_win", "idx", "term", "rank"), "windows")
+    ranked = stored(terms.join(count, "term", "left").withColumn("rank", F.row_number().over(order)).select("win", "n_win", "idx", "term", "rank"), "windows")
     rarest = hinted(ranked.where("rank = 1"), n_wins, BROADCAST_ROWS)
-    places = postings.join(rarest, "term").select("key", "item_id", "win", "n_win", (F.col("pos") - F.col("idx")).alias("start")).where("start >= 0")
+    places = postings.join(rarest, "term").select("key", "win", "n_win", (F.col("pos") - F.col("idx")).alias("start")).where("start >= 0")
     second = ranked.where("rank = 2").select("win", F.col("idx").alias("_idx"), F.col("term").alias("_term"))
     near = lambda at: F.explode(F.sequence(at - slack, at + slack)) if slack else at
     asked = places.where("n_win > 1").join(hinted(second, n_wins, BROADCAST_ROWS), "win")
     asked = asked.withColumn("pos", near(F.col("start") + F.col("_idx")))
     second_terms = hinted(second.select(F.col("_term").alias("term")).distinct(), n_wins, BROADCAST_ROWS)
     lists = postings.join(second_terms, "term", "left_semi").select("key", "pos", F.col("term").alias("_term"))
-    agreed = asked.join(lists, ["key", "pos", "_term"], "left_semi").select("key", "item_id", "win", "n_win", "start").distinct()
+    agreed = asked.join(lists, ["key", "pos", "_term"], "left_semi").select("key", "win", "n_win", "start").distinct()
     agreed = stored(agreed, "candidates")
     # all other terms of the window
     rest = ranked.where("rank > 2").select("win", "idx", "term")
@@ -98,25 +107,34 @@ def matches(index: DataFrame, wins: DataFrame, n_wins: int, slack: int = 0) -> D
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BUCKETS))
     with_candidates = F.broadcast(agreed.select(bucket("key").alias("_b")).distinct())  # FILTER_BUCKETS rows at most
     there = postings.join(hinted(rest.select("term").distinct(), n_wins, BROADCAST_ROWS), "term", "left_semi").withColumn("_b", bucket("key")).join(with_candidates, "_b", "left_semi")
-    stands = asked.join(there.select("key", "pos", "term"), ["key", "pos", "term"], "left_semi").select("key", "item_id", "win", "n_win", "start", "idx").distinct()
-    full = stands.groupBy("key", "item_id", "win", "n_win", "start").agg(F.count("*").alias("n")).where("n = n_win - 2").drop("n")
+    stands = asked.join(there.select("key", "pos", "term"), ["key", "pos", "term"], "left_semi").select("key", "win", "n_win", "start", "idx").distinct()
+    full = stands.groupBy("key", "win", "n_win", "start").agg(F.count("*").alias("n")).where("n = n_win - 2").drop("n")
     found = stored(places.where("n_win = 1").unionByName(agreed.where("n_win = 2")).unionByName(full), "matches")
     discard(ranked, agreed)
     return found
 
 
+def covered(found: DataFrame) -> DataFrame:
+    """``key, n_hit``: how many words of each row lie in the ranges of ``found`` (key, start, n_win)."""
+    ranges = found.groupBy("key", "start").agg(F.max("n_win").alias("n_win")).withColumn("end", F.col("start") + F.col("n_win"))
+    before = W.partitionBy("key").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    own = F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(before), F.col("start")))
+    return ranges.withColumn("own", F.greatest(own, F.lit(0))).groupBy("key").agg(F.sum("own").alias("n_hit"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, slack: int = 0) -> DataFrame:
     """``doc_id, key, n_words, n_hit, items, contaminated`` per row of ``docs``; items: sorted ids as strings."""
-    wins = stored(windows(items, n), "items")
-    n_wins = wins.count()
+    holders = stored(windows(items, n), "holders")
+    wins = stored(sequences(holders), "items")
+    n_wins, n_holders = wins.count(), holders.count()
     index = build_index(docs, vocabulary(wins), n_wins)
     found = matches(index, wins, n_wins, slack)
     lengths = stored(index.where(F.col("term").isNull()).select("doc_id", "key", F.col("pos").alias("n_words")), "lengths")
     discard(index, wins)
-    covered = found.select("key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n_win") - 1)).alias("pos")).distinct()
-    hits = covered.groupBy("key").agg(F.count("*").alias("n_hit"))
+    hits = covered(found)
+    of = hinted(holders.select("win", F.col("item_id").cast("string").alias("item")), n_holders, BROADCAST_ROWS)
     # a row meets an item once however many windows agree; the list is no longer than the benchmark
-    ids = found.select("key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    ids = found.select("key", "win").distinct().join(of, "win").select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
     out = lengths.join(hits.join(ids, "key"), "key", "left")
     empty = F.array().cast("array<string>")
     return out.select(
