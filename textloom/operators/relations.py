@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import semantic, token_set
+from ..functions.text import let, semantic, token_set
 from . import spans as S
 from .schema import Field
 from .scorer import Scorer
@@ -72,7 +72,7 @@ def relations(best: Column) -> Column:
     """Complete instances as structs(fields, confidence), once per offsets: the first instance stays, not the surest."""
     whole = F.filter(best, lambda x: ~F.exists(x, lambda s: s.isNull()))
     made = F.transform(whole, lambda x: F.struct(x.alias("fields"), F.array_min(F.transform(x, lambda s: -s["k"])).alias("confidence"), F.transform(x, lambda s: F.struct(s["start"], s["end"])).alias("at")))
-    fresh = F.filter(made, lambda x, i: ~F.exists(F.slice(made, 1, i), lambda y: y["at"] == x["at"]))
+    fresh = let(made, lambda m: F.filter(m, lambda x, i: ~F.exists(F.slice(m, 1, i), lambda y: y["at"] == x["at"])))
     return F.transform(fresh, lambda x: F.struct(x["fields"], x["confidence"]))
 
 

@@ -28,7 +28,7 @@ class HashScorer:
 
     def score(self, label: Column, surface: Column) -> Column:
         head = F.substring(F.md5(F.concat(label, F.lit("|"), surface)), 1, 6)
-        return F.conv(head, 16, 10).cast("double") / F.lit(16777215.0)
+        return F.conv(head, 16, 10).cast("long") / F.lit(16777215.0)
 
 
 @dataclass(frozen=True)

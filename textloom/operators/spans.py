@@ -37,8 +37,8 @@ def candidates(rows: DataFrame, names, scorer: Scorer, threshold: float, max_wid
         def of_span(v: Column, j: Column) -> Column:
             def scored(text: Column) -> Column:
                 at = lambda k: ((k * n + i) * max_width + j).cast("long")
-                made = F.transform(labels, lambda label, k: F.struct(at(k).alias("ord"), label.alias("label"), i.alias("first"), (i + j).alias("last"), w["s"].alias("start"), v["e"].alias("end"), text.alias("text"), scorer.score(label, text).alias("p")))
-                return F.filter(made, lambda c: c["p"] >= threshold)
+                made = F.filter(F.transform(labels, lambda label, k: F.struct(scorer.score(label, text).alias("p"), k.alias("k"))), lambda x: x["p"] >= threshold)
+                return F.transform(made, lambda x: F.struct(at(x["k"]).alias("ord"), F.get(labels, x["k"]).alias("label"), i.alias("first"), (i + j).alias("last"), w["s"].alias("start"), v["e"].alias("end"), text.alias("text"), x["p"].alias("p")))
 
             return let(F.array_join(F.slice("pieces", w["p"] + 1, v["p"] - w["p"] + 1), ""), scored)
 
@@ -73,7 +73,7 @@ def greedy(spans: Column, lower: str = "start", upper: str = "end", inclusive: b
         overlaps = lambda a, b: (a[lower] <= b[upper]) & (b[lower] <= a[upper])
     else:
         overlaps = lambda a, b: (a[lower] < b[upper]) & (b[lower] < a[upper])
-    kept = F.aggregate(by_confidence(spans), F.slice(spans, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda a: overlaps(a, x)), acc).otherwise(F.array_append(acc, x)))
+    kept = let(by_confidence(spans), lambda order: F.aggregate(order, F.slice(order, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda a: overlaps(a, x)), acc).otherwise(F.array_append(acc, x))))
     keyed = F.transform(kept, lambda c: F.struct(c[lower].alias("k"), (-c["p"]).alias("q"), c["ord"].alias("o"), c.alias("c")))
     return F.transform(F.sort_array(keyed), lambda x: x["c"])
 
