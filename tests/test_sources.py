@@ -1,6 +1,7 @@
 """Prompts, usage, configuration, profiles, results, generated text."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,11 +49,42 @@ def test_config_profile_results(spark, tmp_path):
 
 
 def test_generated_text_is_seeded(spark):
-    one, two = (S.generate_corpus(spark, 5, 32).orderBy("doc_id").collect() for _ in range(2))
-    assert one == two and all(r.text.endswith(".") and len(r.text) <= 128 for r in one)
+    texts = ["One two. Three four five! Six?", "no end", None, "", "x" * 500 + ". y.", "A. " * 90]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    one, two, other = ([r.text for r in S.generate_corpus(rows, 16, seed).orderBy("doc_id").collect()] for seed in (1, 1, 2))
+    assert one == two and one != other
+    assert all(len(t) <= 64 for t in one) and len(one[0]) > 40 and one[0][-1] in ".!?"
+    assert set(one[0].replace("!", ".").replace("?", ".").rstrip(".").split(". ")) == {"One two", "Three four five", "Six"}
+    assert one[2] == one[3] == "" and one[4] in ("x" * 64, "y.") and one[1].startswith("no end no end")
 
 
 def test_observed_counts(spark):
-    rows, watch = S.observed(spark.createDataFrame([([1, 2],), ([],)], "xs array<int>"), "extract", "xs")
+    rows, watch = S.observed(spark.createDataFrame([([1, 2],), ([],), (None,)], "xs array<int>"), "extract", "xs")
     rows.collect()
-    assert watch.get == {"text_count": 2, "result_count": 2}
+    assert watch.get == {"text_count": 3, "result_count": 2}
+
+
+def test_histogram_borders(spark):
+    ms = [("a", x) for x in (0.0, 5.0, 5.1, 10.0, 999.0, 1e9, None)] + [("b", 7.0)]
+    got = sorted(tuple(r) for r in S.histogram(spark.createDataFrame(ms, "op string, ms double"), ["op"], "ms").collect())
+    assert got == [("a", 0, 5.0, 2), ("a", 1, 10.0, 2), ("a", 9, 1000.0, 1), ("a", len(S.DURATIONS), None, 1), ("b", 1, 10.0, 1)]
+
+
+def test_metrics_of_calls_and_streams(spark, tmp_path):
+    metrics = S.Metrics()
+    rows = spark.createDataFrame([([1, 2],), ([],)], "xs array<int>")
+    assert len(metrics.call(rows, "extract", "xs", lambda x: x.collect())) == 2
+    metrics.call(rows.where("size(xs) > 9"), "extract", "xs", lambda x: x.collect())
+    metrics.call(rows, "classify", "xs", lambda x: x.count())
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    listener = metrics.watch_streams(spark)
+    stream = metrics.observed_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "streamed", "xs")
+    query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    until = time.monotonic() + 20
+    while not any(c[0] == "streamed" for c in metrics.calls) and time.monotonic() < until:
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    totals = {r.operation: (r.calls, r.text_count, r.result_count) for r in metrics.totals(spark).collect()}
+    assert totals == {"extract": (2, 2, 2), "classify": (1, 2, 2), "streamed": (1, 2, 2)}
+    assert S.histogram(metrics.table(spark), ["operation"], "duration_ms").agg(F.sum("n")).first()[0] == 4

@@ -2,8 +2,8 @@
 
 A scorer says how likely a piece of text is of a label. ``HashScorer`` is an expression,
 needs no model and gives every engine the same numbers, which is what tests need;
-``RuleScorer`` scores by patterns; ``OnnxScorer`` runs a model file in Arrow batches.
-Families and engines are registered by name; asking for a task that a family lacks raises
+``RuleScorer`` scores by patterns. Scorers of families and engines are registered by whoever
+has them; asking for a task that a family lacks, or for a family that nobody registered, raises
 on the driver, before anything is planned.
 """
 
@@ -44,31 +44,6 @@ class RuleScorer:
         return out
 
 
-class OnnxScorer:
-    """Runs ``model.onnx`` of a bundle; one session per Python worker.
-
-    ``rows`` maps a pandas frame of an Arrow batch to the graph's inputs, and ``read`` its
-    outputs to the frame's result columns.
-    """
-
-    def __init__(self, path: str, rows: Callable, read: Callable, schema: str):
-        self.path, self.rows, self.read, self.schema = path, rows, read, schema
-
-    def apply(self, df):
-        path, rows, read = self.path, self.rows, self.read
-
-        def run(batches):
-            import onnxruntime
-
-            options = onnxruntime.SessionOptions()
-            options.enable_mem_pattern = False  # shapes differ from batch to batch
-            session = onnxruntime.InferenceSession(path, options)
-            for batch in batches:
-                yield read(batch, session.run(None, rows(batch)))
-
-        return df.mapInPandas(run, self.schema)
-
-
 #: family -> tasks. Fixed values.
 SUPPORTS = {
     "gliner2": {"ner", "classification", "relation", "structure", "decide"},
@@ -114,8 +89,3 @@ def scorer_for(config: dict, task: str) -> Scorer:
     if (family, engine) not in _registry:
         raise LookupError(f"no scorer is registered for {family} on {engine}")
     return _registry[family, engine](config)
-
-
-for _family in SUPPORTS:
-    for _engine in KNOWN_ENGINES:
-        register(_family, _engine, lambda config: HashScorer())

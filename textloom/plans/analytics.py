@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.files import generate_corpus, length_rank
+from ..sources.files import DURATIONS, counts_of, generate_corpus, histogram, length_rank
 from ..streaming import sessions
 from .ner import _greedy_sql, _p, _table
 
@@ -125,7 +125,21 @@ BENCH_EXTREMES = f"""WITH {_JMH}, p AS (SELECT profile, textLength, batchSize, c
 
 
 def corpus_generated(spark, sf_dir):
-    return generate_corpus(spark, 16, 64)
+    return generate_corpus(_table(spark, sf_dir, "documents").select("doc_id", "text"), 64)
+
+
+def metrics_by_operation(spark, sf_dir):
+    """Turns as calls of an operation each: their words' number stands for a time, and what they find are words of capitals."""
+    rows = _table(spark, sf_dir, "conversations").select(F.col("role").alias("operation"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\b[A-Z]\w*"), F.lit(0)).alias("found"), F.length("text").cast("double").alias("ms"))
+    spread = histogram(rows, ["operation"], "ms")
+    totals = rows.groupBy("operation").agg(*counts_of("found"))
+    return spread.join(totals, "operation").withColumn("text_count", F.col("text_count").cast("long")).withColumn("result_count", F.col("result_count").cast("long"))
+
+
+METRICS = rf"""WITH r AS (SELECT role AS operation, len(regexp_extract_all(coalesce(text, ''), '\b[A-Z]\w*')) AS found, length(text)::DOUBLE AS ms FROM conversations),
+b AS (SELECT operation, len(list_filter({[float(x) for x in DURATIONS]}, lambda x: x < ms)) AS bucket FROM r WHERE ms IS NOT NULL),
+h AS (SELECT operation, bucket, count(*) AS n FROM b GROUP BY ALL), t AS (SELECT operation, count(*) AS text_count, sum(found)::BIGINT AS result_count FROM r GROUP BY ALL)
+SELECT operation, bucket, ({[float(x) for x in DURATIONS]})[bucket + 1]::DOUBLE AS upto_ms, n, text_count, result_count FROM h JOIN t USING (operation)"""
 
 
 def sql_query(text: str):
@@ -157,6 +171,7 @@ def queries() -> dict:
     return {
         "stream_sessions": stream_sessions,
         "session_classes": session_classes,
+        "metrics_by_operation": metrics_by_operation,
         "bench_summary": bench_summary,
         "bench_pivot": bench_pivot,
         "bench_delta": bench_delta,
@@ -169,6 +184,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "stream_sessions": STREAM_SESSIONS,
         "session_classes": SESSION_CLASSES,
+        "metrics_by_operation": METRICS,
         "bench_summary": BENCH_SUMMARY,
         "bench_pivot": BENCH_PIVOT,
         "bench_delta": BENCH_DELTA,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,12 +74,6 @@ def assemble(parts: list[Unit]) -> tuple[list[str], list[list[int]]]:
     return [*tokens, SEP_TEXT], places
 
 
-@lru_cache(maxsize=32)
-def cached_prefix(parts: tuple[Unit, ...]) -> tuple[str, ...]:
-    """Prefixes of the most recent label sets."""
-    return tuple(assemble(list(parts))[0])
-
-
 def entity_prompt(labels: list[str]) -> list[str]:
     """Uni-encoder prompt up to the words; ``[SEP]`` follows them."""
     return ["[CLS]", *[t for x in labels for t in ("<<ENT>>", x)], "<<SEP>>"]

@@ -1,15 +1,16 @@
-"""Readers and writers: bundles, profiles, benchmark results, tokenizers, generated text, metrics."""
+"""Readers and writers: bundles, profiles, benchmark results, generated text, metrics."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from functools import lru_cache
+import time
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.schema import Family, Field, Label, Question, Relation, Structure
 
@@ -84,59 +85,110 @@ def length_rank(column: Column) -> Column:
     return F.when(at > 0, at)
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+#: Where a text is cut into sentences.
+SENTENCE_END = r"(?<=[.!?])\s+"
 
-    out = Tokenizer.from_file(path)
-    out.no_padding()
-    out.no_truncation()
-    return out
 
+def generate_corpus(rows: DataFrame, tokens: int, seed: int = 0xC0FFEE) -> DataFrame:
+    """``doc_id, text``: for each row of ``rows`` (doc_id, text) its own sentences, in a seeded order and as often as needed, up to about ``tokens`` tokens of four characters.
 
-def subword_ids(path: str):
-    """Column function: array of words -> array of arrays of ids. Words are encoded once per batch; texts never cut."""
+    The last sentence that fits whole ends the text; a first one that doesn't is cut. Texts without words give empty ones.
+    """
+    size = tokens * 4
+    found = F.filter(F.split(F.coalesce("text", F.lit("")), SENTENCE_END), lambda x: F.trim(x) != "")
+    rows = rows.select("doc_id", found.alias("_s"))
+    keyed = F.transform("_s", lambda x, i: F.struct(F.xxhash64("doc_id", i, F.lit(seed)).alias("k"), x.alias("x")))
+    once = F.array_join(F.transform(F.sort_array(keyed), lambda x: x["x"]), " ")
+    rows = rows.select("doc_id", once.alias("_t"))
+    times = F.ceil(F.lit(size) / F.greatest(F.length("_t"), F.lit(1))).cast("int")
+    long = F.array_join(F.array_repeat(F.col("_t"), F.greatest(times, F.lit(1)) + 1), " ")
+    cut = F.substring(long, 1, size)
+    whole = F.regexp_extract(F.substring(long, 1, size + 1), r"(?s)\A(.*[.!?])(?:\s|\z)", 1)
+    return rows.select("doc_id", F.when(F.length("_t") == 0, "").when((F.length(whole) > 0) & (F.length(whole) <= size), whole).otherwise(cut).alias("text"))
 
-    @F.pandas_udf("array<array<int>>")
-    def encode(words: pd.Series) -> pd.Series:
-        tok = _tokenizer(path)
-        distinct = list(dict.fromkeys(w for ws in words for w in ws))
-        ids = {w: e.ids for w, e in zip(distinct, tok.encode_batch(distinct, add_special_tokens=False), strict=True)}
-        return pd.Series([[ids[w] for w in ws] for ws in words])
 
-    return encode
+#: Upper ends of the buckets of a duration histogram, in milliseconds; what is longer comes last.
+DURATIONS = (5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000)
 
 
-def whole_ids(path: str):
-    """Column function: prompt -> ids with special tokens."""
+def observed(results: DataFrame, operation: str, spans: str) -> tuple[DataFrame, Observation]:
+    """Counts texts and results as a query runs; read ``Observation.get`` after an action."""
+    watch = Observation(operation)
+    return results.observe(watch, *counts_of(spans)), watch
 
-    @F.pandas_udf("array<int>")
-    def encode(prompts: pd.Series) -> pd.Series:
-        return pd.Series([e.ids for e in _tokenizer(path).encode_batch(list(prompts.fillna("")))])
 
-    return encode
+def counts_of(spans: str) -> list[Column]:
+    """Metrics of a table of results: rows, and what their array or map column ``spans`` holds."""
+    return [F.count("*").alias("text_count"), F.coalesce(F.sum(F.when(F.col(spans).isNotNull(), F.size(spans))), F.lit(0)).alias("result_count")]
 
 
-#: Words of generated sentences.
-SUBJECTS = ("the team", "a customer", "our office", "the engineer", "a visitor")
-VERBS = ("called", "visited", "paid", "asked", "met")
-OBJECTS = ("Acme Ltd in Paris", "Maria Rossi on Monday", "the bank for 250 EUR", "support about an invoice", "Berlin with two colleagues")
+def histogram(durations: DataFrame, by: Sequence[str], ms: str) -> DataFrame:
+    """``by..., bucket, upto_ms, n``: how many durations lie in each bucket; those of several tasks or runs add up.
 
+    A bucket holds what is above the border before it and at its own at most; null durations don't count.
+    """
+    borders = F.array(*(F.lit(float(x)) for x in DURATIONS))
+    bucket = F.size(F.filter(borders, lambda x: x < F.col(ms)))
+    rows = durations.where(F.col(ms).isNotNull()).select(*by, bucket.cast("long").alias("bucket"))
+    return rows.groupBy(*by, "bucket").agg(F.count("*").alias("n")).select(*by, "bucket", F.get(borders, F.col("bucket").cast("int")).alias("upto_ms"), "n")
 
-def generate_corpus(spark: SparkSession, n: int, tokens: int, seed: int = 0xC0FFEE) -> DataFrame:
-    """``doc_id, text``: seeded sentences until about ``tokens`` tokens of four characters."""
-    pick = lambda xs, salt: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64("doc_id", "i", F.lit(seed), F.lit(salt)), F.lit(len(xs))) + 1).cast("int"))
-    sentence = F.concat(F.initcap(pick(SUBJECTS, 0)), F.lit(" "), pick(VERBS, 1), F.lit(" "), pick(OBJECTS, 2), F.lit("."))
-    rows = spark.range(n).withColumnRenamed("id", "doc_id").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(max(tokens * 4 // 20, 1)))))
-    rows = rows.withColumn("s", sentence).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), " ").alias("text"))
-    cut = F.greatest(F.lit(1), F.instr(F.reverse(F.substring("text", 1, tokens * 4)), "."))
-    return rows.select("doc_id", F.substring(F.col("text"), F.lit(1), F.lit(tokens * 4 + 1) - cut).alias("text"))
 
+class Metrics:
+    """Calls, durations, texts and results of each operation, over batches and streams of a session.
 
-def observed(results: DataFrame, operation: str, spans: str) -> tuple[DataFrame, Observation]:
-    """Counts texts and results as a query runs; read ``Observation.get`` after an action."""
-    watch = Observation(operation)
-    return results.observe(watch, F.count("*").alias("text_count"), F.sum(F.size(spans)).alias("result_count")), watch
+    A batch is measured by ``call``; a stream by ``watch_streams``, to which each finished
+    micro-batch of a stream that carries ``observed_stream`` counts as a call.
+    """
+
+    def __init__(self) -> None:
+        self.calls: list[tuple[str, float, int, int]] = []
+
+    def record(self, operation: str, ms: float, texts: int, results: int) -> None:
+        self.calls.append((operation, float(ms), int(texts), int(results)))
+
+    def call(self, results: DataFrame, operation: str, spans: str, action: Callable[[DataFrame], object]) -> object:
+        """What ``action`` makes of ``results``; its time and counts are kept, in the one run that it is."""
+        rows, watch = observed(results, operation, spans)
+        start = time.perf_counter()
+        out = action(rows)
+        counts = watch.get
+        self.record(operation, (time.perf_counter() - start) * 1000, counts["text_count"], counts["result_count"])
+        return out
+
+    def observed_stream(self, results: DataFrame, operation: str, spans: str) -> DataFrame:
+        return results.observe(operation, *counts_of(spans))
+
+    def watch_streams(self, spark: SparkSession) -> StreamingQueryListener:
+        """A listener that records every micro-batch with rows; remove it by ``spark.streams.removeListener``."""
+        metrics = self
+
+        class Listener(StreamingQueryListener):
+            def onQueryStarted(self, event) -> None:
+                pass
+
+            def onQueryProgress(self, event) -> None:
+                ms = event.progress.durationMs.get("triggerExecution", event.progress.batchDuration)
+                for operation, row in event.progress.observedMetrics.items():
+                    if row["text_count"]:
+                        metrics.record(operation, ms, row["text_count"], row["result_count"])
+
+            def onQueryIdle(self, event) -> None:
+                pass
+
+            def onQueryTerminated(self, event) -> None:
+                pass
+
+        out = Listener()
+        spark.streams.addListener(out)
+        return out
+
+    def totals(self, spark: SparkSession) -> DataFrame:
+        """``operation, calls, text_count, result_count, duration_ms``."""
+        calls = self.table(spark)
+        return calls.groupBy("operation").agg(F.count("*").alias("calls"), F.sum("text_count").alias("text_count"), F.sum("result_count").alias("result_count"), F.sum("duration_ms").alias("duration_ms"))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.calls, "operation string, duration_ms double, text_count long, result_count long")
 
 
 def batches_of(frames: Iterator[pd.DataFrame], by: str, ratio: float = 1.3, cap: int | None = None) -> Iterator[pd.DataFrame]:
