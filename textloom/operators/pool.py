@@ -128,15 +128,26 @@ def capped(heads: DataFrame, tails: DataFrame, keys: list[str], most: int) -> Da
     return top_k(made, keys, "v", "i", most)
 
 
+#: Different lengths that the driver takes at once to find the borders of buckets.
+LENGTHS = 1 << 20
+
+
 def length_buckets(lengths: DataFrame, column: str, ratio: float) -> list[int]:
     """Where buckets begin if texts are cut greedily by length: a bucket ends before lengths above ``ratio`` times its first.
 
-    There are at most log(longest) / log(ratio) buckets, so each border is one small query
-    over the distinct lengths.
+    There are at most log(longest) / log(ratio) buckets. All are found from the distinct
+    lengths, in one job; only if these are more than ``LENGTHS`` is each border a query of its own.
     """
     if ratio <= 1:
         raise ValueError("a ratio above 1 is needed")
     distinct = lengths.select(F.col(column).alias("n")).where("n IS NOT NULL").distinct()
+    some = [r["n"] for r in distinct.limit(LENGTHS + 1).collect()]
+    if len(some) <= LENGTHS:
+        borders = []
+        for n in sorted(some):
+            if not borders or n > max(borders[-1], 1) * ratio:
+                borders.append(n)
+        return borders
     borders, at = [], distinct.agg(F.min("n")).first()[0]
     while at is not None:
         borders.append(at)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from .. import api
 from ..functions.text import let, with_words
 from ..operators import boundary as B
+from ..operators import layout as L
 from ..operators import pool as P
 from ..operators.schema import Field, Label, Relation, Schema, Structure
 from ..session import stored
+from .prompt import assemble, entity_unit, first_runs, relation_unit, usage_cached
 from .ner import HASH, _cands_sql, _greedy_sql, _p, _spread, _table, _words_sql
 
 PRODUCT = Structure("product", (Field("name"), Field("features", "LIST"), Field("kind", "STRING", None, ("the", "and of", "la"))))
@@ -156,9 +158,69 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, label) -
 SELECT vec_id, rank, label, round(1 / (1 + exp(-v / sqrt(dim) / {TEMPERATURE}::DOUBLE)), 6) AS p FROM r WHERE rank < 2"""
 
 
+RATIO = 1.3
+
+
+def _prompt():
+    return assemble([entity_unit(SCHEMA.entities), relation_unit(SCHEMA.relations[1])])
+
+
+def row_layout(spark, sf_dir):
+    """Each text as a padded row of numbers after a prompt: its bucket, its numbers, and where its words begin."""
+    prefix, markers = _prompt()
+    rows = L.cut(with_words(_texts(spark, sf_dir))).select("conv_id", "turn", "parts")
+    vocab = stored(L.vocabulary(rows, list(dict.fromkeys(prefix))), "vocabulary")
+    rows = stored(L.numbered(rows, vocab, ["conv_id", "turn"], prefix, markers, vocab.count()), "numbered")
+    borders = P.length_buckets(rows.select(F.size("ids").alias("n")), "n", RATIO)
+    joined = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), " ").cast("binary"))
+    return L.padded(rows, borders).select("conv_id", "turn", F.col("bucket").cast("long").alias("bucket"), F.col("n_words").cast("long").alias("n_words"), F.size("ids").cast("long").alias("row_length"), joined("ids").alias("ids_md5"), F.size("first").cast("long").alias("n_places"), joined("first").alias("first_md5"))
+
+
+def _layout_sql() -> str:
+    prefix, _ = _prompt()
+    marks = list(dict.fromkeys(prefix))
+    lead = [marks.index(t) + 1 for t in prefix]
+    return f"""WITH RECURSIVE {_words_sql("conversations", "conv_id, turn")},
+pt AS (SELECT conv_id, turn, i, unnest(list_transform(range(0, length(w), {L.PIECE}), lambda x: substr(w, x + 1, {L.PIECE}))) AS piece, unnest(range(0, length(w), {L.PIECE})) AS o FROM wd),
+vo AS (SELECT piece, row_number() OVER (ORDER BY encode(piece)) + {len(marks)} AS id FROM (SELECT DISTINCT piece FROM pt)),
+nu AS (SELECT conv_id, turn, list(id ORDER BY i, o) AS ids FROM pt JOIN vo USING (piece) GROUP BY ALL),
+nw AS (SELECT conv_id, turn, i, ceil(length(w) / {float(L.PIECE)})::BIGINT AS n FROM wd),
+fw AS (SELECT conv_id, turn, i, {len(prefix)} + coalesce(sum(n) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f FROM nw),
+fi AS (SELECT conv_id, turn, list(f ORDER BY i) AS fs FROM fw GROUP BY ALL),
+ro AS (SELECT c.conv_id, c.turn, list_concat({lead}::BIGINT[], coalesce(ids, []::BIGINT[])) AS ids, coalesce(fs, []::BIGINT[]) AS fs FROM conversations c LEFT JOIN nu USING (conv_id, turn) LEFT JOIN fi USING (conv_id, turn)),
+le AS (SELECT DISTINCT len(ids) AS n FROM ro),
+b(bucket, n) AS (SELECT 0, min(n) FROM le UNION ALL SELECT bucket + 1, (SELECT min(n) FROM le WHERE le.n > greatest(b.n, 1) * {RATIO}::DOUBLE) FROM b WHERE b.n IS NOT NULL),
+bu AS (SELECT ro.*, (SELECT max(bucket) FROM b WHERE b.n <= len(ids)) AS bucket FROM ro),
+mo AS (SELECT bucket, max(len(ids)) AS li, max(len(fs)) AS lf FROM bu GROUP BY bucket)
+SELECT conv_id, turn, bucket::BIGINT AS bucket, len(fs) AS n_words, li AS row_length, md5(array_to_string(list_resize(ids, li, 0), ' ')) AS ids_md5, lf AS n_places, md5(array_to_string(list_resize(fs, lf, -1), ' ')) AS first_md5 FROM bu JOIN mo USING (bucket)"""
+
+
+#: Labels that turns of a role are asked for.
+ROLES = {"user": ("person", "product"), "assistant": ("date",)}
+
+
+def usage_cold_cache(spark, sf_dir):
+    """Input tokens where the first text of each label list pays for the labels: three for each, by the order of conversations."""
+    labels = F.lit(None).cast("array<string>")
+    for role, names in ROLES.items():
+        labels = F.when(F.col("role") == role, F.array(*map(F.lit, names))).otherwise(labels)
+    rows = with_words(_table(spark, sf_dir, "conversations").select("conv_id", "turn", labels.alias("labels"), "text"))
+    rows = first_runs(rows, "labels", ["conv_id", "turn"])
+    cost = F.coalesce(3 * F.size("labels"), F.lit(0))
+    return rows.select("conv_id", "turn", usage_cached(F.col("text"), F.col("words"), F.col("first"), cost).cast("long").alias("input_tokens"), "first")
+
+
+_ROLE = " ".join(f"WHEN '{role}' THEN '{','.join(names)}'" for role, names in ROLES.items())
+_COST = " ".join(f"WHEN '{role}' THEN {3 * len(names)}" for role, names in ROLES.items())
+USAGE_COLD = f"""WITH {_words_sql("conversations", "conv_id, turn")}, n AS (SELECT conv_id, turn, count(*) AS n FROM wd GROUP BY ALL),
+r AS (SELECT c.conv_id, c.turn, n, CASE role {_ROLE} END AS labels, CASE role {_COST} ELSE 0 END AS cost FROM conversations c LEFT JOIN n USING (conv_id, turn)),
+f AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY labels ORDER BY conv_id, turn) = 1 AS first FROM r WHERE n IS NOT NULL)
+SELECT r.conv_id, r.turn, CASE WHEN n IS NULL THEN 0 ELSE n + 2 + CASE WHEN first THEN cost ELSE 0 END END AS input_tokens, coalesce(first, false) AS first FROM r LEFT JOIN f USING (conv_id, turn)"""
+
+
 def queries() -> dict:
-    return {"structures_instances": structures_instances, "extract_schema": extract_schema, "boundary_evidence": boundary_evidence, "label_embeddings": label_embeddings}
+    return {"structures_instances": structures_instances, "extract_schema": extract_schema, "boundary_evidence": boundary_evidence, "label_embeddings": label_embeddings, "row_layout": row_layout, "usage_cold_cache": usage_cold_cache}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"structures_instances": STRUCTURES, "extract_schema": _schema_sql(), "boundary_evidence": _evidence_sql(), "label_embeddings": LABEL_EMBEDDINGS}
+    return {"structures_instances": STRUCTURES, "extract_schema": _schema_sql(), "boundary_evidence": _evidence_sql(), "label_embeddings": LABEL_EMBEDDINGS, "row_layout": _layout_sql(), "usage_cold_cache": USAGE_COLD}

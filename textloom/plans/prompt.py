@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
@@ -113,7 +113,21 @@ def usage(text: Column, words: Column, prefix: int, labels_each: int = 0) -> Col
     return F.when(is_blank(text) | (F.size(words) == 0), 0).otherwise(F.size(words) + prefix + labels_each).cast("int")
 
 
-def usage_cached(text: Column, words: Column, first: Column, labels: int) -> Column:
+def usage_cached(text: Column, words: Column, first: Column, labels: Column | int) -> Column:
     """With a label cache only the first text that is run pays for the labels; ``first`` marks it."""
     own = usage(text, words, 2)
     return F.when(first & (own > 0), own + labels).otherwise(own)
+
+
+def first_runs(rows: DataFrame, labels: str, order: list[str], text: str = "text") -> DataFrame:
+    """Adds ``first``: whether a row (with words) is the first by ``order`` that is run with its label list.
+
+    The first of each list is an ordered minimum, which a task takes of what it has seen, and
+    goes back by a join: no rows of a list have to meet, however many it has. A null list is a
+    list like others. Rows that tie in ``order`` are all first.
+    """
+    place = F.struct(*order)
+    run = ~(is_blank(F.col(text)) | (F.size("words") == 0))
+    firsts = rows.where(run).groupBy(F.col(labels).alias("_labels")).agg(F.min(place).alias("_first"))
+    joined = rows.join(firsts, F.col(labels).eqNullSafe(F.col("_labels")), "left")
+    return joined.withColumn("first", F.coalesce(run & place.eqNullSafe(F.col("_first")), F.lit(False))).drop("_labels", "_first")
