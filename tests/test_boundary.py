@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions.text import with_words
+from textloom.functions.text import prefix_sums, with_words
 from textloom.operators import boundary as B
 from textloom.operators import spans as S
 from textloom.operators.scorer import HashScorer
@@ -69,7 +69,7 @@ def test_prefixes_are_centred(spark):
     assert out[0].prefix == [[0.0, -2.0, -3.0, 0.0], [0.0], [0.0, 0.0]] and out[0]["mean"] == [3.0, 0.0, 5.0]
     assert out[1].prefix == [] and out[2].prefix == [[0.0, -1.0, 0.0]]
     for n in (0, 1, 2, 3, 4, 5, 16, 17, 1000):
-        got = spark.createDataFrame([([float(i) for i in range(n)],)], "v array<double>").select(B.prefix_sums(F.col("v")).alias("p")).first().p
+        got = spark.createDataFrame([([float(i) for i in range(n)],)], "v array<double>").select(prefix_sums(F.col("v")).alias("p")).first().p
         assert got == [i * (i - 1) / 2 for i in range(n + 1)]
     one = B.with_evidence(rows).where("id = 0").select(B.evidence(F.get("prefix", F.lit(0)), F.get("mean", F.lit(0)), F.lit(1), F.lit(3)).alias("v")).first().v
     assert one == pytest.approx(8 / math.sqrt(2))

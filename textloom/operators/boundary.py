@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import dot, let, sigmoid
+from ..functions.text import dot, let, prefix_sums, sigmoid
 from . import spans as S
 from .scorer import Scorer
 
@@ -31,31 +31,6 @@ def marks(rows: DataFrame, names, scorer: Scorer, scale: float = 4.0) -> DataFra
     return rows.withColumn("marks", F.transform(labels, lambda x: F.struct(x.alias("label"), part(x, ":start:").alias("a"), part(x, ":inside:").alias("m"), part(x, ":end:").alias("z"))))
 
 
-def prefix_sums(values: Column) -> Column:
-    """Sums of the first 0, 1, ... of an array's values.
-
-    Summed in blocks of about the root of their number: an array grows by copying, so that one
-    run over a long array would cost its square.
-    """
-    step = lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x)
-    zero = F.array(F.lit(0.0))
-
-    def summed(vs: Column) -> Column:
-        n = F.size(vs)
-        block = F.ceil(F.sqrt(n)).cast("int")
-        numbers = F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1)
-        blocks = F.transform(numbers, lambda b: F.aggregate(F.slice(vs, b * block + 1, block), zero, step))
-
-        def joined(bs: Column) -> Column:
-            firsts = F.aggregate(bs, zero, lambda acc, b: F.array_append(acc, F.element_at(acc, -1) + F.element_at(b, -1)))
-            whole = lambda fs: F.concat(F.flatten(F.transform(bs, lambda b, k: F.transform(F.slice(b, 1, F.size(b) - 1), lambda x: x + F.get(fs, k)))), F.slice(fs, -1, 1))
-            return let(firsts, whole)
-
-        return F.when(n > 0, let(blocks, joined)).otherwise(zero)
-
-    return let(values, summed)
-
-
 def with_evidence(rows: DataFrame) -> DataFrame:
     """Adds ``prefix`` (prefix sums of the values less their mean) and ``mean`` of each label's inside logits, from ``marks``."""
     mean = lambda m: F.when(F.size(m) > 0, F.aggregate(m, F.lit(0.0), lambda s, x: s + x) / F.size(m)).otherwise(0.0)

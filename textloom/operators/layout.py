@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import let, prefix_sums
 
 #: Characters of a piece, the number that pads, the place that stands for no word.
 PIECE, PAD, NOWHERE = 4, 0, -1
@@ -70,8 +70,6 @@ def numbered(rows: DataFrame, vocab: DataFrame, keys: list[str], prefix: list[st
     if len(known) < len(prefix):
         raise ValueError("the vocabulary lacks tokens of the prompt")
     lead = F.array(*(F.lit(known[i]).cast("long") for i in range(len(prefix))))
-    from .boundary import prefix_sums
-
     sums = lambda parts: prefix_sums(F.transform(parts, lambda p: F.size(p).cast("double")))
     first = let(sums(F.col("parts")), lambda s: F.transform(F.slice(s, 1, F.size(s) - 1), lambda x: x.cast("int") + len(prefix)))
     out = rows.select(*keys, first.alias("first"), F.size("parts").alias("n_words"))

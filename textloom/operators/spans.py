@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from ..functions.text import let
+from ..functions.text import let, prefix_sums
 from .scorer import Scorer
 
 SPAN = "struct<ord:bigint,label:string,first:int,last:int,start:int,end:int,text:string,p:double>"
@@ -185,7 +185,7 @@ def bio(rows: DataFrame, names, threshold: float, scorer: Scorer) -> DataFrame:
 
     A span opens where start >= threshold, runs while inside >= threshold at each of its
     words and closes where end >= threshold; p is the least of the scores on its way.
-    Met in the order of start, label, end.
+    Met in the order of start, label, end. Every start goes over its own run once, and carries the least score along.
     """
     labels = labels_of(names)
     words = F.col("words")
@@ -195,23 +195,29 @@ def bio(rows: DataFrame, names, threshold: float, scorer: Scorer) -> DataFrame:
     rows = rows.withColumn("_scores", scored)
 
     def of_label(label: Column, k: Column) -> Column:
+        outside = lambda x: x["m"] < threshold
         own = F.get("_scores", k)
-        # where a run of inside words that starts here ends
-        def of_start(x: Column, i: Column) -> Column:
-            rest = F.slice(own, i + 1, F.greatest(n.cast("int") - i, F.lit(0)))
-            stop = F.array_position(F.transform(rest, lambda y: y["m"] < threshold), F.lit(True)).cast("int")
-            run = F.slice(rest, 1, F.when(stop == 0, F.size(rest)).otherwise(stop - 1))
-
-            def of_end(y: Column, j: Column) -> Column:
-                least = F.array_min(F.transform(F.slice(run, 1, j + 1), lambda q: q["m"]))
-                a, z = F.get(words, i), F.get(words, i + j)
-                text = F.array_join(F.slice("pieces", a["p"] + 1, z["p"] - a["p"] + 1), "")
-                at = ((i * kinds + k) * n + i + j).cast("long")
-                p = F.when(y["z"] >= threshold, F.least(x["a"], least, y["z"]))
-                return F.struct(at.alias("ord"), label.alias("label"), i.alias("first"), (i + j).alias("last"), a["s"].alias("start"), z["e"].alias("end"), text.alias("text"), p.alias("p"))
-
-            return F.when(x["a"] >= threshold, F.filter(F.transform(run, of_end), lambda c: c["p"].isNotNull())).otherwise(F.array().cast(f"array<{SPAN}>"))
-
-        return F.flatten(F.transform(own, of_start))
+        # the words where a run ends, and how many of them stand before each word: the next one is where its run ends
+        ends = F.filter(F.transform(own, lambda x, i: F.when(outside(x), i)), lambda i: i.isNotNull())
+        passed = prefix_sums(F.transform(own, lambda x: F.when(outside(x), 1.0).otherwise(0.0)))
+        return let(F.struct(own.alias("own"), ends.alias("ends"), passed.alias("passed")), lambda of: F.flatten(F.transform(of["own"], lambda x, i: of_start(of, label, k, x, i))))
+
+    def of_start(of: Column, label: Column, k: Column, x: Column, i: Column) -> Column:
+        stop = F.coalesce(F.get(of["ends"], F.get(of["passed"], i).cast("int")), n.cast("int"))
+        none = F.struct(F.lit(2.0).alias("least"), F.lit(0).alias("j"), F.array().cast("array<struct<j:int,p:double>>").alias("out"))
+
+        def step(acc: Column, y: Column) -> Column:
+            least = F.least(acc["least"], y["m"])
+            met = F.struct(acc["j"].alias("j"), F.least(x["a"], least, y["z"]).alias("p"))
+            return F.struct(least.alias("least"), (acc["j"] + 1).alias("j"), F.when(y["z"] >= threshold, F.array_append(acc["out"], met)).otherwise(acc["out"]).alias("out"))
+
+        def span(e: Column) -> Column:
+            a, z = F.get(words, i), F.get(words, i + e["j"])
+            text = F.array_join(F.slice("pieces", a["p"] + 1, z["p"] - a["p"] + 1), "")
+            at = ((i * kinds + k) * n + i + e["j"]).cast("long")
+            return F.struct(at.alias("ord"), label.alias("label"), i.alias("first"), (i + e["j"]).alias("last"), a["s"].alias("start"), z["e"].alias("end"), text.alias("text"), e["p"].alias("p"))
+
+        found = F.transform(F.aggregate(F.slice(of["own"], i + 1, stop - i), none, step)["out"], span)
+        return F.when(x["a"] >= threshold, found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
     return rows.withColumn("cands", F.flatten(F.transform(labels, of_label))).drop("_scores")
