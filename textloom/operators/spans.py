@@ -187,16 +187,20 @@ def bio(rows: DataFrame, names, threshold: float, scorer: Scorer) -> DataFrame:
     words and closes where end >= threshold; p is the least of the scores on its way.
     Met in the order of start, label, end. Every start goes over its own run once, and carries the least score along.
     """
-    labels = labels_of(names)
-    words = F.col("words")
-    n, kinds = F.size("words").cast("long"), F.size(labels).cast("long")
+    labels, words = labels_of(names), F.col("words")
     part = lambda label, what, w, i: scorer.score(F.concat(label, F.lit(what), i.cast("string")), w["w"])
     scored = F.transform(labels, lambda label: F.transform(words, lambda w, i: F.struct(part(label, ":start:", w, i).alias("a"), part(label, ":inside:", w, i).alias("m"), part(label, ":end:", w, i).alias("z"))))
-    rows = rows.withColumn("_scores", scored)
+    return runs(rows.withColumn("_scores", scored), names, threshold).drop("_scores")
+
+
+def runs(rows: DataFrame, names, threshold: float, scores: str = "_scores") -> DataFrame:
+    """``bio`` over given scores: per label an array of structs (a: start, m: inside, z: end) for the words."""
+    labels, words = labels_of(names), F.col("words")
+    n, kinds = F.size("words").cast("long"), F.size(labels).cast("long")
 
     def of_label(label: Column, k: Column) -> Column:
         outside = lambda x: x["m"] < threshold
-        own = F.get("_scores", k)
+        own = F.get(scores, k)
         # the words where a run ends, and how many of them stand before each word: the next one is where its run ends
         ends = F.filter(F.transform(own, lambda x, i: F.when(outside(x), i)), lambda i: i.isNotNull())
         passed = prefix_sums(F.transform(own, lambda x: F.when(outside(x), 1.0).otherwise(0.0)))
@@ -220,4 +224,4 @@ def bio(rows: DataFrame, names, threshold: float, scorer: Scorer) -> DataFrame:
         found = F.transform(F.aggregate(F.slice(of["own"], i + 1, stop - i), none, step)["out"], span)
         return F.when(x["a"] >= threshold, found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    return rows.withColumn("cands", F.flatten(F.transform(labels, of_label))).drop("_scores")
+    return rows.withColumn("cands", F.flatten(F.transform(labels, of_label)))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import api
-from ..functions.text import let, with_words
+from ..functions.text import let, sigmoid, with_words
 from ..operators import boundary as B
 from ..operators import layout as L
 from ..operators import pool as P
+from ..operators import spans as S
+from ..operators import tensors as T
 from ..operators.schema import Field, Label, Relation, Schema, Structure
 from ..session import stored
 from .prompt import assemble, entity_unit, first_runs, relation_unit, usage_cached
@@ -218,9 +220,82 @@ f AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY labels ORDER BY conv
 SELECT r.conv_id, r.turn, CASE WHEN n IS NULL THEN 0 ELSE n + 2 + CASE WHEN first THEN cost ELSE 0 END END AS input_tokens, coalesce(first, false) AS first FROM r LEFT JOIN f USING (conv_id, turn)"""
 
 
+def _tensors(spark, sf_dir, words: str):
+    """Vectors as a model's output beside a text of five to eight words."""
+    n = F.expr(f"5 + pmod(vec_id, {words})").cast("int")
+    text = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ")
+    return with_words(_table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", F.col("embedding").alias("e"), text.alias("text")))
+
+
+def _nested(values, *sizes: int):
+    """A flat array as nested arrays of the given sizes; the rest of it is left."""
+    if len(sizes) == 1:
+        return F.slice(values, 1, sizes[0])
+    step = 1
+    for k in sizes[1:]:
+        step *= k
+    return F.transform(F.sequence(F.lit(0), F.lit(sizes[0] - 1)), lambda i: _nested(F.slice(values, i * step + 1, step), *sizes[1:]))
+
+
+def tensor_spans(spark, sf_dir):
+    """Entities from tensors [1][2 fields][8 words][4 widths] of probabilities, by the greedy choice."""
+    rows = _tensors(spark, sf_dir, "4")
+    p = F.transform("e", lambda x: sigmoid(8 * x.cast("double")))
+    rows = T.spans_of(rows.withColumn("scores", _nested(p, 1, 2, 8, 4)), "scores", NAMES, 0.8, 4)
+    out = S.exploded(rows.withColumn("cands", S.greedy(F.col("cands"))), ["vec_id"])
+    return out.select("vec_id", "type", "text", F.round("confidence", 6).alias("confidence"), F.col("start").cast("long").alias("start"))
+
+
+TENSOR_SPANS = f"""WITH e AS (SELECT vec_id, 5 + vec_id % 4 AS n, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS o FROM embeddings WHERE len(embedding) = 64),
+sc AS (SELECT vec_id, n, 1 / (1 + exp(-8 * x)) AS p, o // 32 AS f, o // 4 % 8 AS i, o % 4 AS j FROM e),
+ca AS (SELECT vec_id, (f * n + i) * 4 + j AS ord, f, i * 3 AS start_, (i + j) * 3 + 2 AS end_, array_to_string(list_transform(range(i, i + j + 1), lambda k: 'w' || k), ' ') AS surface, p FROM sc WHERE i + j < n AND p >= 0.8),{_greedy_sql("vec_id")}
+SELECT vec_id, CASE f WHEN 0 THEN '{NAMES[0]}' ELSE '{NAMES[1]}' END AS type, surface AS text, round(p, 6) AS confidence, start_ AS start FROM gr"""
+
+
+def tensor_tokens(spark, sf_dir):
+    """Entities from token logits [7 words][3 classes][start, end, inside], for texts of up to eight words."""
+    logits = _nested(F.transform("e", lambda x: 8 * x.cast("double")), 7, 3, 3)
+    rows = T.tokens_of(_tensors(spark, sf_dir, "4").withColumn("logits", logits), "logits", [*NAMES, "organization"], 0.5)
+    out = S.exploded(rows.withColumn("cands", S.greedy(F.col("cands"))), ["vec_id"])
+    return out.select("vec_id", "type", "text", F.round("confidence", 6).alias("confidence"), F.col("start").cast("long").alias("start"))
+
+
+TENSOR_TOKENS = f"""WITH e AS (SELECT vec_id, 5 + vec_id % 4 AS n, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS o FROM embeddings WHERE len(embedding) = 64),
+sg AS (SELECT vec_id, n, 1 / (1 + exp(-8 * x)) AS p, o // 9 AS i, o // 3 % 3 AS c, o % 3 AS ch FROM e WHERE o < 63 AND o // 9 < n),
+w AS (SELECT vec_id, n, i, c, max(p) FILTER (ch = 0) AS a, max(p) FILTER (ch = 1) AS z, max(p) FILTER (ch = 2) AS m FROM sg GROUP BY ALL),
+ca AS (SELECT s.vec_id, (s.i * 3 + s.c) * s.n + t.i AS ord, s.c, s.i * 3 AS start_, t.i * 3 + 2 AS end_, array_to_string(list_transform(range(s.i, t.i + 1), lambda k: 'w' || k), ' ') AS surface,
+    least(max(s.a), min(r.m), max(t.z)) AS p FROM w s JOIN w t ON s.vec_id = t.vec_id AND s.c = t.c AND t.i >= s.i JOIN w r ON r.vec_id = s.vec_id AND r.c = s.c AND r.i BETWEEN s.i AND t.i
+  WHERE s.a >= 0.5 AND t.z >= 0.5 GROUP BY s.vec_id, s.n, s.i, s.c, t.i HAVING min(r.m) >= 0.5),{_greedy_sql("vec_id")}
+SELECT vec_id, CASE c WHEN 0 THEN '{NAMES[0]}' WHEN 1 THEN '{NAMES[1]}' ELSE 'organization' END AS type, surface AS text, round(p, 6) AS confidence, start_ AS start FROM gr"""
+
+
+def tensor_instances(spark, sf_dir):
+    """Relations and structures from tensors [2][2 fields][4 words][4 widths] and a count of up to three instances."""
+    p = F.transform("e", lambda x: sigmoid(8 * x.cast("double")))
+    rows = _tensors(spark, sf_dir, "4").withColumn("scores", _nested(p, 2, 2, 4, 4)).withColumn("n", F.expr("pmod(vec_id, 4)").cast("int"))
+    rows = T.structures_of(T.relations_of(rows, "scores", F.col("n"), ["head", "tail"], 0.7, 4), "scores", F.col("n"), (Field("head"), Field("tail", "LIST")), 0.7, 4)
+    of = lambda c: F.concat(c["text"], F.lit("@"), c["start"].cast("string"))
+    related = F.transform("relations", lambda r: F.array_join(F.transform(r["fields"], of), ">"))
+    structured = F.transform("structures", lambda s: F.array_join(F.transform(F.map_entries(s), lambda e: F.concat(e["key"], F.lit("="), F.array_join(F.transform(e["value"], of), "+"))), ","))
+    return rows.select("vec_id", F.size("relations").cast("long").alias("n_relations"), F.array_join(related, ";").alias("relations"), F.size("structures").cast("long").alias("n_structures"), F.array_join(structured, ";").alias("structures"))
+
+
+TENSOR_INSTANCES = f"""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS o FROM embeddings WHERE len(embedding) = 64),
+sc AS (SELECT vec_id, 1 / (1 + exp(-8 * x)) AS p, o // 32 AS inst, o // 16 % 2 AS f, o // 4 % 4 AS i, o % 4 AS j FROM e WHERE o // 32 < vec_id % 4 AND o // 4 % 4 + o % 4 < 5 + vec_id % 4),
+ca AS (SELECT vec_id, inst, f, i * 4 + j AS ord, i * 3 AS start_, (i + j) * 3 + 2 AS end_, array_to_string(list_transform(range(i, i + j + 1), lambda k: 'w' || k), ' ') || '@' || (i * 3) AS x, p FROM sc WHERE p >= 0.7),
+be AS (SELECT * FROM ca QUALIFY row_number() OVER (PARTITION BY vec_id, inst, f ORDER BY p DESC, ord) = 1),
+re AS (SELECT h.vec_id, h.inst, h.x || '>' || t.x AS x FROM be h JOIN be t ON h.vec_id = t.vec_id AND h.inst = t.inst AND h.f = 0 AND t.f = 1 QUALIFY row_number() OVER (PARTITION BY h.vec_id, h.start_, h.end_, t.start_, t.end_ ORDER BY h.inst) = 1),
+lt AS (SELECT * FROM ca WHERE f = 1),{_greedy_sql("vec_id, inst", source="lt")},
+ls AS (SELECT vec_id, inst, string_agg(x, '+' ORDER BY start_) AS x FROM gr GROUP BY ALL),
+st AS (SELECT v.vec_id, r.inst, array_to_string(list_filter(['head=' || b.x, 'tail=' || ls.x], lambda x: x IS NOT NULL), ',') AS x FROM embeddings v JOIN range(2) r(inst) ON r.inst < v.vec_id % 4
+  LEFT JOIN be b ON b.vec_id = v.vec_id AND b.inst = r.inst AND b.f = 0 LEFT JOIN ls ON ls.vec_id = v.vec_id AND ls.inst = r.inst WHERE len(v.embedding) = 64),
+ra AS (SELECT vec_id, count(*) AS n, string_agg(x, ';' ORDER BY inst) AS t FROM re GROUP BY ALL), sa AS (SELECT vec_id, count(*) AS n, string_agg(x, ';' ORDER BY inst) AS t FROM st GROUP BY ALL)
+SELECT v.vec_id, coalesce(ra.n, 0) AS n_relations, coalesce(ra.t, '') AS relations, coalesce(sa.n, 0) AS n_structures, coalesce(sa.t, '') AS structures FROM embeddings v LEFT JOIN ra USING (vec_id) LEFT JOIN sa USING (vec_id) WHERE len(v.embedding) = 64"""
+
+
 def queries() -> dict:
-    return {"structures_instances": structures_instances, "extract_schema": extract_schema, "boundary_evidence": boundary_evidence, "label_embeddings": label_embeddings, "row_layout": row_layout, "usage_cold_cache": usage_cold_cache}
+    return {"structures_instances": structures_instances, "extract_schema": extract_schema, "boundary_evidence": boundary_evidence, "label_embeddings": label_embeddings, "row_layout": row_layout, "usage_cold_cache": usage_cold_cache, "tensor_spans": tensor_spans, "tensor_tokens": tensor_tokens, "tensor_instances": tensor_instances}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"structures_instances": STRUCTURES, "extract_schema": _schema_sql(), "boundary_evidence": _evidence_sql(), "label_embeddings": LABEL_EMBEDDINGS, "row_layout": _layout_sql(), "usage_cold_cache": USAGE_COLD}
+    return {"structures_instances": STRUCTURES, "extract_schema": _schema_sql(), "boundary_evidence": _evidence_sql(), "label_embeddings": LABEL_EMBEDDINGS, "row_layout": _layout_sql(), "usage_cold_cache": USAGE_COLD, "tensor_spans": TENSOR_SPANS, "tensor_tokens": TENSOR_TOKENS, "tensor_instances": TENSOR_INSTANCES}
