@@ -129,7 +129,8 @@ def _edges(spark, sf_dir):
 
 
 def relations_boundary(spark, sf_dir):
-    out = R.deduplicated(_edges(spark, sf_dir), ["conv_id", "turn"])
+    # read several times
+    out = R.deduplicated(stored(_edges(spark, sf_dir), "edges"), ["conv_id", "turn"])
     return out.select("conv_id", "turn", "head", "hs", "tail", "ts", F.round("p", 6).alias("p"), "ord")
 
 
