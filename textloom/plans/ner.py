@@ -20,10 +20,14 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks a core where work per row is dear: with about one each, cores wait for the last.
+WAVES = 4
+
+
 def _spread(rows):
-    """``rows`` over all cores where their files make fewer partitions than that; larger tables stay as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """``rows`` over ``WAVES`` tasks a core where their files make fewer partitions than that; larger tables stay as they are."""
+    tasks = WAVES * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
 
 
 def tokenize(how: T.Preset):
