@@ -49,8 +49,8 @@ LEADERS = 3
 WORTH = 20
 #: Classes, and shingles, that meet a member of a large group at once; members that share a task.
 BLOCK, BLOCK_SHINGLES, FACED = 48, 1 << 18, 200
-#: Rows of the tables that cut down what is joined, and further readings of the texts.
-BUCKETS = 1 << 18
+#: Rows of the tables that cut down what is joined, and further readings of the texts; a row stands for 64 hash buckets.
+MASKS = 1 << 18
 
 
 def shingle_set(docs: DataFrame, k: int = SHINGLE, text: str = "text") -> DataFrame:
@@ -113,10 +113,16 @@ def _near(a: Column, b: Column, percent: int) -> Column:
 
 
 def _among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """``rows`` that share a hash bucket with ``ids`` (one column): a superset, from a table of at most BUCKETS rows."""
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    near = F.broadcast(ids.toDF("_id").select(bucket("_id").alias("_b")).distinct())
-    return rows.withColumn("_b", bucket(column)).join(near, "_b", "left_semi").drop("_b")
+    """``rows`` that share one of 64 * MASKS hash buckets with ``ids`` (one column): a superset, from a table of at most MASKS rows.
+
+    A row of the table is a word of 64 bits, one a bucket: with a bucket a row, the millions of ids of a
+    large corpus would be in every bucket, and all texts be taken for theirs.
+    """
+    word = lambda c: F.pmod(F.xxhash64(c), F.lit(MASKS)).alias("_b")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit(2), c), F.lit(64)).cast("int")).alias("_bit")
+    near = F.broadcast(ids.toDF("_id").select(word(F.col("_id")), bit(F.col("_id"))).groupBy("_b").agg(F.bit_or("_bit").alias("_bits")))
+    own = rows.select("*", word(F.col(column)), bit(F.col(column)))
+    return own.join(near, "_b").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_b", "_bit", "_bits")
 
 
 def _shared(a: str, b: str, percent: int) -> Column:
@@ -183,21 +189,29 @@ def _led(at: DataFrame, order: Column, most: int, percent: int) -> DataFrame:
 
 
 def _apart(short: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that are apart and retain enough in common, from the first list on which both stand."""
-    short = short.join(listed.select("node", "least", "listed"), "node")
+    """Pairs (a, b) that are apart and retain enough in common, from the first two lists on which both stand.
+
+    Every row of a list carries its class's retained values, as hashes of 32 bits. Two values of which the
+    hashes are equal only add pairs: a class counts as many more as it has values than hashes, and one
+    value that is only seemingly common may come before the first one that is.
+    """
+    short = short.join(listed.select("node", "least", F.transform("listed", lambda x: F.hash(x)).alias("listed")), "node")
     left, right = (short.select("value", *(F.col(c).alias(x + c) for c in ("node", "n", "comp", "least", "listed"))) for x in "ab")
     new = (F.col("anode") < F.col("bnode")) & (F.col("acomp") != F.col("bcomp")) & similar_sizes(F.col("an"), F.col("bn"), percent)
     common = F.array_intersect("alisted", "blisted")  # in the order of the first: rarest first
-    here = (F.get(common, F.lit(0)) == F.col("value")) & (F.size(common) >= F.greatest("aleast", "bleast"))
-    return left.join(right, "value").where(new & here).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
+    more = lambda x: F.size(x) - F.size(F.array_distinct(x))
+    here = F.array_contains(F.slice(common, 1, 2), F.hash("value")) & (F.size(common) + more("alisted") + more("blisted") >= F.greatest("aleast", "bleast"))
+    return left.join(right, "value").where(new & here).select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct()
 
 
 def _rest(at: DataFrame, long: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Stored links (u, v) between classes that are apart on long lists.
+    """Stored links (u, v) that join what is apart on long lists, and is linked, into the components that all links make.
 
     Lists are put together by their largest component. Classes outside it are asked: in
-    blocks they meet all classes of those lists, and full sets decide within the row, so
-    that only links come out. A large group is dealt over tasks by salt.
+    blocks they meet all classes of those lists, and full sets decide within the row. A large
+    group is dealt over tasks by salt. Of the links of a class with a block's members the first
+    is kept, and each member it has is linked with the next; such neighbours are few for a block,
+    so that what comes out grows with the group, not with its links.
     """
     most = at.join(long, "value").groupBy("value", "comp").agg(F.count("*").alias("_c"))
     most = most.groupBy("value").agg(F.max_by("comp", F.struct("_c", "comp")).alias("most"))
@@ -211,8 +225,8 @@ def _rest(at: DataFrame, long: DataFrame, classes: DataFrame, texts: DataFrame,
     )
     dealt = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts))
     full = there.join(size, "most").join(sets, "node")
-    blocks = full.where(asked).groupBy("most", dealt("blocks").alias("_k"), "salts").agg(F.collect_list(F.struct("node", "n", "comp", "set")).alias("block"))
-    blocks = blocks.select("most", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("_salt"))
+    blocks = full.where(asked).groupBy("most", dealt("blocks").alias("_k"), "salts").agg(F.sort_array(F.collect_list(F.struct("node", "n", "comp", "set"))).alias("block"))
+    blocks = blocks.select("most", "_k", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("_salt"))
     faced = full.select("most", "node", "n", "comp", "set", dealt("salts").cast("int").alias("_salt"))
     # of two asked classes the first by name is the one in the block
     hit = f"q.comp <> comp AND 100 * least(q.n, n) >= {percent} * greatest(q.n, n) AND (comp = most OR q.node < node)"
@@ -221,10 +235,15 @@ def _rest(at: DataFrame, long: DataFrame, classes: DataFrame, texts: DataFrame,
     # a stated number: by their bytes, which are few, salts would be put together in one task
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     faced, blocks = (x.repartition(parts, "most", "_salt") for x in (faced, blocks))
-    met = faced.join(blocks, ["most", "_salt"]).select(F.col("node").alias("u"), F.explode_outer(hits).alias("v"))
-    # a filter on the number of hits would go into the join, and all pairs be tested twice
-    out = stored(met.where("v IS NOT NULL"), "links")
-    discard(there, wanted, sets)
+    # stored before it is cut down: a filter on the number of hits would go into the join, and all pairs be tested twice
+    met = stored(faced.join(blocks, ["most", "_salt"]).select("most", "_k", "_salt", F.col("node").alias("u"), hits.alias("hits")), "hits")
+    found = met.where(F.size("hits") > 0)
+    next_of = F.transform(F.slice("hits", F.lit(2), F.size("hits")), lambda v, i: F.struct(F.get("hits", i).alias("u"), v.alias("v")))
+    # at most FACED classes, or some more, meet a block under a salt
+    chains = found.groupBy("most", "_k", "_salt").agg(F.array_distinct(F.flatten(F.collect_list(next_of))).alias("x"))
+    chains = chains.select(F.explode_outer("x").alias("x")).where("x IS NOT NULL").select("x.u", "x.v").distinct()
+    out = stored(found.select("u", F.col("hits")[0].alias("v")).unionByName(chains), "links")
+    discard(there, wanted, sets, met)
     return out
 
 
