@@ -9,6 +9,7 @@ on the driver, before anything is planned.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
@@ -22,6 +23,12 @@ class Scorer(Protocol):
         """Probability as a double."""
 
 
+def reaches(scorer: Scorer, label: Column, surface: Column, threshold) -> Column:
+    """Whether a score is ``threshold`` at least; a scorer with a cheaper way to tell has a method ``reaches``."""
+    own = getattr(scorer, "reaches", None)
+    return own(label, surface, threshold) if own else scorer.score(label, surface) >= threshold
+
+
 @dataclass(frozen=True)
 class HashScorer:
     """The leading 24 bits of md5(label|surface) as a share of 1."""
@@ -30,6 +37,16 @@ class HashScorer:
         head = F.substring(F.md5(F.concat(label, F.lit("|"), surface)), 1, 6)
         return F.conv(head, 16, 10).cast("long") / F.lit(16777215.0)
 
+    def reaches(self, label: Column, surface: Column, threshold) -> Column:
+        """By the order of hexadecimal digits: the number is made only of what reaches the threshold."""
+        if isinstance(threshold, Column):
+            return self.score(label, surface) >= threshold
+        least = min(max(math.floor(threshold * 16777215) - 1, 0), 1 << 24)
+        while least <= 16777215 and least / 16777215.0 < threshold:
+            least += 1
+        digest = F.md5(F.concat(label, F.lit("|"), surface))
+        return digest >= F.lit(f"{least:06x}" if least <= 16777215 else "g")
+
 
 @dataclass(frozen=True)
 class RuleScorer:

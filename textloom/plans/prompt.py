@@ -123,11 +123,13 @@ def first_runs(rows: DataFrame, labels: str, order: list[str], text: str = "text
     """Adds ``first``: whether a row (with words) is the first by ``order`` that is run with its label list.
 
     The first of each list is an ordered minimum, which a task takes of what it has seen, and
-    goes back by a join: no rows of a list have to meet, however many it has. A null list is a
-    list like others. Rows that tie in ``order`` are all first.
+    goes back by a join on list and place: no rows of a list have to meet, however many it has,
+    since rows are dealt by their place too. A null list is a list like others. Rows that tie in
+    ``order`` are all first.
     """
     place = F.struct(*order)
     run = ~(is_blank(F.col(text)) | (F.size("words") == 0))
     firsts = rows.where(run).groupBy(F.col(labels).alias("_labels")).agg(F.min(place).alias("_first"))
-    joined = rows.join(firsts, F.col(labels).eqNullSafe(F.col("_labels")), "left")
-    return joined.withColumn("first", F.coalesce(run & place.eqNullSafe(F.col("_first")), F.lit(False))).drop("_labels", "_first")
+    here = F.col(labels).eqNullSafe(F.col("_labels")) & place.eqNullSafe(F.col("_first"))
+    joined = rows.join(firsts.withColumn("_found", F.lit(True)), here, "left")
+    return joined.withColumn("first", F.coalesce(run & F.col("_found"), F.lit(False))).drop("_labels", "_first", "_found")
