@@ -53,3 +53,13 @@ def test_numbers(spark):
     ).first()
     assert sum(row.p) == pytest.approx(1) and row.p[0] == row.p[1]
     assert (row.a, row.d, row.s, row.t, row["sub"], row.u) == (1, 11.0, "a b", "x y", True, 3)
+
+
+def test_running_sums_some_lists_at_a_time():
+    import pyarrow as pa
+
+    lists = [[3, 1], [], [2] * 9, [5], [1, 1, 1], []]
+    want = [[3, 4], [], [2 * (i + 1) for i in range(9)], [5], [1, 2, 3], []]
+    for size in (1, 4, 100):
+        assert T.summed_lists(pa.array(lists, pa.list_(pa.int32())), size).to_pylist() == want
+    assert T.summed_lists(pa.array(lists, pa.list_(pa.int32())).slice(2, 2), 4).to_pylist() == want[2:4]

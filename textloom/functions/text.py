@@ -65,16 +65,30 @@ def preset(config: dict, task: str) -> Preset:
     return Preset(UNICODE) if str(config.get("architecture", "")).startswith("gliner-") else DEFAULT
 
 
+#: Lengths that are summed at once: what a batch of texts needs beside itself and its result.
+AT_ONCE = 1 << 18
+
+
 @F.arrow_udf(ArrayType(IntegerType()))
 def running_sums(lengths: pa.Array) -> pa.Array:
     """Inclusive running sums within each list."""
+    return summed_lists(lengths)
+
+
+def summed_lists(lengths: pa.Array, at_once: int = AT_ONCE) -> pa.Array:
+    """``running_sums``, some lists at a time; a list longer than ``at_once`` is summed alone."""
     lengths = lengths.combine_chunks() if isinstance(lengths, pa.ChunkedArray) else lengths
     offsets = lengths.offsets.to_numpy()
-    values = lengths.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
-    sums = np.concatenate([[0], np.cumsum(values)])
-    at = offsets - offsets[0]
-    out = sums[1:] - np.repeat(sums[at[:-1]], np.diff(at))
-    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(out.astype(np.int32)))
+    values = lengths.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    at, first = offsets - offsets[0], 0
+    out = np.empty(len(values), np.int32)
+    while first < len(at) - 1:
+        last = max(int(np.searchsorted(at, at[first] + at_once, "right")) - 1, first + 1)
+        a, z, own = at[first], at[last], at[first : last + 1] - at[first]
+        sums = np.concatenate([[0], np.cumsum(values[a:z], dtype=np.int64)])
+        out[a:z] = sums[1:] - np.repeat(sums[own[:-1]], np.diff(own))
+        first = last
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(out))
 
 
 def let(value: Column, body) -> Column:
