@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.text import let, prefix_sums
-from .scorer import Scorer
+from .scorer import Scorer, reaches
 
 SPAN = "struct<ord:bigint,label:string,first:int,last:int,start:int,end:int,text:string,p:double>"
 
@@ -29,7 +29,7 @@ def candidates(rows: DataFrame, names, scorer: Scorer, threshold: float, max_wid
 
     Needs ``pieces`` and ``words`` (functions.text.with_words). A span's text is made once for
     all labels, and the threshold is applied where it is scored, so that the full grid never
-    exists.
+    exists; scores are made into numbers only for what reaches the threshold.
     """
     words, n = F.col("words"), F.size("words").cast("long")
 
@@ -37,15 +37,16 @@ def candidates(rows: DataFrame, names, scorer: Scorer, threshold: float, max_wid
         def of_span(v: Column, j: Column) -> Column:
             def scored(text: Column) -> Column:
                 at = lambda k: ((k * n + i) * max_width + j).cast("long")
-                made = F.filter(F.transform(labels, lambda label, k: F.struct(scorer.score(label, text).alias("p"), k.alias("k"))), lambda x: x["p"] >= threshold)
-                return F.transform(made, lambda x: F.struct(at(x["k"]).alias("ord"), F.get(labels, x["k"]).alias("label"), i.alias("first"), (i + j).alias("last"), w["s"].alias("start"), v["e"].alias("end"), text.alias("text"), x["p"].alias("p")))
+                made = F.filter(labels, lambda x: reaches(scorer, x["label"], text, threshold))
+                return F.transform(made, lambda x: F.struct(at(x["k"]).alias("ord"), x["label"].alias("label"), i.alias("first"), (i + j).alias("last"), w["s"].alias("start"), v["e"].alias("end"), text.alias("text"), scorer.score(x["label"], text).alias("p")))
 
             return let(F.array_join(F.slice("pieces", w["p"] + 1, v["p"] - w["p"] + 1), ""), scored)
 
         return F.flatten(F.transform(F.slice(words, i + 1, max_width), of_span))
 
     # labels are bound: the optimizer moves what makes them to where they are used, which is in every span
-    every = let(labels_of(names), lambda labels: F.flatten(F.transform(words, lambda w, i: of_word(labels, w, i))))
+    numbered = F.transform(labels_of(names), lambda label, k: F.struct(label.alias("label"), k.alias("k")))
+    every = let(numbered, lambda labels: F.flatten(F.transform(words, lambda w, i: of_word(labels, w, i))))
     # ``ord`` comes first in the struct, and no two are equal
     return rows.withColumn(into, F.sort_array(every))
 

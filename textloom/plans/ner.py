@@ -96,7 +96,7 @@ def _chats(spark, sf_dir):
 
 def _found(spark, sf_dir):
     rows = S.candidates(_chats(spark, sf_dir), ENTITIES, HASH, AT, WIDTH)
-    return rows.withColumn("cands", S.greedy(F.col("cands")))
+    return S.greedy_many(rows)
 
 
 def ner_greedy(spark, sf_dir):
@@ -128,7 +128,7 @@ LEFT JOIN gr g ON g.conv_id = c.conv_id AND g.turn = c.turn AND g.label = l.name
 
 def ner_documents(spark, sf_dir):
     """Whole documents, however long: the greedy choice in linear time."""
-    rows = T.with_words(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = T.with_words(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     rows = S.greedy_many(S.candidates(rows, ("person", "location"), HASH, 0.99, 3))
     out = S.exploded(rows, ["doc_id"])
     return out.groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum("start").cast("long").alias("start_sum"), F.round(F.max("confidence"), 6).alias("best"))
@@ -140,10 +140,10 @@ SELECT doc_id, label AS type, count(*) AS n, sum(start_)::BIGINT AS start_sum, r
 
 def ner_overrides(spark, sf_dir):
     """Labels as query data: each role asks for its own."""
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = _spread(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     names = F.when(F.col("role") == "user", F.array(F.lit("person"), F.lit("product"))).otherwise(F.array(F.lit("date")))
     rows = S.candidates(T.with_words(rows), names, HASH, AT, WIDTH)
-    out = S.exploded(rows.withColumn("cands", S.greedy(F.col("cands"))), ["conv_id", "turn"])
+    out = S.exploded(S.greedy_many(rows), ["conv_id", "turn"])
     return out.groupBy("conv_id", "type").agg(F.count("*").alias("n"))
 
 
@@ -153,13 +153,14 @@ SELECT conv_id, label AS type, count(*) AS n FROM gr GROUP BY ALL"""
 
 
 def ner_gated(spark, sf_dir):
-    """Count gate and abstention before the greedy choice."""
-    rows = S.candidates(_chats(spark, sf_dir), ENTITIES, HASH, AT, WIDTH)
+    """Count gate and abstention before the greedy choice, and before any span is scored that they rule out."""
     counts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: HASH.score(F.concat(F.lit("count:"), k.cast("string")), F.col("text")))
     nulls = F.transform(S.labels_of(ENTITIES), lambda x: F.struct(x.alias("label"), HASH.score(F.concat(F.lit("null:"), x), F.col("text")).alias("p")))
-    rows = rows.withColumn("_nulls", nulls).withColumn("_counts", counts)
-    kept = S.not_abstained(S.gated(F.col("cands"), F.col("_counts")), F.col("_nulls"), 0.5)
-    out = S.exploded(rows.withColumn("cands", kept).withColumn("cands", S.greedy(F.col("cands"))), ["conv_id", "turn"])
+    rows = _chats(spark, sf_dir).withColumn("_counts", counts).withColumn("_nulls", nulls)
+    asked = F.transform(S.labels_of(ENTITIES), lambda x: F.struct(x.alias("label")))
+    rows = rows.withColumn("_asked", S.not_abstained(S.gated(asked, F.col("_counts")), F.col("_nulls"), 0.5))
+    rows = S.candidates(rows, F.transform("_asked", lambda x: x["label"]), HASH, AT, WIDTH)
+    out = S.exploded(S.greedy_many(rows), ["conv_id", "turn"])
     return out.groupBy("conv_id", "turn", "type").agg(F.count("*").alias("n"))
 
 
