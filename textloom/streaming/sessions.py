@@ -34,7 +34,7 @@ ScoreFn = Callable[[str, str], float]
 
 
 def hash_score(label: str, surface: str) -> float:
-    return int(hashlib.md5(f"{label}|{surface}".encode()).hexdigest()[:6], 16) / 16777215.0
+    return int.from_bytes(hashlib.md5(f"{label}|{surface}".encode()).digest()[:3]) / 16777215.0
 
 
 def candidate_spans(past: int, added: int, width: int, right: int) -> list[tuple[int, int]]:
@@ -68,6 +68,8 @@ class Session:
     scores: dict[tuple[int, int], list[float]] = field(default_factory=dict)
     tokens: int = 0
     failure: str | None = None
+    #: A threshold and, of the spans in ``scores``, those with a score above it, as a choice meets them.
+    above: tuple[float | None, dict[tuple[int, int], list[tuple]]] = field(default_factory=lambda: (None, {}))
     #: Chunks, words and spans since the last ``written``.
     news: tuple[list[str], int, set[tuple[int, int]]] = field(default_factory=lambda: ([], 0, set()))
 
@@ -105,6 +107,7 @@ class Session:
                 piece = self.text[self.starts[s] : self.ends[e]]
                 self.scores[s, e] = [score(label, piece) for label in self.labels]
                 spans.add((s, e))
+                self._hold(s, e)
         except Exception as x:
             self.failure = f"{type(x).__name__}: {x}"
             raise
@@ -112,17 +115,32 @@ class Session:
 
     def snapshot(self, threshold: float) -> list[tuple]:
         """Greedy choice over word ranges; only scores strictly above the threshold count, all labels compete."""
-        found = [(-p, s, e, k) for (s, e), ps in self.scores.items() for k, p in enumerate(ps) if p > threshold]
+        if self.above[0] != threshold:
+            self.above = (threshold, {})
+            for s, e in self.scores:
+                self._hold(s, e)
         taken, kept = set(), []
-        for p, s, e, k in sorted(found):
+        for p, s, e, k in sorted(x for found in self.above[1].values() for x in found):
             if taken.isdisjoint(range(s, e + 1)):
                 taken.update(range(s, e + 1))
                 kept.append((s, e, k, -p))
         return [(self.labels[k], self.text[self.starts[s] : self.ends[e]], p, self.starts[s], self.ends[e]) for s, e, k, p in sorted(kept)]
 
+    def _hold(self, s: int, e: int) -> None:
+        """Keeps what a scored span has above the threshold of the last question, so that a chunk goes over its own spans alone."""
+        at, held = self.above
+        if at is None:
+            return
+        found = [(-p, s, e, k) for k, p in enumerate(self.scores[s, e]) if p > at]
+        if found:
+            held[s, e] = found
+        else:
+            held.pop((s, e), None)
+
     def close(self) -> None:
         self.failure = self.failure or "the session is closed"
         self.scores.clear()
+        self.above = (None, {})
 
     def written(self) -> tuple[list[str], list[tuple[int, int]], list[tuple[int, int]]]:
         """New chunks, offsets of new words, and spans scored since the last call."""
