@@ -40,3 +40,25 @@ def test_few_files_are_spread_over_tasks(spark):
 def test_blocks_of_a_search_hold_few_rows():
     queries, rows = P.BLOCK
     assert queries + rows <= 50_000
+
+
+def test_a_session_goes_over_scores_once():
+    import random
+
+    from textloom.streaming.sessions import Session
+
+    class Watched(dict):
+        read = 0
+
+        def items(self):
+            Watched.read += len(self)
+            return super().items()
+
+    r = random.Random(2)
+    session = Session(("a", "b"), 4)
+    session.scores = Watched()
+    for n in range(30):
+        got = session.append(" ".join(str(r.randrange(99)) for _ in range(5)) + " ", 0.8)
+        again = Session(("a", "b"), 4, text=session.text, starts=session.starts, ends=session.ends, scores=dict(session.scores))
+        assert got == again.snapshot(0.8) and session.snapshot(0.3) == again.snapshot(0.3) and got == session.snapshot(0.8)
+    assert Watched.read == 0

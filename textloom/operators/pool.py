@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Queries and rows in a block of a search, and queries whose products are held at once.
-BLOCK, SLICE = (8192, 65536), 64
+BLOCK, SLICE = (16384, 32768), 64
 
 
 def top_k(rows: DataFrame, keys: list[str], score: str, index: str, k: int) -> DataFrame:
