@@ -2,13 +2,16 @@
 
 A document is the set of its word shingles' 64-bit hashes; its sketch is the K smallest.
 Texts with equal sets fall into one class first (told apart by 128 bits), so that a large group
-of copies is one row from there on. Inverted lists of retained values then propose pairs:
-
-* two sets similar enough share at least ``least_shared`` retained values (a bound that is
-  exact for sets that a sketch holds whole; else it fails for one in a million of the pairs
-  that are just similar enough, and for fewer of closer ones), so a class with fewer values
-  on any list is out, and the rarest values of the others are looked up, so many that a
-  similar pair meets on the first that both retain; it meets there only;
+of copies is one row from there on. Inverted lists of keys then propose pairs. A single value is
+no key: word pairs are so few that in a large corpus most stand in many unrelated texts.
+
+* a set of up to ``SMALL`` shingles, or one that may be similar to such a set, has as keys all
+  twos of its lowest hashes, so many that a similar pair has two of them in common for certain;
+* larger sets have bands: their hashes are dealt over bins, some two a bin, by as many hash functions
+  as the number of bands asks for, and the minima of ``_band_sizes`` bins together are a key. A bin's minimum
+  is the same with the sets' similarity as chance, so that no band is met by one in a million of the
+  pairs that are just similar enough, and by fewer of closer ones. Sizes have levels, each with its
+  own number of bins; a set that may be similar to one of a lower level has that level's keys too;
 * each class is tested against the first class of one of its lists; then all pairs that are
   still apart meet on lists of up to ``SHORT`` classes, while those on longer lists are
   tested against further leaders for as long as that joins many of them. What is left apart
@@ -30,17 +33,25 @@ from __future__ import annotations
 import functools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..session import discard, stored
-from .common import spaced_words, text_key
+from .common import let, spaced_words, text_key
 from .decontaminate import lowered
 
 #: Retained values, words of a shingle, and percent of similarity.
 K, SHINGLE, PERCENT = 32, 5, 80
 #: Share of the pairs that are just similar enough that a bound from sketches may lose.
 LOST = 1e-6
+#: Shingles of the smaller of two sets up to which they meet for certain; sizes double from level to level above it.
+SMALL, LEVELS = 32, 5
+#: Hashes that are dealt over bins at once.
+AT_ONCE = 1 << 18
 #: Members up to which all pairs of a list that are apart are tested at once.
 SHORT = 64
 #: Leaders that a class on long lists is tested against in a round.
@@ -73,10 +84,82 @@ def lowest(k: int, percent: int) -> int:
     return c
 
 
-def least_shared(n: Column, percent: int = PERCENT) -> Column:
-    """How many retained values a set of ``n`` shares with one that is similar enough; at least one."""
-    exact = F.floor((n * percent + 99) / 100)
-    return F.when(n * 100 <= K * percent, exact).otherwise(F.least(exact, F.lit(max(lowest(K, percent), 1)))).cast("int")
+@functools.cache
+def _band_sizes(percent: int) -> tuple[int, int, int]:
+    """Bins of a band, how many of them must not be empty, and how many bands miss a pair that is just similar enough with a chance of ``LOST`` at most."""
+    p = min(percent, 99) / 100
+    bins = min(max(round(math.log(0.33) / math.log(p)), 1), 8)
+    filled, empty = (bins + 1) // 2, math.exp(-2)  # two hashes a bin at least
+    enough = sum(math.comb(bins, c) * (1 - empty) ** c * empty ** (bins - c) for c in range(filled, bins + 1))
+    return bins, filled, math.ceil(math.log(LOST) / math.log(1 - p**bins * enough))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The last steps of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _level_bands(hashes: np.ndarray, sizes: np.ndarray, level: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bands of some sets at a level, a row a set, and which of them have too many empty bins."""
+    bins, filled, bands = _band_sizes(percent)
+    turns = -(-bands // min(bands, (SMALL << level) // (2 * bins)))
+    each = -(-bands // turns)
+    of, none, keys, weak = np.repeat(np.arange(len(sizes)), sizes), np.uint64(2**64 - 1), [], []
+    for turn in range(turns):
+        h = _mixed(hashes ^ _mixed(np.array([turn + 1], np.uint64)))
+        least = np.full(len(sizes) * each * bins, none)
+        np.minimum.at(least, of * (each * bins) + ((h >> np.uint64(32)) * np.uint64(each * bins) >> np.uint64(32)).astype(np.int64), h)
+        least = least.reshape(len(sizes), each, bins)
+        key = np.full((len(sizes), each), level, np.uint64)
+        for b in range(bins):
+            key = _mixed(key * np.uint64(31) ^ least[:, :, b])
+        keys.append(key)
+        weak.append((least != none).sum(axis=2) < filled)
+    return (np.concatenate(keys, 1)[:, :bands] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.concatenate(weak, 1)[:, :bands]
+
+
+def band_lists(sets: pa.Array, percent: int) -> pa.Array:
+    """Keys of the bands of each set, level by level; null where too many bins are empty. A set of up to ``SMALL`` has none."""
+    sets = sets.combine_chunks() if isinstance(sets, pa.ChunkedArray) else sets
+    bands, offsets = _band_sizes(percent)[2], sets.offsets.to_numpy().astype(np.int64)
+    values = sets.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    sizes = np.diff(offsets)
+    own = np.minimum(np.floor(np.log2(np.maximum(sizes, 1) / SMALL)).astype(np.int64), LEVELS - 1)
+    asked = [(sizes > SMALL) & ((own == k) | (own > k) & (sizes * percent < 100 * (SMALL << k + 1))) for k in range(LEVELS)]
+    at = np.concatenate([[0], np.cumsum(sum(x.astype(np.int64) for x in asked) * bands)])
+    keys, weak, place = np.zeros(at[-1], np.int32), np.zeros(at[-1], bool), at[:-1].copy()
+    for level, which in enumerate(asked):
+        rows = np.flatnonzero(which)
+        ends, first = np.cumsum(sizes[rows]), 0
+        while first < len(rows):
+            last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + AT_ONCE, "right")), first + 1)
+            some = rows[first:last]
+            hashes = np.concatenate([values[offsets[i] : offsets[i + 1]] for i in some])
+            where = place[some][:, None] + np.arange(bands)
+            keys[where], weak[where] = _level_bands(hashes, sizes[some], level, percent)
+            place[some] += bands
+            first = last
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys, mask=weak))
+
+
+def _bands(sets: Column, percent: int) -> Column:
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def made(own: pa.Array) -> pa.Array:
+        return band_lists(own, percent)
+
+    return made(sets)
+
+
+def _keys(n: Column, sketch: Column, bands: Column, percent: int) -> Column:
+    """What a class is looked up by: twos of the lowest hashes of a small set, and bands, with their places, of a large one."""
+    # similar sets share so many shingles that two of them are among the lowest of both
+    lowest_of = F.slice(sketch, 1, F.least(n, n - F.ceil(n * percent / 100) + 2).cast("int"))
+    twos = let(lowest_of, lambda low: F.flatten(F.transform(low, lambda x, i: F.transform(F.slice(low, i + 2, F.size(low)), lambda y: F.xxhash64(x, y)))))
+    small = F.when(n * percent <= 100 * SMALL, twos).otherwise(F.array().cast("array<bigint>"))
+    placed = F.transform(bands, lambda x, i: F.pmod(i, F.lit(_band_sizes(percent)[2])).cast("bigint") * (1 << 32) + x)
+    return F.filter(F.concat(small, placed), lambda x: x.isNotNull())
 
 
 def similar_sizes(a: Column, b: Column, percent: int = PERCENT) -> Column:
@@ -162,21 +245,14 @@ def _name(s: Column) -> Column:
     return F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit(1), s).alias("b"))
 
 
-def _lists(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Stored ``node, n, least, listed``: a class's retained values that others have too, rarest first; and
-    stored ``value, node, n``: inverted lists of those that are looked up. Only values that come twice are on either.
-    """
-    values = classes.select("node", "n", F.explode("sketch").alias("value"))
-    counted = values.groupBy("value").agg(F.count("*").cast("int").alias("on_list")).where("on_list > 1")
-    # at most K values a class; dealt out before they are collected, because few of a class meet before
-    listed = values.join(counted, "value").repartition("node").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("on_list", "value"))).alias("_all"))
-    listed = listed.withColumn("least", least_shared(F.col("n"), percent)).where(F.size("_all") >= F.col("least"))
-    listed = stored(listed.select("node", "n", "least", F.transform("_all", lambda x: x["value"]).alias("listed")), "listed")
-    first = F.slice("listed", 1, F.greatest(F.size("listed") - F.col("least") + 1, F.lit(0)))
-    # never empty; the outer form keeps the optimizer from computing the array twice
-    looked = listed.select("node", "n", F.explode_outer(first).alias("value"))
-    met = looked.groupBy("value").agg(F.count("*").alias("_c")).where("_c > 1").select("value")
-    return listed, stored(looked.join(met, "value").select("value", "node", "n"), "lists")
+def _lists(classes: DataFrame, percent: int) -> DataFrame:
+    """Stored ``value, node, n``: inverted lists of keys that several classes have."""
+    keys = _keys(F.col("n"), F.col("sketch"), F.col("bands"), percent)
+    # the outer form keeps the optimizer from computing the array twice for a filter on its size
+    looked = classes.select(F.explode_outer(keys).alias("value"), "node", "n").where("value IS NOT NULL")
+    # one shuffle; the rows of a long list can be spilled
+    counted = looked.withColumn("_c", F.count("*").over(W.partitionBy("value")))
+    return stored(counted.where("_c > 1").select("value", "node", "n"), "lists")
 
 
 def _led(at: DataFrame, order: Column, most: int, percent: int) -> DataFrame:
@@ -188,20 +264,11 @@ def _led(at: DataFrame, order: Column, most: int, percent: int) -> DataFrame:
     return best.select("a", F.explode("best.b").alias("b"))
 
 
-def _apart(short: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that are apart and retain enough in common, from the first two lists on which both stand.
-
-    Every row of a list carries its class's retained values, as hashes of 32 bits. Two values of which the
-    hashes are equal only add pairs: a class counts as many more as it has values than hashes, and one
-    value that is only seemingly common may come before the first one that is.
-    """
-    short = short.join(listed.select("node", "least", F.transform("listed", lambda x: F.hash(x)).alias("listed")), "node")
-    left, right = (short.select("value", *(F.col(c).alias(x + c) for c in ("node", "n", "comp", "least", "listed"))) for x in "ab")
+def _apart(short: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of lists that are apart."""
+    left, right = (short.select("value", *(F.col(c).alias(x + c) for c in ("node", "n", "comp"))) for x in "ab")
     new = (F.col("anode") < F.col("bnode")) & (F.col("acomp") != F.col("bcomp")) & similar_sizes(F.col("an"), F.col("bn"), percent)
-    common = F.array_intersect("alisted", "blisted")  # in the order of the first: rarest first
-    more = lambda x: F.size(x) - F.size(F.array_distinct(x))
-    here = F.array_contains(F.slice(common, 1, 2), F.hash("value")) & (F.size(common) + more("alisted") + more("blisted") >= F.greatest("aleast", "bleast"))
-    return left.join(right, "value").where(new & here).select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct()
+    return left.join(right, "value").where(new).select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct()
 
 
 def _rest(at: DataFrame, long: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -209,7 +276,8 @@ def _rest(at: DataFrame, long: DataFrame, classes: DataFrame, texts: DataFrame,
 
     Lists are put together by their largest component. Classes outside it are asked: in
     blocks they meet all classes of those lists, and full sets decide within the row. A large
-    group is dealt over tasks by salt. Of the links of a class with a block's members the first
+    group is dealt over tasks as a grid of salts and shares of the blocks, so that a copy is made for the side of the
+    grid and not for each task. Of the links of a class with a block's members the first
     is kept, and each member it has is linked with the next; such neighbours are few for a block,
     so that what comes out grows with the group, not with its links.
     """
@@ -219,29 +287,29 @@ def _rest(at: DataFrame, long: DataFrame, classes: DataFrame, texts: DataFrame,
     wanted = stored(classes.select("node", "name", "first_id").join(there.select("node").distinct(), "node", "left_semi"), "wanted")
     sets = stored(_sets(wanted, texts, k).join(wanted.select("name", "node"), "name").select("node", "set"), "sets")
     asked = F.col("comp") != F.col("most")
+    # a stated number: by their bytes, which are few, salts would be put together in one task
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = F.least(F.ceil(F.count("*") / FACED), F.lit(parts))
     size = there.groupBy("most").agg(
         F.ceil(F.greatest(F.count_if(asked) / BLOCK, F.sum(F.when(asked, F.col("n"))) / BLOCK_SHINGLES)).alias("blocks"),
-        F.ceil(F.count("*") / FACED).cast("int").alias("salts"),
+        F.ceil(F.sqrt(tasks)).cast("int").alias("salts"),
     )
     dealt = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts))
     full = there.join(size, "most").join(sets, "node")
     blocks = full.where(asked).groupBy("most", dealt("blocks").alias("_k"), "salts").agg(F.sort_array(F.collect_list(F.struct("node", "n", "comp", "set"))).alias("block"))
-    blocks = blocks.select("most", "_k", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("_salt"))
-    faced = full.select("most", "node", "n", "comp", "set", dealt("salts").cast("int").alias("_salt"))
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias(name)
+    blocks = blocks.select("most", F.pmod("_k", "salts").cast("int").alias("_share"), "block", every("_salt"))
+    faced = full.select("most", "node", "n", "comp", "set", dealt("salts").cast("int").alias("_salt"), every("_share"))
     # of two asked classes the first by name is the one in the block
     hit = f"q.comp <> comp AND 100 * least(q.n, n) >= {percent} * greatest(q.n, n) AND (comp = most OR q.node < node)"
     same = f"{100 + percent} * size(array_intersect(q.set, set)) >= {percent} * (q.n + n)"
     hits = F.expr(f"transform(filter(block, q -> {hit} AND {same}), q -> q.node)")
-    # a stated number: by their bytes, which are few, salts would be put together in one task
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    faced, blocks = (x.repartition(parts, "most", "_salt") for x in (faced, blocks))
+    faced, blocks = (x.repartition(parts, "most", "_salt", "_share") for x in (faced, blocks))
     # stored before it is cut down: a filter on the number of hits would go into the join, and all pairs be tested twice
-    met = stored(faced.join(blocks, ["most", "_salt"]).select("most", "_k", "_salt", F.col("node").alias("u"), hits.alias("hits")), "hits")
+    met = stored(faced.join(blocks, ["most", "_salt", "_share"]).select(F.col("node").alias("u"), hits.alias("hits")), "hits")
     found = met.where(F.size("hits") > 0)
     next_of = F.transform(F.slice("hits", F.lit(2), F.size("hits")), lambda v, i: F.struct(F.get("hits", i).alias("u"), v.alias("v")))
-    # at most FACED classes, or some more, meet a block under a salt
-    chains = found.groupBy("most", "_k", "_salt").agg(F.array_distinct(F.flatten(F.collect_list(next_of))).alias("x"))
-    chains = chains.select(F.explode_outer("x").alias("x")).where("x IS NOT NULL").select("x.u", "x.v").distinct()
+    chains = found.select(F.explode_outer(next_of).alias("x")).where("x IS NOT NULL").select("x.u", "x.v").distinct()
     out = stored(found.select("u", F.col("hits")[0].alias("v")).unionByName(chains), "links")
     discard(there, wanted, sets, met)
     return out
@@ -255,12 +323,12 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     """
     texts = docs.select("doc_id", "text")
     rows = shingle_set(texts, k).withColumn("n", F.size("set"))
-    rows = stored(rows.select("doc_id", text_key().alias("key"), "n", F.when(F.col("n") > 0, _name(F.col("set"))).alias("name"), F.slice("set", 1, K).alias("sketch")), "sketches")
+    rows = stored(rows.select("doc_id", text_key().alias("key"), "n", F.when(F.col("n") > 0, _name(F.col("set"))).alias("name"), F.slice("set", 1, K).alias("sketch"), _bands(F.col("set"), percent).alias("bands")), "sketches")
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    classes = rows.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id"), first_row.alias("first_row"), F.first("sketch").alias("sketch"))
+    classes = rows.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id"), first_row.alias("first_row"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     # numbers are short and differ; once written, they stay
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    listed, lists = _lists(classes, percent)
+    lists = _lists(classes, percent)
 
     verified = lambda pairs: _verified(pairs, classes, texts, k, percent)
     as_edges = lambda comps: comps.select(F.col("node").alias("u"), F.col("comp").alias("v"))
@@ -278,7 +346,7 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     at, sizes = placed(comps)
     short = at.join(sizes.where(F.col("size") <= SHORT).select("value"), "value")
     turn = 0
-    tests = _apart(short, listed, percent)
+    tests = _apart(short, percent)
     while True:
         long = sizes.where(F.col("size") > SHORT).select("value")
         led = stored(_led(at.join(long, "value"), F.xxhash64("node", F.lit(turn)), LEADERS, percent), "led")
@@ -299,7 +367,7 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
         links = _rest(at, long, classes, texts, k, percent)
         if not links.isEmpty():
             comps = components(as_edges(comps).unionByName(links))
-    discard(at, sizes, listed, lists)
+    discard(at, sizes, lists)
 
     # names: the smallest doc_id of each component
     named_classes = classes.join(comps, "node", "left").select("name", "first_id", "first_row", F.coalesce("comp", "node").alias("comp"))
