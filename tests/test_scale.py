@@ -62,3 +62,33 @@ def test_a_session_goes_over_scores_once():
         again = Session(("a", "b"), 4, text=session.text, starts=session.starts, ends=session.ends, scores=dict(session.scores))
         assert got == again.snapshot(0.8) and session.snapshot(0.3) == again.snapshot(0.3) and got == session.snapshot(0.8)
     assert Watched.read == 0
+
+
+def test_spans_scored_many_at_once_are_those_of_expressions(spark):
+    from textloom.functions import text as T
+    from textloom.operators import spans as S
+
+    texts = ["A b-c_d e. Ünïcode 日本語 x\u00a0y\u0085z \U0001f600 done\x0b\x1cend", None, "", "  \n", "w" * 300 + " " + "v" * 53, "don't -- stop-_go __ a-", "\u2003 é-è", "b " * 400]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    for names, at, width in ((("person", "location"), 0.5, 3), (("a",), 0.0, 1), (("é", "b", "c"), 0.9, 12)):
+        want = {r.id: r.cands for r in S.candidates(T.with_words(rows), names, HashScorer(), at, width).select("id", "cands").collect()}
+        got = {r.id: r.cands for r in S.candidates_many(rows, names, HashScorer(), at, width).select("id", "cands").collect()}
+        assert got == want and sum(map(len, want.values())) > 50
+
+
+def test_documents_are_not_scored_in_interpreted_expressions(spark):
+    text = ner.ner_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" not in text
+
+
+def test_texts_are_scored_some_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from textloom.operators import spans as S
+
+    texts = pa.array([f"some words {i} é of {i}" * (i % 7) for i in range(50)])
+    whole = S.found_spans(texts, ("a", "b"), HashScorer(), 0.8, 4)
+    monkeypatch.setattr(S, "TEXT_BYTES", 100)
+    assert S.found_spans(texts, ("a", "b"), HashScorer(), 0.8, 4).to_pylist() == whole.to_pylist()
+    assert S.found_spans(texts.slice(7, 9), ("a", "b"), HashScorer(), 0.8, 4).to_pylist() == whole.to_pylist()[7:16]
+    assert S.found_spans(texts.slice(0, 0), ("a", "b"), HashScorer(), 0.8, 4).to_pylist() == []

@@ -8,12 +8,16 @@ candidates, and breaks every tie.
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from ..functions.text import let, prefix_sums
+from ..functions.text import let, prefix_sums, with_words
 from .scorer import Scorer, reaches
 
 SPAN = "struct<ord:bigint,label:string,first:int,last:int,start:int,end:int,text:string,p:double>"
@@ -51,6 +55,78 @@ def candidates(rows: DataFrame, names, scorer: Scorer, threshold: float, max_wid
     return rows.withColumn(into, F.sort_array(every))
 
 
+#: ``text.ASCII`` over UTF-8: a word, or a character that is neither white space nor part of one.
+_WORDS = re.compile(rb"\w+(?:[-_]\w+)*|[^\s\x80-\xff]|[\xc0-\xff][\x80-\xbf]*")
+#: Bytes of text whose spans are scored at once; a longer text is alone.
+TEXT_BYTES = 1 << 20
+
+
+def candidates_many(rows: DataFrame, names: tuple[str, ...], scorer: Scorer, threshold: float, max_width: int = 12, text: str = "text", into: str = "cands") -> DataFrame:
+    """``candidates`` of ASCII words for a list of labels and a scorer that scores many pieces at once (``many``), from the texts alone.
+
+    Expressions within lambdas are interpreted, which costs several times a score; here a batch's spans are
+    scored together, and only those that reach the threshold are put together.
+    """
+    if not hasattr(scorer, "many"):
+        return candidates(with_words(rows, text=text), names, scorer, threshold, max_width, into)
+
+    @F.arrow_udf(f"array<{SPAN}>")
+    def made(texts: pa.Array) -> pa.Array:
+        return found_spans(texts, names, scorer, threshold, max_width)
+
+    return rows.withColumn(into, made.asNondeterministic()(F.coalesce(text, F.lit(""))))
+
+
+def found_spans(texts: pa.Array, names: tuple[str, ...], scorer: Scorer, threshold: float, max_width: int) -> pa.Array:
+    """The spans of each text that reach the threshold, in the order of label, start, width."""
+    texts = (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts).cast(pa.large_binary())
+    sizes = np.array([len(x.as_buffer()) for x in texts], np.int64)
+    ends, first, parts = np.cumsum(sizes), 0, []
+    while first < len(sizes):
+        last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + TEXT_BYTES, "right")), first + 1)
+        parts.append(_found(texts.slice(first, last - first).to_pylist(), names, scorer, threshold, max_width))
+        first = last
+    return pa.concat_arrays(parts) if parts else _found([], names, scorer, threshold, max_width)
+
+
+def _found(texts: list[bytes], names: tuple[str, ...], scorer: Scorer, threshold: float, max_width: int) -> pa.Array:
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    at = np.cumsum([0, *map(len, texts)])
+    words = [np.array([m.span() for m in _WORDS.finditer(x)], np.int64).reshape(-1, 2) for x in texts]
+    counts = np.array([len(x) for x in words], np.int64)
+    of, n = np.repeat(np.arange(len(texts)), counts), np.repeat(counts, counts)
+    i = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    bounds = (np.concatenate(words) if words else np.zeros((0, 2), np.int64)) + at[of][:, None]
+    # places in bytes to places in characters: bytes that go on with one don't count
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    found = []
+    for j in range(max_width):
+        left = np.flatnonzero(i + j < n)
+        starts, ends = bounds[left, 0], bounds[left + j, 1]
+        for k, name in enumerate(names):
+            p = scorer.many(name, data, starts, ends)
+            hit = np.flatnonzero(p >= threshold)
+            w = left[hit]
+            found.append((of[w], (k * n[w] + i[w]) * max_width + j, np.full(len(w), k), i[w], i[w] + j, starts[hit], ends[hit], p[hit]))
+    of, order, k, i, last, starts, ends, p = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 8
+    by = np.lexsort((order, of))
+    of, order, k, i, last, starts, ends, p = (x[by] for x in (of, order, k, i, last, starts, ends, p))
+    places = lambda x: pa.array((before[x] - before[at[of]]).astype(np.int32))
+    raw = data.tobytes()
+    fields = {
+        "ord": pa.array(order.astype(np.int64)),
+        "label": pa.array([names[x] for x in k], pa.string()),
+        "first": pa.array(i.astype(np.int32)),
+        "last": pa.array(last.astype(np.int32)),
+        "start": places(starts),
+        "end": places(ends),
+        "text": pa.array([raw[a:z].decode() for a, z in zip(starts, ends, strict=True)], pa.string()),
+        "p": pa.array(p.astype(np.float64)),
+    }
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
 def of_labels(spans: Column, first: Column | int, end: Column | int, max_width: int) -> Column:
     """The candidates of labels ``first`` to ``end`` (exclusive), by their places among those asked for."""
     each = F.size("words").cast("long") * max_width

@@ -127,9 +127,9 @@ LEFT JOIN gr g ON g.conv_id = c.conv_id AND g.turn = c.turn AND g.label = l.name
 
 
 def ner_documents(spark, sf_dir):
-    """Whole documents, however long: the greedy choice in linear time."""
-    rows = T.with_words(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
-    rows = S.greedy_many(S.candidates(rows, ("person", "location"), HASH, 0.99, 3))
+    """Whole documents, however long: spans scored many at once, and the greedy choice in linear time."""
+    rows = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = S.greedy_many(S.candidates_many(rows, ("person", "location"), HASH, 0.99, 3))
     out = S.exploded(rows, ["doc_id"])
     return out.groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum("start").cast("long").alias("start_sum"), F.round(F.max("confidence"), 6).alias("best"))
 
